@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from vicinity.llm import simhash
+from vicinity.llm import mixing, simhash
 
 
 def queries() -> dict:
-    return {"op1_simhash_groups": simhash.op1_simhash_groups}
+    return {
+        "op1_simhash_groups": simhash.op1_simhash_groups,
+        "op2_mix_sources": mixing.op2_mix_sources,
+    }
 
 
 def oracle_sql() -> dict:
