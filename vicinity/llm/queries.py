@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vicinity.llm import mixing, simhash
+from vicinity.llm import mixing, packing, simhash
 
 
 def queries() -> dict:
     return {
         "op1_simhash_groups": simhash.op1_simhash_groups,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op5_pack_tokens": packing.op5_pack_tokens,
     }
 
 
