@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import mixing, packing, simhash
+from vicinity.llm import langid, mixing, packing, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash_groups": simhash.op1_simhash_groups,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op5_pack_tokens": packing.op5_pack_tokens,
+        "op8_language_id": langid.op8_language_id,
     }
 
 
