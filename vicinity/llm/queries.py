@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import langid, mixing, packing, rules, simhash
+from vicinity.llm import langid, licenses, mixing, packing, rules, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_simhash_groups": simhash.op1_simhash_groups,
         "op2_mix_sources": mixing.op2_mix_sources,
         "op5_pack_tokens": packing.op5_pack_tokens,
+        "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": rules.op7_quality_rules,
         "op8_language_id": langid.op8_language_id,
     }
