@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import langid, licenses, mixing, packing, rules, simhash
+from vicinity.llm import langid, licenses, mixing, multi_index, packing, rules, simhash
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": rules.op7_quality_rules,
         "op8_language_id": langid.op8_language_id,
+        "op9_nearest": multi_index.op9_nearest,
     }
 
 
