@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.functions.shipping import ship_package
+
 #: Characters that end a word in most contracts: space, tab, LF, VT, FF, CR. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,7 +20,11 @@ BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits (never raise them), so that long texts stay within a worker's memory."""
+    """Lower the session's Arrow batch limits (never raise them), so that long texts stay within a worker's memory.
+
+    Also sends the package to the executors; every use of Python workers comes by here.
+    """
+    ship_package(spark)
     for key, most in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS),
         ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES),
