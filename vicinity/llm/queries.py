@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vicinity.llm import langid, licenses, mixing, multi_index, packing, rules, simhash, toxicity
+from vicinity.llm import langid, licenses, lines, mixing, multi_index, packing, rules, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash_groups": simhash.op1_simhash_groups,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_line_dedup": lines.op3_line_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_pack_tokens": packing.op5_pack_tokens,
         "op6_license_scan": licenses.op6_license_scan,
