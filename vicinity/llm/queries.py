@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vicinity.llm import langid, licenses, lines, mixing, multi_index, packing, rules, simhash, toxicity
+from vicinity.llm import langid, licenses, lines, mixing, multi_index, packing, rules, simhash, site_quality, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_quality_rules": rules.op7_quality_rules,
         "op8_language_id": langid.op8_language_id,
         "op9_nearest": multi_index.op9_nearest,
+        "op10_site_quality": site_quality.op10_site_quality,
     }
 
 
