@@ -2,10 +2,345 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vicinity.functions import features, scalars
+from vicinity.operators import decide, evaluate, ivf, knn, vptree
+from vicinity.plans import transactions as tx
+from vicinity.streaming import score as scoring
+
+#: Buckets and probes of the embedding queries: the tables hold 500 to 2,000 vectors.
+BUCKETS, FAST, FULL = 16, 2, 6
+
+
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(orig_id, vector, label): the embeddings as a reference set; labels below 4 count as fraud."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("orig_id"), F.col("embedding").alias("vector"), (F.col("label") < 4).cast("int").alias("label"))
+
+
+def coded(spark: SparkSession, sf_dir: str, codec: str = "i16") -> tuple[DataFrame, DataFrame]:
+    """References and queries: all embeddings, each against the others."""
+    refs = references(spark, sf_dir).select("orig_id", scalars.quantize(F.col("vector"), codec).alias("codes"), "label")
+    return refs, refs.select(F.col("orig_id").alias("qid"), "codes")
+
+
+def first_index(spark: SparkSession, sf_dir: str) -> ivf.IvfIndex:
+    """The index over the initial centroids."""
+    refs = references(spark, sf_dir)
+    return ivf.index_from(refs, ivf.initial_centroids(refs, BUCKETS))
+
+
+def _codes_text(spark, sf_dir, codec):
+    codes = scalars.quantize(F.col("vector"), codec)
+    return references(spark, sf_dir).select("orig_id", F.array_join(codes.cast("array<string>"), ",").alias("codes"))
+
+
+def quantize_int8(spark, sf_dir):
+    return _codes_text(spark, sf_dir, "int8")
+
+
+def quantize_i16(spark, sf_dir):
+    return _codes_text(spark, sf_dir, "i16")
+
+
+def knn_brute_top5(spark, sf_dir):
+    refs, queries = coded(spark, sf_dir)
+    return knn.knn_brute(refs, queries, skip_self=True).select("qid", "rank", "orig_id", "dist")
+
+
+def vptree_knn(spark, sf_dir):
+    refs, queries = coded(spark, sf_dir)
+    return vptree.knn_vptree(refs, queries, skip_self=True).select("qid", "rank", "orig_id", "dist")
+
+
+def knn_pruned_exact(spark, sf_dir):
+    index = first_index(spark, sf_dir)
+    _, queries = coded(spark, sf_dir)
+    return knn.knn_pruned(index, queries, nprobe=FAST, skip_self=True).select("qid", "rank", "orig_id", "dist")
+
+
+def knn_vote(spark, sf_dir):
+    refs, queries = coded(spark, sf_dir)
+    return decide.vote(queries, knn.knn_brute(refs, queries, skip_self=True))
+
+
+def knn_decision_json(spark, sf_dir):
+    return knn_vote(spark, sf_dir).select("qid", decide.body(F.col("frauds")).alias("response"))
+
+
+def centroid_distances(spark, sf_dir):
+    index = first_index(spark, sf_dir)
+    _, queries = coded(spark, sf_dir)
+    return knn.probes(index, queries, BUCKETS).select("qid", "bucket", "cdist", "rank")
+
+
+def ivf_probe(spark, sf_dir):
+    index = first_index(spark, sf_dir)
+    _, queries = coded(spark, sf_dir)
+    return knn.knn_ivf(index, queries, nprobe=FAST, skip_self=True).select("qid", "rank", "orig_id", "dist")
+
+
+def ivf_two_pass(spark, sf_dir):
+    index = first_index(spark, sf_dir)
+    _, queries = coded(spark, sf_dir)
+    return knn.two_pass(index, queries, fast=FAST, full=FULL, skip_self=True)
+
+
+def kmeans_assign_init(spark, sf_dir):
+    refs = references(spark, sf_dir)
+    return ivf.assign(refs, ivf.initial_centroids(refs, BUCKETS)).select("orig_id", "bucket")
+
+
+def kmeans_update(spark, sf_dir):
+    """Exact sums of codes per bucket and dim after the first assignment."""
+    refs = references(spark, sf_dir)
+    rows = ivf.assign(refs, ivf.initial_centroids(refs, BUCKETS))
+    long = rows.select("bucket", F.posexplode(scalars.quantize(F.col("vector"))).alias("dim", "code"))
+    return long.groupBy("bucket", "dim").agg(F.count("*").alias("n"), F.sum("code").alias("code_sum"))
+
+
+def kmeans_final(spark, sf_dir):
+    index = ivf.build_ivf(references(spark, sf_dir), BUCKETS)
+    return ivf.layout(index)
+
+
+def bucket_layout(spark, sf_dir):
+    return ivf.layout(first_index(spark, sf_dir))
+
+
+def bucket_radius(spark, sf_dir):
+    return first_index(spark, sf_dir).centroids.select("bucket", "radius_sq")
+
+
+def label_bitmap(spark, sf_dir):
+    packed = decide.label_bitmap(references(spark, sf_dir))
+    return packed.select("bucket_number", F.bitmap_count("bitmap").alias("frauds"))
+
+
+def label_bit_test(spark, sf_dir):
+    """Labels read back from the bitmap."""
+    refs = references(spark, sf_dir)
+    at = F.col("orig_id") + 1
+    rows = refs.select("orig_id", F.bitmap_bucket_number(at).alias("bucket_number"), F.bitmap_bit_position(at).alias("position"))
+    rows = rows.join(decide.label_bitmap(refs), "bucket_number", "left")
+    return rows.select("orig_id", F.coalesce(scalars.bit_at(F.col("bitmap"), F.col("position")).cast("int"), F.lit(0)).alias("label"))
+
+
+def _vectors(spark, sf_dir):
+    seen = features.parse(tx.requests(spark, sf_dir))
+    return features.vectorize(seen, tx.NORM, tx.risks(spark))
+
+
+def features_events(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).where("parsed").select("qid", F.posexplode(scalars.quantize(F.col("vector"))).alias("dim", "code"))
+    return rows.select("qid", "dim", "code")
+
+
+def payload_parse(spark, sf_dir):
+    seen = features.parse(tx.requests(spark, sf_dir))
+    cents = F.round(F.col("payload.transaction.amount") * 100).cast("bigint")
+    return seen.select("qid", "parsed", F.when(F.col("parsed"), cents).otherwise(F.lit(-1)).alias("cents"), (F.col("parsed") & F.col("payload.last_transaction").isNotNull()).alias("has_last"))
+
+
+def mcc_lookup(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    mcc = F.element_at(F.create_map(*[F.lit(x) for pair in tx.MCC.items() for x in pair]), F.col("event_type"))
+    return features.with_risk(events.select("event_id", mcc.alias("mcc")), F.col("mcc"), tx.risks(spark)).select("event_id", "mcc", "risk")
+
+
+def unknown_merchant(spark, sf_dir):
+    seen = features.parse(tx.requests(spark, sf_dir)).where("parsed")
+    return seen.select("qid", features.unknown_merchant(F.col("payload.merchant.id"), F.col("payload.customer.known_merchants")).alias("unknown"))
+
+
+def _judged(spark, sf_dir):
+    """labels as pairs of a decision and its expectation."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return rows.select("doc_id", (F.col("toxic") == 0).alias("got"), (F.col("quality") == 1).alias("expected"))
+
+
+def confusion(spark, sf_dir):
+    return evaluate.confusion(_judged(spark, sf_dir), F.col("got"), F.col("expected"))
+
+
+def failure_rate(spark, sf_dir):
+    return evaluate.failure_rate(confusion(spark, sf_dir)).select("n", F.round("failure_rate", 9).alias("failure_rate"))
+
+
+def detection_score(spark, sf_dir):
+    m = confusion(spark, sf_dir)
+    value = evaluate.detection_score(F.col("fp"), F.col("fn"), F.lit(0), F.col("n"))
+    return m.select(evaluate.weighted_errors(F.col("fp"), F.col("fn"), F.lit(0)).alias("errors"), F.round(value).cast("bigint").alias("score"))
+
+
+def mismatches(spark, sf_dir):
+    wrong = evaluate.mismatches(_judged(spark, sf_dir), F.col("got"), F.col("expected"))
+    return wrong.select("doc_id", "got", "expected")
+
+
+def mismatch_samples(spark, sf_dir):
+    return evaluate.samples(mismatches(spark, sf_dir), "doc_id")
+
+
+def latency_quantiles(spark, sf_dir):
+    rows = evaluate.latencies(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("value"))
+    return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
+
+
+def latency_points(spark, sf_dir):
+    rows = evaluate.latencies(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("value"))
+    return rows.select(F.round(evaluate.latency_score(F.col("p99"))).cast("bigint").alias("points"))
+
+
+def _event_sets(spark, sf_dir):
+    """Every tenth event asks; the others are references, fraud if they are errors."""
+    rows = _vectors(spark, sf_dir)
+    refs = rows.where("parsed and qid % 10 <> 0")
+    refs = refs.select(F.col("qid").alias("orig_id"), scalars.quantize(F.col("vector")).alias("codes"), (F.col("event_type") == "error").cast("int").alias("label"), "vector")
+    return refs, rows.where("qid % 10 = 0")
+
+
+def event_decisions(spark, sf_dir):
+    """Decisions for every tenth event by exact search; one that can't be read is approved with score 0."""
+    refs, asked = _event_sets(spark, sf_dir)
+    queries = asked.where("parsed").select("qid", scalars.quantize(F.col("vector")).alias("codes"))
+    voted = decide.vote(queries, knn.knn_brute(refs.drop("vector"), queries))
+    frauds = F.coalesce("frauds", F.lit(0))
+    return asked.select("qid").join(voted.select("qid", "frauds"), "qid", "left").select("qid", frauds.alias("frauds"), decide.approved(frauds).alias("approved"))
+
+
+def _event_index(spark, sf_dir):
+    refs, _ = _event_sets(spark, sf_dir)
+    order = Window.orderBy("event_id")
+    # positions from 0, as the reference set's ids are; one row an event of the reference table's size
+    places = refs.select(F.col("orig_id").alias("event_id"), "vector", "label").withColumn("orig_id", F.row_number().over(order) - 1)
+    return ivf.build_ivf(places.select(F.col("orig_id").cast("long"), "vector", "label"), BUCKETS)
+
+
+def stream_score(spark, sf_dir):
+    """Scores every tenth request as a stream over arriving files, and returns what the sink holds."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vicinity-")
+    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    asked = tx.requests(spark, sf_dir).where("qid % 10 = 0").select("qid", "body")
+    asked.write.parquet(f"{folder}/in")
+    index, risks = _event_index(spark, sf_dir), tx.risks(spark)
+    stream = spark.readStream.schema("qid long, body string").parquet(f"{folder}/in")
+    run = scoring.score_stream(stream, lambda batch: scoring.score(batch, index, tx.NORM, risks, fast=FAST, full=FULL), f"{folder}/out", f"{folder}/log", once=True)
+    run.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("qid", "frauds", "approved", "response")
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (
+        quantize_int8, quantize_i16, knn_brute_top5, knn_vote, knn_decision_json, vptree_knn, knn_pruned_exact,
+        centroid_distances, ivf_probe, ivf_two_pass, kmeans_assign_init, kmeans_update, kmeans_final, bucket_layout,
+        bucket_radius, label_bitmap, label_bit_test, features_events, payload_parse, mcc_lookup, unknown_merchant,
+        confusion, failure_rate, detection_score, mismatches, mismatch_samples, latency_quantiles, latency_points,
+        event_decisions, stream_score,
+    )}
+
+
+def _code_sql(codec: str, x: str = "x") -> str:
+    scale, missing, low, high = scalars.CODECS[codec]
+    scaled = f"{x} * CAST({scale} AS FLOAT)"
+    whole = f"floor(CAST({scaled} AS DOUBLE) + 0.5)" if codec == "int8" else f"round({scaled})"
+    test = f"{x} = -1" if codec == "int8" else f"abs({x} + CAST(1 AS FLOAT)) < 1e-5"
+    return f"CASE WHEN isnan({x}) THEN 0 WHEN {test} THEN {missing} ELSE CAST(greatest({low}, least({high}, {whole})) AS BIGINT) END"
+
+
+def _codes_sql(codec: str = "i16") -> str:
+    return f"list_transform(embedding, lambda x: {_code_sql(codec)})"
+
+
+def _far_sql(a: str, b: str, kind: str = "BIGINT") -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1]::{kind} - z[2]::{kind}) * (z[1]::{kind} - z[2]::{kind})))"
+
+
+_REFS = f"refs AS (SELECT vec_id AS orig_id, embedding, {_codes_sql()} AS codes, CAST(label < 4 AS INT) AS label FROM embeddings)"
+_TOP = f"""
+pairs AS (SELECT q.orig_id AS qid, r.orig_id, r.label, CAST({_far_sql("q.codes", "r.codes")} AS BIGINT) AS dist
+    FROM refs q JOIN refs r ON q.orig_id <> r.orig_id),
+near AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank, orig_id, label, dist
+    FROM pairs QUALIFY rank <= 5)
+"""
+_VOTES = f"WITH {_REFS}, {_TOP}, votes AS (SELECT qid, CAST(sum(label) AS INT) AS frauds FROM near GROUP BY qid)"
+_CENTRES = f"""
+centres AS (SELECT CAST(i AS INT) AS bucket, embedding AS c, codes AS cc FROM range({BUCKETS}) t(i)
+    JOIN refs ON orig_id = i * (SELECT count(*) FROM refs) // {BUCKETS}),
+assigned AS (SELECT orig_id, codes, label, bucket, cc FROM refs CROSS JOIN centres
+    QUALIFY row_number() OVER (PARTITION BY orig_id ORDER BY {_far_sql("embedding", "c", "DOUBLE")}, bucket) = 1),
+probed AS (SELECT orig_id AS qid, codes, bucket, CAST({_far_sql("codes", "cc")} AS BIGINT) AS cdist,
+    CAST(row_number() OVER (PARTITION BY orig_id ORDER BY {_far_sql("codes", "cc")}, bucket) AS INT) AS rank FROM refs CROSS JOIN centres)
+"""
+
+
+def _ivf_sql(n: int, name: str) -> str:
+    return f"""
+{name} AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank, orig_id, label, dist FROM (
+    SELECT p.qid, a.orig_id, a.label, CAST({_far_sql("p.codes", "a.codes")} AS BIGINT) AS dist
+    FROM probed p JOIN assigned a ON p.bucket = a.bucket AND p.qid <> a.orig_id WHERE p.rank <= {n}) QUALIFY rank <= 5)
+"""
+
+
+_JUDGED = "judged AS (SELECT doc_id, toxic = 0 AS got, quality = 1 AS expected FROM labels)"
+_MATRIX = f"""{_JUDGED}, matrix AS (SELECT CAST(count_if(NOT got AND NOT expected) AS BIGINT) AS tp, CAST(count_if(got AND expected) AS BIGINT) AS tn,
+    CAST(count_if(NOT got AND expected) AS BIGINT) AS fp, CAST(count_if(got AND NOT expected) AS BIGINT) AS fn,
+    CAST(count_if(got IS NOT NULL AND expected IS NOT NULL) AS BIGINT) AS n FROM judged)"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    brute = f"WITH {_REFS}, {_TOP} SELECT qid, rank, orig_id, dist FROM near"
+    index = f"WITH {_REFS}, {_CENTRES}"
+    dims = " UNION ALL ".join(f"SELECT event_id, {i} AS dim, CAST({x} AS FLOAT) AS v FROM tx WHERE event_id % 97 <> 0" for i, x in enumerate(tx.DIMS_SQL))
+    mcc = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.MCC.items()) + " END"
+    risk = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {tx.RISK[v]}" for k, v in tx.MCC.items() if v in tx.RISK) + " ELSE 0.5 END"
+    return {
+        "quantize_int8": f"SELECT vec_id AS orig_id, array_to_string({_codes_sql('int8')}, ',') AS codes FROM embeddings",
+        "quantize_i16": f"SELECT vec_id AS orig_id, array_to_string({_codes_sql('i16')}, ',') AS codes FROM embeddings",
+        "knn_brute_top5": brute,
+        "vptree_knn": brute,
+        "knn_pruned_exact": brute,
+        "knn_vote": f"{_VOTES} SELECT qid, frauds, frauds / 5 AS fraud_score, frauds < 3 AS approved FROM votes",
+        "knn_decision_json": f"""{_VOTES} SELECT qid, '{{"approved":' || CASE WHEN frauds < 3 THEN 'true' ELSE 'false' END
+            || ',"fraud_score":' || CAST(frauds * 2 // 10 AS VARCHAR) || '.' || CAST(frauds * 2 % 10 AS VARCHAR) || '}}' AS response FROM votes""",
+        "centroid_distances": f"{index} SELECT qid, bucket, cdist, rank FROM probed",
+        "ivf_probe": f"{index}, {_ivf_sql(FAST, 'fast')} SELECT qid, rank, orig_id, dist FROM fast",
+        "ivf_two_pass": f"""{index}, {_ivf_sql(FAST, "fast")}, {_ivf_sql(FULL, "full_")},
+            a AS (SELECT q.orig_id AS qid, CAST(coalesce(sum(f.label), 0) AS INT) AS frauds FROM refs q LEFT JOIN fast f ON f.qid = q.orig_id GROUP BY 1),
+            b AS (SELECT q.orig_id AS qid, CAST(coalesce(sum(f.label), 0) AS INT) AS frauds FROM refs q LEFT JOIN full_ f ON f.qid = q.orig_id GROUP BY 1)
+            SELECT a.qid, CASE WHEN a.frauds IN (2, 3) THEN b.frauds ELSE a.frauds END AS frauds FROM a JOIN b USING (qid)""",
+        "kmeans_assign_init": f"{index} SELECT orig_id, bucket FROM assigned",
+        "kmeans_update": f"""{index}, long AS (SELECT bucket, CAST(unnest(range(len(codes))) AS INT) AS dim, unnest(codes) AS code FROM assigned)
+            SELECT bucket, dim, count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum FROM long GROUP BY bucket, dim""",
+        "bucket_layout": f"""{index}, sizes AS (SELECT c.bucket, count(a.orig_id) AS n FROM centres c LEFT JOIN assigned a USING (bucket) GROUP BY c.bucket)
+            SELECT bucket, n, CAST(coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes""",
+        "bucket_radius": f"""{index} SELECT c.bucket, CAST(coalesce(max({_far_sql("a.codes", "a.cc")}), 0) AS BIGINT) AS radius_sq
+            FROM centres c LEFT JOIN assigned a USING (bucket) GROUP BY c.bucket""",
+        "label_bitmap": "SELECT vec_id // 32768 + 1 AS bucket_number, count(*) AS frauds FROM embeddings WHERE label < 4 GROUP BY 1",
+        "label_bit_test": "SELECT vec_id AS orig_id, CAST(label < 4 AS INT) AS label FROM embeddings",
+        "features_events": f"WITH {tx.SQL}, long AS ({dims}) SELECT event_id AS qid, dim, CAST({_code_sql('i16', 'v')} AS INT) AS code FROM long",
+        "payload_parse": f"""WITH {tx.SQL} SELECT event_id AS qid, event_id % 97 <> 0 AS parsed, CASE WHEN event_id % 97 <> 0 THEN cents ELSE -1 END AS cents,
+            event_id % 97 <> 0 AND last_sec IS NOT NULL AS has_last FROM tx""",
+        "mcc_lookup": f"SELECT event_id, {mcc} AS mcc, CAST({risk} AS DOUBLE) AS risk FROM events",
+        "unknown_merchant": f"WITH {tx.SQL} SELECT event_id AS qid, CASE WHEN known THEN 0 ELSE 1 END AS unknown FROM tx WHERE event_id % 97 <> 0",
+        "confusion": f"WITH {_MATRIX} SELECT tp, tn, fp, fn, n FROM matrix",
+        "failure_rate": f"WITH {_MATRIX} SELECT n, round((fp + fn) / greatest(n, 1), 9) AS failure_rate FROM matrix",
+        "detection_score": f"""WITH {_MATRIX}, e AS (SELECT n, fp + 3 * fn AS errors FROM matrix)
+            SELECT errors, CAST(round(1000 * log10(n / greatest(errors, 1)) - 300 * log10(1 + errors)) AS BIGINT) AS score FROM e""",
+        "mismatches": f"WITH {_JUDGED} SELECT doc_id, got, expected FROM judged WHERE got IS DISTINCT FROM expected",
+        "mismatch_samples": f"WITH {_JUDGED} SELECT doc_id, got, expected FROM judged WHERE got IS DISTINCT FROM expected ORDER BY doc_id LIMIT 3",
+        "latency_quantiles": """SELECT round(avg(value), 6) AS avg, round(min(value), 6) AS min, round(quantile_cont(value, 0.5), 6) AS med,
+            round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
+            round(quantile_cont(value, 0.999), 6) AS p99_9, round(max(value), 6) AS max FROM events""",
+        "latency_points": "SELECT CAST(round(least(3000.0, 1000 * log10(1000 / quantile_cont(value, 0.99)))) AS BIGINT) AS points FROM events",
+        "event_decisions": f"""WITH {tx.SQL}, long AS ({dims}), v AS (SELECT event_id, list({_code_sql('i16', 'v')} ORDER BY dim) AS codes FROM long GROUP BY event_id),
+            q AS (SELECT event_id, codes FROM v WHERE event_id % 10 = 0), r AS (SELECT event_id, codes, CAST(event_type = 'error' AS INT) AS label FROM v JOIN tx USING (event_id) WHERE event_id % 10 <> 0),
+            near AS (SELECT q.event_id AS qid, r.label FROM q CROSS JOIN r QUALIFY row_number() OVER (PARTITION BY q.event_id ORDER BY {_far_sql("q.codes", "r.codes")}, r.event_id) <= 5),
+            votes AS (SELECT qid, CAST(sum(label) AS INT) AS frauds FROM near GROUP BY qid)
+            SELECT event_id AS qid, coalesce(frauds, 0) AS frauds, coalesce(frauds, 0) < 3 AS approved FROM tx LEFT JOIN votes ON qid = event_id WHERE event_id % 10 = 0""",
+    }
