@@ -1,7 +1,7 @@
 """Token ids of a public word-level BPE vocabulary, by cached white-space chunks.
 
 The vocabulary lower-cases, drops white space and never lets a token span it, so a text's ids are those of its chunks
-one after another. A worker keeps the ids of the chunks that it has met (``CACHE`` of them at most; the rest are encoded
+one after another. A worker keeps the ids of the chunks that it has met (so many at most; the rest are encoded
 each time), and encodes unknown letter-only chunks together: the vocabulary marks the last token of each word.
 """
 
@@ -12,8 +12,8 @@ import os
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Chunks that a worker keeps, and the longest that it keeps, in bytes.
-CACHE, LONGEST = 700_000, 48
+#: Chunks and, without case and punctuation, words that a worker keeps, and the longest that it keeps, in bytes.
+CACHE, CORES, LONGEST = 400_000, 100_000, 48
 ID = np.dtype("<u4")
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -36,8 +36,8 @@ class ChunkEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def __init__(self, path: str, cache: int = CACHE):
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+    def __init__(self, path: str, cache: int = CACHE, cores: int = CORES):
+        self.tokenizer, self.room, self.core_room = Tokenizer.from_file(path), cache, cores
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -57,9 +57,9 @@ class ChunkEncoder:
         whole, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _keep(self, where: dict[bytes, bytes], found: dict[bytes, bytes]) -> bool:
+    def _keep(self, where: dict[bytes, bytes], found: dict[bytes, bytes], room: int) -> bool:
         """Add to a cache while there is room; says whether all of ``found`` is in it."""
-        if len(where) + len(found) > self.cache:
+        if len(where) + len(found) > room:
             return False
         short = {k: v for k, v in found.items() if len(k) <= LONGEST}
         where.update(short)
@@ -85,7 +85,7 @@ class ChunkEncoder:
         found = dict(zip(letters, self._together(list(letters)))) if letters else {}
         if others:
             found |= zip(others, self._one_by_one(list(others)))
-        self._keep(known, found)
+        self._keep(known, found, self.core_room)
 
         def ids(part: bytes) -> bytes:
             return found[part] if part in found else known[part]
@@ -98,6 +98,6 @@ class ChunkEncoder:
         new = {c for c in chunks if c not in known}
         if new:
             found = self._learn(new)
-            if not self._keep(known, found):
+            if not self._keep(known, found, self.room):
                 return b"".join([found[c] if c in found else known[c] for c in chunks])
         return b"".join(map(known.__getitem__, chunks))
