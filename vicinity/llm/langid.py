@@ -108,7 +108,7 @@ def learn(docs: DataFrame, rows_per_language: int = LEARN_ROWS, size: int = GRAM
     About ``rows_per_language`` rows of each language are read, those whose hashed id is smallest. Null texts, langs and
     ids teach nothing.
     """
-    rows = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select("doc_id", "lang", "text").where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = rows.groupBy("lang").agg((F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
     share = written(share.withColumnRenamed("lang", "l"), "language-shares")
     u = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), 11) / F.lit(float(1 << 53))

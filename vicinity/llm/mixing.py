@@ -100,7 +100,8 @@ def _taken(rounds: int) -> Column:
         inside = (F.col("bucket") < F.col(f"end{r}")) | (
             (F.col("bucket") == F.col(f"end{r}")) & (F.struct("key", "tie") <= F.col(f"last{r}"))
         )
-        taken = taken | ((F.col("size") <= F.col(f"rest{r}")) & F.coalesce(inside, F.lit(False)))
+        fits = (F.col("size") <= F.col(f"rest{r}")) & (F.col(f"rest{r}") > 0)
+        taken = taken | (fits & F.coalesce(inside, F.lit(False)))
     return taken
 
 
@@ -150,7 +151,7 @@ def assignments(docs: DataFrame, weight: Column | None = None, share: float = SH
     """(doc_id, source, tie, size, source_size, target, copies) for every row of ``docs``.
 
     ``weight``: the documents' quality weights (a column of ``docs``; 0 or null: taken last). A null source is a source
-    of its own, a null or empty text has size 0 and is taken in complete epochs or if its key falls in the fraction.
+    of its own, a null or empty text has size 0 and is taken in complete epochs or, if there is one, in the fraction.
     Rows that agree in doc_id, text and source are taken or left together. ``most`` may be fractional; reruns agree.
     An empty table returns no row. Other columns are not read.
     """
