@@ -13,7 +13,9 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks and, without case and punctuation, words that a worker keeps, and the longest that it keeps, in bytes.
-CACHE, CORES, LONGEST = 400_000, 100_000, 48
+CACHE, CORES, TAILS, LONGEST = 200_000, 400_000, 10_000, 48
+#: What may follow letters in a chunk and be encoded by itself: no apostrophe, as contractions are tokens with letters.
+PUNCTUATION = b'!"#$%&()*+,-./:;<=>?@[\\]^_{|}~'
 ID = np.dtype("<u4")
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
@@ -43,6 +45,7 @@ class ChunkEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.chunks: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
 
     def _one_by_one(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -57,47 +60,56 @@ class ChunkEncoder:
         whole, cuts = ids.tobytes(), [0, *(ends * 4).tolist()]
         return [whole[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _keep(self, where: dict[bytes, bytes], found: dict[bytes, bytes], room: int) -> bool:
-        """Add to a cache while there is room; says whether all of ``found`` is in it."""
-        if len(where) + len(found) > room:
-            return False
-        short = {k: v for k, v in found.items() if len(k) <= LONGEST}
-        where.update(short)
-        return len(short) == len(found)
-
     def _learn(self, new: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of unknown chunks. A full stop or comma after letters is a token of its own."""
-        parts, letters, others, known = {}, {}, {}, self.cores
+        """Ids of unknown chunks. Punctuation after letters is a token of its own, or several."""
+        found, letters, others, parts, cores = {}, {}, {}, [], self.cores
         for chunk in new:
-            core, tail = chunk.lower(), b""
-            if core[-1:] in b".," and len(core) > 1:
-                core, tail = core[:-1], core[-1:]
-            if core.isalpha() or (not core.isascii() and core.decode().isalpha()):
-                if core not in known:
-                    letters[core] = b""
+            low = chunk.lower()
+            core = low.rstrip(PUNCTUATION)
+            ids = cores.get(core)
+            if ids is None and core not in letters:
+                if not (core.isalpha() or (not core.isascii() and core.decode().isalpha())):
+                    others[chunk] = b""
+                    continue
+                letters[core] = b""
+            if len(core) == len(low):
+                if ids is None:
+                    parts.append((chunk, core, b""))
+                else:
+                    found[chunk] = ids
             else:
-                core, tail = chunk, b""
-                if core not in known:
-                    others[core] = b""
-            if tail and tail not in known:
-                others[tail] = b""
-            parts[chunk] = core, tail
-        found = dict(zip(letters, self._together(list(letters)))) if letters else {}
+                tail = low[len(core) :]
+                if tail not in self.tails:
+                    others[tail] = b""
+                parts.append((chunk, core, tail))
+        if letters:
+            letters = dict(zip(letters, self._together(list(letters))))
         if others:
-            found |= zip(others, self._one_by_one(list(others)))
-        self._keep(known, found, self.core_room)
-
-        def ids(part: bytes) -> bytes:
-            return found[part] if part in found else known[part]
-
-        return {chunk: ids(core) + (ids(tail) if tail else b"") for chunk, (core, tail) in parts.items()}
+            others = dict(zip(others, self._one_by_one(list(others))))
+            found |= others
+        for chunk, core, tail in parts:
+            ids = letters[core] if core in letters else cores[core]
+            if tail:
+                ids += self.tails[tail] if tail in self.tails else others[tail]
+            found[chunk] = ids
+        self._keep(cores, letters, self.core_room)
+        self._keep(self.tails, {tail: others[tail] for _, _, tail in parts if tail in others}, TAILS)
+        return found
+
+    @staticmethod
+    def _keep(where: dict[bytes, bytes], found: dict[bytes, bytes], room: int) -> None:
+        """Add to a cache while there is room."""
+        if len(where) + len(found) <= room:
+            where.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
 
     def encode(self, text: bytes) -> bytes:
         """The ids of the whole text, 4 bytes each."""
-        chunks, known = text.split(), self.chunks
-        new = {c for c in chunks if c not in known}
-        if new:
-            found = self._learn(new)
-            if not self._keep(known, found, self.room):
-                return b"".join([found[c] if c in found else known[c] for c in chunks])
-        return b"".join(map(known.__getitem__, chunks))
+        chunks = text.split()
+        ids = list(map(self.chunks.get, chunks))
+        if None in ids:
+            missing = [i for i, x in enumerate(ids) if x is None]
+            found = self._learn({chunks[i] for i in missing})
+            for i in missing:
+                ids[i] = found[chunks[i]]
+            self._keep(self.chunks, found, self.room)
+        return b"".join(ids)
