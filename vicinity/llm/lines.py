@@ -129,6 +129,8 @@ def linked(table: DataFrame) -> DataFrame:
     first = held.groupBy("line").agg(
         F.min(F.struct("id", "hash")).alias("first"), F.max(F.struct("id", "hash")).alias("last")
     ).where("first <> last")
+    # written: joined with a table of its own, a line that stands in very many documents is split over tasks
+    first = written(first, "first-holders")
     return (
         held.join(first, "line")
         .where((F.col("first.id") != F.col("id")) | (F.col("first.hash") != F.col("hash")))
