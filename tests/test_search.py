@@ -193,3 +193,49 @@ def test_stream_equals_batch(spark):
     asked = tx.requests(spark, DATA).where("qid % 10 = 0").select("qid", "body")
     want = scoring.score(asked, index, tx.NORM, risks, fast=registry.FAST, full=registry.FULL)
     assert got == {r.qid: r.response for r in want.collect()} and len(got) == 100
+
+
+def test_bucket_cap(sets):
+    raw, refs, queries = sets
+    index = ivf.build_ivf(raw, 16, rounds=1)
+    want = brute(refs, queries)
+    assert found(knn.knn_pruned(index, queries, nprobe=2, skip_self=True, most=128)) == want
+    capped = found(knn.knn_pruned(index, queries, nprobe=2, skip_self=True, most=1))
+    assert capped.keys() <= want.keys() and capped != want
+
+
+def test_command_line(spark, tmp_path):
+    from tests.test_core import BODY, LAST
+    from vicinity import __main__ as cli
+
+    rng = np.random.default_rng(0)
+    refs = [{"vector": rng.random(14).round(2).tolist(), "label": "fraud" if i % 2 else "legit"} for i in range(60)]
+    with gzip.open(tmp_path / "references.json.gz", "wt") as f:
+        json.dump(refs, f)
+    (tmp_path / "normalization.json").write_text(json.dumps(tx.NORM))
+    (tmp_path / "mcc_risk.json").write_text(json.dumps(tx.RISK))
+    bodies = [json.loads(BODY % (a, 100, "[]", "5411", LAST)) for a in (10, 200, 400)]
+    entries = [{"request": b, "expected_approved": True, "expected_fraud_score": 0.4} for b in bodies]
+    (tmp_path / "test-data.json").write_text(json.dumps({"entries": entries}))
+    cli.build(spark, str(tmp_path / "references.json.gz"), str(tmp_path / "index"), 4, 1)
+    result = cli.check(spark, str(tmp_path / "index"), str(tmp_path), str(tmp_path / "test-data.json"))
+    assert result["n"] == 3 and result["tp"] + result["fn"] == 0 and result["tn"] + result["fp"] == 3
+    assert result["score_mismatches"] == len(result["samples"])
+    assert cli.check(spark, str(tmp_path / "index"), str(tmp_path), str(tmp_path / "test-data.json"), limit=2)["n"] == 2
+
+
+def test_request_rate(spark, tmp_path):
+    from vicinity.streaming import load
+
+    stream = load.requests_at(spark, ["a", "b"], rate=50)
+    query = stream.writeStream.format("memory").queryName("rate_test").start()
+    import time
+
+    for _ in range(60):
+        time.sleep(0.5)
+        if spark.table("rate_test").count() >= 20:
+            break
+    query.stop()
+    rows = spark.table("rate_test").collect()
+    assert len(rows) >= 20 and all(r.body == "ab"[r.qid % 2] for r in rows)
+    assert all(len(p) == 3 for p in load.throughput(query))

@@ -138,13 +138,18 @@ def within_reach(cdist: Column, radius: Column, worst: Column) -> Column:
     return worst.isNull() | (gap * gap <= worst * F.lit(1 + 1e-9) + F.lit(1e-6))
 
 
-def knn_pruned(index: IvfIndex, queries: DataFrame, k: int = K, nprobe: int = FAST_PROBES, skip_self: bool = False) -> DataFrame:
+def knn_pruned(index: IvfIndex, queries: DataFrame, k: int = K, nprobe: int = FAST_PROBES, skip_self: bool = False, most: int | None = None) -> DataFrame:
     """Exact: a first pass over nprobe buckets bounds the k-th distance; buckets that the triangle inequality can't rule
-    out are scanned in full. The result is that of brute force for any number of buckets."""
+    out are scanned in full. The result is that of brute force for any number of buckets.
+
+    ``most`` stops at so many buckets of a query, the nearest ones: an option for bounded work, and approximate.
+    """
     first = knn_ivf(index, queries, k, nprobe, skip_self)
     bound = first.where(F.col("rank") == k).select("qid", F.col("dist").alias("worst"))
     far = l2sq(F.col("codes"), F.col("centroid"), index.dims)
     centroids = index.centroids.select("bucket", "radius", F.col("codes").alias("centroid"))
     pairs = queries.join(bound, "qid", "left").crossJoin(F.broadcast(centroids))
-    kept = pairs.where(within_reach(far, F.col("radius"), F.col("worst"))).select("qid", "codes", "bucket")
+    kept = pairs.where(within_reach(far, F.col("radius"), F.col("worst"))).select("qid", "codes", "bucket", far.alias("cdist"))
+    if most is not None:
+        kept = top_k(kept, "qid", most, "cdist", "bucket")
     return _scan(index, kept, k, skip_self)
