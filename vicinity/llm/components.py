@@ -15,13 +15,14 @@ from vicinity.llm.common import drop_written, written
 def _large_star(edges: DataFrame) -> DataFrame:
     """Join every neighbour above a node to the smallest node in its neighbourhood."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    # written, so that the join deals out both sides itself and can split the links of a hub
+    low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Join a node and its smaller neighbours to the smallest of them. Edges run from u down to v."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = written(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(low.select("u", F.col("m").alias("v")))
 
@@ -41,9 +42,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(edges, "links")
     mark = _settled(edges)
     while mark[0]:
-        step = _large_star(edges).where("u > v").distinct()
+        step = written(_large_star(edges).where("u > v").distinct(), "links")
         nxt = written(_small_star(step).where("u > v").distinct(), "links")
         drop_written(edges)
+        drop_written(step)
         edges, before = nxt, mark
         mark = _settled(edges)
         if mark == before:
