@@ -26,6 +26,8 @@ from vicinity.llm.common import as_bytes, documents, map_arrow, written
 from vicinity.llm.components import components
 
 RADIUS, SHINGLE, SEED, BLOCKS, CELL = 4, 4, 42, 6, 32768
+#: Stands for a null doc_id in a key; with the text's hash beside it, a real id of this value does no harm.
+NO_ID = (1 << 63) - 1
 #: Planes after which words are looked at for abandonment.
 CHECKPOINTS = (16, 24, 32, 40, 48)
 #: (query, word) comparisons and fingerprints handled at once.
@@ -217,7 +219,7 @@ def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id, fp, text_hash) for every row of ``docs``.
+    """(doc_id, fingerprint, component_id, root, text_hash) for every row of ``docs``; ``root`` is a fingerprint of the group.
 
     Nulls: a null or empty text has fingerprint 0 and links like any other; a null doc_id gets the smallest id of
     its group, null if the group has none. Repeated rows each return a row. An empty table returns none. Other
@@ -228,9 +230,9 @@ def groups(docs: DataFrame) -> DataFrame:
     stars = components(links(nodes)).withColumnRenamed("u", "fp")
     rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    named = rooted.select("fp", "root").join(least, "root")
     return rows.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "text_hash"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root", "text_hash"
     )
 
 
@@ -239,17 +241,12 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     Keeps all columns. Where rows repeat in both, one stays.
     """
-    members = groups(docs)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    per_fp = members.select("fp", "component_id", place.alias("place"), "text_hash")
-    chosen = per_fp.groupBy("fp").agg(F.min("place").alias("place"), F.first("component_id").alias("component_id"), F.count("*").alias("n"))
-    # a group of null ids only has no component_id: its fingerprints meet in the links alone
-    best = chosen.groupBy(F.coalesce("component_id", "fp").alias("g"), F.col("component_id").isNull().alias("none")).agg(F.min("place").alias("place"))
+    place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"))
+    best = groups(docs).groupBy("root").agg(F.min(place).alias("place"))
     best = best.select(F.col("place.id").alias("__id"), F.col("place.hash").alias("__hash"))
-    kept = docs.withColumn("__text_hash", F.xxhash64("text")).join(
-        best, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi"
-    )
-    return kept.dropDuplicates(["doc_id", "__text_hash"]).select(*docs.columns)
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64("text"))
+    # both steps have the same keys, so that texts are shuffled once
+    return keyed.join(best, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
 
 
 def op1_simhash_groups(spark, sf_dir):
