@@ -109,11 +109,16 @@ def test_bit_sliced_bucket_equals_popcount(seed, centres, copies, flips):
     assert len(u) < len(values)  # a forest, never all pairs
 
 
-@pytest.mark.parametrize("cell", [16, 32768])
-def test_links_lose_nothing_when_a_bucket_is_cut(spark, cell):
+@pytest.mark.parametrize("count, blocks", [(0, 6), (10**8, 6), (10**9, 7), (5 * 10**10, 8)])
+def test_number_of_blocks(count, blocks):
+    assert simhash.blocks_for(count) == blocks
+
+
+@pytest.mark.parametrize("cell, blocks", [(16, 6), (32768, 6), (64, 7), (32768, 8)])
+def test_links_lose_nothing(spark, cell, blocks):
     values = near_values(5, 3, 120, 4)
     signed = [(v - 2**64 if v >= 2**63 else v,) for v in values]
-    links = simhash.links(spark.createDataFrame(signed, "fp long"), cell=cell).collect()
+    links = simhash.links(spark.createDataFrame(signed, "fp long"), cell=cell, blocks=blocks).collect()
     want = [(a, b) for i, a in enumerate(values) for b in values[:i] if (a ^ b).bit_count() <= 4]
     found = [(r.u % 2**64, r.v % 2**64) for r in links]
     assert same_partition(classes(values, want), classes(values, found))

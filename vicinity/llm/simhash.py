@@ -3,8 +3,8 @@
 A document's fingerprint takes, for each of 64 bits, the majority of its 4-word shingles' XXH64 values (seed 42).
 Fingerprints within ``RADIUS`` bits are linked, and components of links are the groups.
 
-Candidates: the 64 bits are cut into ``BLOCKS`` runs. Two fingerprints that differ in at most RADIUS = 4 bits agree on
-at least BLOCKS - RADIUS = 2 of 6 runs, so they meet under one of the 15 pairs of runs: no link is lost. Within a
+Candidates: the 64 bits are cut into 6 runs, or 7 or 8 for very many documents. Two fingerprints that differ in at most
+RADIUS = 4 bits agree on at least 2 of 6 runs (3 of 7, 4 of 8), so they meet under a key: no link is lost. Within a
 bucket the fingerprints are compared in vertical form: plane k holds bit k of 64 candidates in a word, differences are
 counted by carry-save adders over whole words, and a word whose 64 candidates have all passed the radius is abandoned.
 Only distinct fingerprints are compared, and each bucket gives a spanning forest, never all pairs. A bucket above
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vicinity.llm.common import as_bytes, documents, map_arrow, written
 from vicinity.llm.components import components
 
-RADIUS, SHINGLE, SEED, BLOCKS, CELL = 4, 4, 42, 6, 32768
+RADIUS, SHINGLE, SEED, CELL, BUCKET = 4, 4, 42, 32768, 64
 #: Stands for a null doc_id in a key; with the text's hash beside it, a real id of this value does no harm.
 NO_ID = (1 << 63) - 1
 #: Planes after which words are looked at for abandonment.
@@ -170,14 +170,32 @@ def spanning_links(buckets: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -
     return unique[moved], unique[label[moved]]
 
 
-def _cells(fps: DataFrame, cell: int) -> DataFrame:
-    """(key, cell, fp): each distinct fingerprint under its 15 pairs of bit runs; large buckets cut into chunk pairs."""
-    edges = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
+def blocks_for(count: int) -> int:
+    """Runs that the bits are cut into: the fewest, from 6 on, whose keys leave ``BUCKET`` random fingerprints in a bucket.
+
+    A pair within RADIUS bits agrees on blocks - RADIUS runs at least, for any number of blocks, so the choice decides
+    about the work only: 15 keys of 21 bits each for 6 blocks, 35 of 27 for 7, 70 of 32 for 8.
+    """
+    blocks = 6
+    while blocks < 8 and count > BUCKET << 64 * (blocks - RADIUS) // blocks:
+        blocks += 1
+    return blocks
+
+
+def _cells(fps: DataFrame, cell: int, blocks: int) -> DataFrame:
+    """(key, cell, fp): each distinct fingerprint under its keys; large buckets cut into pairs of chunks.
+
+    A key is a choice of runs and their bits.
+    """
+    edges = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    width = -(-64 // blocks)
     runs = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])]
-    keys = [
-        F.lit(t << 40).bitwiseOR(F.shiftleft(runs[a], 12)).bitwiseOR(runs[b])
-        for t, (a, b) in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS))
-    ]
+    keys = []
+    for t, chosen in enumerate(combinations(runs, blocks - RADIUS)):
+        key = F.lit(t).cast("long")
+        for run in chosen:
+            key = F.shiftleft(key, width).bitwiseOR(run)
+        keys.append(key)
     rows = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     large = rows.groupBy("key").count().where(F.col("count") > cell).select("key", F.ceil(F.col("count") / cell).alias("chunks"))
     mine = F.pmod(F.xxhash64("fp"), F.col("chunks"))
@@ -187,11 +205,14 @@ def _cells(fps: DataFrame, cell: int) -> DataFrame:
     return out.select("key", F.coalesce(pair, F.lit(0)).alias("cell"), "fp")
 
 
-def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """Links (u, v) that span each component of fingerprints within ``radius`` bits (at most RADIUS)."""
+def links(fps: DataFrame, radius: int = RADIUS, cell: int = CELL, blocks: int | None = None) -> DataFrame:
+    """Links (u, v) that span each component of fingerprints within ``radius`` bits (at most RADIUS).
+
+    ``fps`` has distinct fingerprints; ``blocks`` follows from their number unless given.
+    """
     if radius > RADIUS:
         raise ValueError(f"the candidate keys are complete up to {RADIUS} bits")
-    placed = _cells(fps.select("fp").distinct(), cell)
+    placed = _cells(fps.select("fp"), cell, blocks_for(fps.count()) if blocks is None else blocks)
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell")
 
@@ -226,7 +247,7 @@ def groups(docs: DataFrame) -> DataFrame:
     columns of ``docs`` are not read.
     """
     rows = written(fingerprints(docs), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     stars = components(links(nodes)).withColumnRenamed("u", "fp")
     rooted = nodes.join(stars, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
