@@ -75,9 +75,8 @@ def restorer(corpus):
     [("1d10t", "idiot"), ("idi0t", "idiot"), ("$tupid", "stupid"), ("iiidiooot", "idiot"), ("m0r0n", "moron"), ("i.d.i.o.t", "idiot"), ("scu-m", "scum"), ("tr@sh", "trash"), ("w0rthl3ss", "worthless")],
 )
 def test_restored_words(restorer, seen, meant):
-    # the small corpus' model may rank another reading of some look-alikes higher; the word must be among the readings
-    words = restorer.words(seen)
-    assert meant in words or abs(len(words[-1]) - len(meant)) <= 1
+    # this corpus' words are invented, so its model may prefer l to i for a 1; which letters come back is what counts
+    assert meant.replace("l", "i") in [w.replace("l", "i") for w in restorer.words(seen)]
 
 
 def test_plain_words_stay(restorer):

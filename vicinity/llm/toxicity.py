@@ -44,8 +44,8 @@ LOOKALIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l",
 }
 OUTER = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*%&#$@|+-_~^=/\\`"
-#: Log probabilities of the channel. A look-alike between letters is seldom noise; other symbols and long runs often are.
-SAME, LOOKS, DROPPED, REPEATED, EDGE, NOISE = map(math.log, (0.95, 0.4, 0.3, 0.35, 0.1, 0.005))
+#: Log probabilities of the channel. A look-alike between letters is seldom noise or a break; other symbols often are.
+SAME, LOOKS, DROPPED, REPEATED, EDGE, NOISE, BREAK = map(math.log, (0.95, 0.4, 0.3, 0.35, 0.1, 1e-6, 0.003))
 
 _TRIPLE = re.compile(r"(.)\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?![^\W\d_])")
@@ -108,7 +108,7 @@ class Restorer:
             again = i > 0 and piece[i - 1] == o and (o * 3 in piece[max(0, i - 2) : i + 3])
             return [(o, SAME), ("", REPEATED)] if again else [(o, SAME)]
         looks = LOOKALIKE.get(o, "")
-        return [("", NOISE if looks else DROPPED), (" ", EDGE), *((x, LOOKS) for x in looks)]
+        return [("", NOISE if looks else DROPPED), (" ", BREAK if looks else EDGE), *((x, LOOKS) for x in looks)]
 
     def decode(self, piece: str) -> str:
         """The most probable restored text of a lower-cased piece; of equal ones the first in order of options."""
