@@ -15,6 +15,8 @@ from vicinity.streaming import score as scoring
 
 #: Buckets and probes of the embedding queries: the tables hold 500 to 2,000 vectors.
 BUCKETS, FAST, FULL = 16, 2, 6
+#: Buckets of the event index.
+EVENT_BUCKETS = 128
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,37 +199,33 @@ def latency_points(spark, sf_dir):
     return rows.select(F.round(evaluate.latency_score(F.col("p99"))).cast("bigint").alias("points"))
 
 
-def _event_sets(spark, sf_dir):
-    """Every tenth event asks; the others are references, fraud if they are errors."""
-    rows = _vectors(spark, sf_dir)
-    refs = rows.where("parsed and qid % 10 <> 0")
-    refs = refs.select(F.col("qid").alias("orig_id"), scalars.quantize(F.col("vector")).alias("codes"), (F.col("event_type") == "error").cast("int").alias("label"), "vector")
-    return refs, rows.where("qid % 10 = 0")
+def _event_references(spark, sf_dir):
+    """All events that can be read, as a reference set; fraud if they are errors."""
+    rows = _vectors(spark, sf_dir).where("parsed")
+    return rows.select(F.col("qid").alias("orig_id"), "vector", scalars.quantize(F.col("vector")).alias("codes"), (F.col("event_type") == "error").cast("int").alias("label"))
 
 
 def event_decisions(spark, sf_dir):
-    """Decisions for every tenth event by exact search; one that can't be read is approved with score 0."""
-    refs, asked = _event_sets(spark, sf_dir)
-    queries = asked.where("parsed").select("qid", scalars.quantize(F.col("vector")).alias("codes"))
-    voted = decide.vote(queries, knn.knn_brute(refs.drop("vector"), queries))
+    """A decision on every event, by exact search of all others; one that can't be read is approved with score 0."""
+    refs = _event_references(spark, sf_dir).drop("vector")
+    voted = decide.vote(refs.select(F.col("orig_id").alias("qid")), knn.knn_brute(refs, refs.select(F.col("orig_id").alias("qid"), "codes"), skip_self=True))
     frauds = F.coalesce("frauds", F.lit(0))
-    return asked.select("qid").join(voted.select("qid", "frauds"), "qid", "left").select("qid", frauds.alias("frauds"), decide.approved(frauds).alias("approved"))
+    asked = tx.requests(spark, sf_dir).select("qid")
+    return asked.join(voted.select("qid", "frauds"), "qid", "left").select("qid", frauds.alias("frauds"), decide.approved(frauds).alias("approved"))
 
 
 def _event_index(spark, sf_dir):
-    refs, _ = _event_sets(spark, sf_dir)
-    order = Window.orderBy("event_id")
-    # positions from 0, as the reference set's ids are; one row an event of the reference table's size
-    places = refs.select(F.col("orig_id").alias("event_id"), "vector", "label").withColumn("orig_id", F.row_number().over(order) - 1)
-    return ivf.build_ivf(places.select(F.col("orig_id").cast("long"), "vector", "label"), BUCKETS)
+    """An index of all events that can be read; its ids are positions, as those of a reference file are."""
+    order = Window.orderBy("orig_id")
+    places = _event_references(spark, sf_dir).select("vector", "label", (F.row_number().over(order) - 1).cast("long").alias("orig_id"))
+    return ivf.build_ivf(places.select("orig_id", "vector", "label"), EVENT_BUCKETS)
 
 
 def stream_score(spark, sf_dir):
-    """Scores every tenth request as a stream over arriving files, and returns what the sink holds."""
+    """Scores all requests as a stream over arriving files, and returns what the sink holds. Events find themselves too."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vicinity-")
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    asked = tx.requests(spark, sf_dir).where("qid % 10 = 0").select("qid", "body")
-    asked.write.parquet(f"{folder}/in")
+    tx.requests(spark, sf_dir).select("qid", "body").write.parquet(f"{folder}/in")
     index, risks = _event_index(spark, sf_dir), tx.risks(spark)
     stream = spark.readStream.schema("qid long, body string").parquet(f"{folder}/in")
     run = scoring.score_stream(stream, lambda batch: scoring.score(batch, index, tx.NORM, risks, fast=FAST, full=FULL), f"{folder}/out", f"{folder}/log", once=True)
@@ -338,9 +336,10 @@ def oracle_sql() -> dict:
             round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99,
             round(quantile_cont(value, 0.999), 6) AS p99_9, round(max(value), 6) AS max FROM events""",
         "latency_points": "SELECT CAST(round(least(3000.0, 1000 * log10(1000 / quantile_cont(value, 0.99)))) AS BIGINT) AS points FROM events",
-        "event_decisions": f"""WITH {tx.SQL}, long AS ({dims}), v AS (SELECT event_id, list({_code_sql('i16', 'v')} ORDER BY dim) AS codes FROM long GROUP BY event_id),
-            q AS (SELECT event_id, codes FROM v WHERE event_id % 10 = 0), r AS (SELECT event_id, codes, CAST(event_type = 'error' AS INT) AS label FROM v JOIN tx USING (event_id) WHERE event_id % 10 <> 0),
-            near AS (SELECT q.event_id AS qid, r.label FROM q CROSS JOIN r QUALIFY row_number() OVER (PARTITION BY q.event_id ORDER BY {_far_sql("q.codes", "r.codes")}, r.event_id) <= 5),
-            votes AS (SELECT qid, CAST(sum(label) AS INT) AS frauds FROM near GROUP BY qid)
-            SELECT event_id AS qid, coalesce(frauds, 0) AS frauds, coalesce(frauds, 0) < 3 AS approved FROM tx LEFT JOIN votes ON qid = event_id WHERE event_id % 10 = 0""",
+        "event_decisions": f"""WITH {tx.SQL}, long AS ({dims}), coded AS (SELECT event_id, dim, {_code_sql('i16', 'v')} AS code FROM long),
+            wide AS (SELECT event_id, {", ".join(f"max(code) FILTER (dim = {d}) AS d{d}" for d in range(14))} FROM coded GROUP BY event_id),
+            refs AS (SELECT wide.*, CAST(event_type = 'error' AS INT) AS label FROM wide JOIN tx USING (event_id)),
+            votes AS (SELECT q.event_id, list_sum(arg_min(r.label, ({" + ".join(f"(q.d{d} - r.d{d}) * (q.d{d} - r.d{d})" for d in range(14))}) * 100000000 + r.event_id, 5)) AS frauds
+                FROM refs q JOIN refs r ON q.event_id <> r.event_id GROUP BY q.event_id)
+            SELECT event_id AS qid, CAST(coalesce(frauds, 0) AS INT) AS frauds, coalesce(frauds, 0) < 3 AS approved FROM tx LEFT JOIN votes USING (event_id)""",
     }
