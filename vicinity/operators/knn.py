@@ -38,13 +38,16 @@ def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 
 def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and codes of the queries, at most about ``block`` at a time."""
-    total = queries.count()
-    blocks = -(-total // block)
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        rows = part.select("qid", "codes").toPandas()
-        if len(rows):
-            yield rows["qid"].to_numpy(np.int64), np.array(rows["codes"].tolist(), np.float64)
+    queries = queries.select("qid", "codes").persist()
+    try:
+        blocks = -(-queries.count() // block)
+        for b in range(blocks):
+            part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+            rows = part.toPandas()
+            if len(rows):
+                yield rows["qid"].to_numpy(np.int64), np.array(rows["codes"].tolist(), np.float64)
+    finally:
+        queries.unpersist()
 
 
 def knn_brute(refs: DataFrame, queries: DataFrame, k: int = K, skip_self: bool = False) -> DataFrame:

@@ -207,7 +207,7 @@ def _event_references(spark, sf_dir):
 
 def event_decisions(spark, sf_dir):
     """A decision on every event, by exact search of all others; one that can't be read is approved with score 0."""
-    refs = _event_references(spark, sf_dir).drop("vector")
+    refs = _event_references(spark, sf_dir).drop("vector").persist()
     voted = decide.vote(refs.select(F.col("orig_id").alias("qid")), knn.knn_brute(refs, refs.select(F.col("orig_id").alias("qid"), "codes"), skip_self=True))
     frauds = F.coalesce("frauds", F.lit(0))
     asked = tx.requests(spark, sf_dir).select("qid")
