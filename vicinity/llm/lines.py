@@ -141,9 +141,10 @@ def linked(table: DataFrame) -> DataFrame:
 
 def removals(table: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """(id, hash, removed array<int>, partners): line numbers, from 0, to delete from each document that loses some."""
-    pairs = linked(table)
-    later = pairs.join(table.select("id", "hash", F.col("lines").alias("b_lines"), F.col("words").alias("b_words")).dropDuplicates(["id", "hash"]), ["id", "hash"])
-    earlier = table.select(F.col("id").alias("a_id"), F.col("hash").alias("a_hash"), F.col("lines").alias("a_lines")).dropDuplicates(["a_id", "a_hash"])
+    # rows that repeat are one document; written, so that the joins below can split a document with very many partners
+    once = written(table.select("id", "hash", "lines", "words").dropDuplicates(["id", "hash"]), "once")
+    later = linked(once).join(once.withColumnsRenamed({"lines": "b_lines", "words": "b_words"}), ["id", "hash"])
+    earlier = once.select(F.col("id").alias("a_id"), F.col("hash").alias("a_hash"), F.col("lines").alias("a_lines"))
     both = later.join(earlier, ["a_id", "a_hash"])
     bounded_batches(table.sparkSession)
 
