@@ -109,7 +109,7 @@ def test_decode_is_the_best_path(restorer):
 def test_trigram_counts_do_not_depend_on_blocks():
     text = "ab c" * 400_000
     a = toxicity.trigrams(text)
-    assert a.sum() == toxicity.trigrams("ab c").sum() + (a.sum() - toxicity.trigrams("ab c").sum())
+    assert a.sum() == len(text) + 1  # each symbol and the last word's end
     assert a[(1 * 28 + 2) * 28] == 400_000  # a, b, end of word
 
 

@@ -16,7 +16,7 @@ from vicinity.functions.shipping import ship_package
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Upper bounds of an Arrow batch; long documents make the bytes count, short ones the rows.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

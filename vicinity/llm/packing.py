@@ -27,7 +27,7 @@ from vicinity.llm.tokens import ChunkEncoder, default_path
 
 TOKENS, SEGMENTS, END_ID = 4096, 256, 2
 #: Waiting examples of a task: rows and bytes at which bins are filled.
-WINDOW_ROWS, WINDOW_BYTES = 1024, 16 << 20
+WINDOW_ROWS, WINDOW_BYTES = 512, 8 << 20
 #: Sequence ids: the task's number times this plus the sequence's own.
 PER_TASK = 1 << 40
 
