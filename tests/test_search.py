@@ -61,14 +61,22 @@ def test_vptree(sets):
     assert found(vptree.knn_vptree(refs, queries, skip_self=True, chunk=100)) == brute(refs, queries)
 
 
+@pytest.fixture(params=["join", "blocks"])
+def way(request, monkeypatch):
+    """Both ways to scan buckets: that of short vectors and that of long ones."""
+    if request.param == "blocks":
+        monkeypatch.setattr(knn, "FLAT", 0)
+        monkeypatch.setattr(knn, "BLOCK", 100)
+
+
 @pytest.mark.parametrize("k", [1, 2, 5, 16, 64])
-def test_pruned_is_exact_for_any_number_of_buckets(sets, k):
+def test_pruned_is_exact_for_any_number_of_buckets(sets, k, way):
     raw, refs, queries = sets
     index = ivf.build_ivf(raw, k, rounds=1)
     assert found(knn.knn_pruned(index, queries, nprobe=2, skip_self=True)) == brute(refs, queries)
 
 
-def test_all_buckets_probed_is_exact_and_rows_come_once(sets):
+def test_all_buckets_probed_is_exact_and_rows_come_once(sets, way):
     raw, refs, queries = sets
     index = ivf.build_ivf(raw, 3, rounds=1)
     assert found(knn.knn_ivf(index, queries, nprobe=80, skip_self=True)) == brute(refs, queries)
@@ -90,7 +98,7 @@ def test_fewer_references_than_k(spark):
     assert knn.knn_brute(refs.limit(0), queries).count() == 0
 
 
-def test_two_pass_rescans_the_edge_only(sets):
+def test_two_pass_rescans_the_edge_only(sets, way):
     raw, _, queries = sets
     index = ivf.build_ivf(raw, 16)
     votes = lambda n: {r.qid: r.frauds for r in knn.frauds(knn.knn_ivf(index, queries, nprobe=n, skip_self=True)).collect()}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.functions.scalars import l2sq
+from vicinity.functions.scalars import FLAT, l2sq
 from vicinity.functions.shipping import ship_package
 from vicinity.operators.ivf import IvfIndex
 from vicinity.operators.topk import BlockTopK, top_k
@@ -36,16 +36,17 @@ def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * (q @ r.T)
 
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and codes of the queries, at most about ``block`` at a time."""
-    queries = queries.select("qid", "codes").persist()
+def query_blocks(queries: DataFrame, block: int = BLOCK, *more: str) -> Iterator[tuple]:
+    """Ids and codes of the queries, and columns named beside them, at most about ``block`` at a time."""
+    queries = queries.select("qid", "codes", *more).persist()
     try:
         blocks = -(-queries.count() // block)
         for b in range(blocks):
             part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
             rows = part.toPandas()
             if len(rows):
-                yield rows["qid"].to_numpy(np.int64), np.array(rows["codes"].tolist(), np.float64)
+                codes = np.array(rows["codes"].tolist(), np.float64)
+                yield rows["qid"].to_numpy(np.int64), codes, *(rows[c].tolist() for c in more)
     finally:
         queries.unpersist()
 
@@ -75,13 +76,7 @@ def knn_brute(refs: DataFrame, queries: DataFrame, k: int = K, skip_self: bool =
                 if skip_self:
                     d[ids[:, None] == refs[None, :]] = np.inf
                 best.add(d, refs, batch.column(2).to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids[best.query]), pa.array(best.ids), pa.array(best.labels.astype(np.int32)),
-                    pa.array(best.distances.astype(np.int64)),
-                ],
-                ["qid", "orig_id", "label", "dist"],
-            )
+            yield best.batch(ids)
 
         found.append(refs.select("orig_id", "codes", F.col("label").cast("int")).mapInArrow(scan, FOUND))
     if not found:
@@ -101,7 +96,13 @@ def probes(index: IvfIndex, queries: DataFrame, n: int) -> DataFrame:
 
 
 def _scan(index: IvfIndex, probed: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """The k best references in the probed buckets: an equi-join on the bucket, so each row comes up once a query."""
+    """The k best references in the probed buckets; each row comes up once a query.
+
+    Short vectors: an equi-join on the bucket, whose distance is compiled. Long ones: blocks of queries against the index
+    in place, a matrix product for each bucket that a task meets.
+    """
+    if index.dims > FLAT:
+        return _scan_blocks(index, probed, k, skip_self)
     rows = index.rows.select("bucket", "orig_id", "label", F.col("codes").alias("ref"))
     pairs = probed.select("qid", "bucket", "codes").join(rows, "bucket")
     if skip_self:
@@ -110,6 +111,42 @@ def _scan(index: IvfIndex, probed: DataFrame, k: int, skip_self: bool) -> DataFr
     return top_k(near, "qid", k, "dist", "orig_id")
 
 
+def _scan_blocks(index: IvfIndex, probed: DataFrame, k: int, skip_self: bool) -> DataFrame:
+    spark = probed.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    queries = probed.groupBy("qid").agg(F.first("codes").alias("codes"), F.collect_list("bucket").alias("buckets"))
+    found = []
+    for ids, codes, buckets in query_blocks(queries, BLOCK, "buckets"):
+        mask = np.zeros((index.k, len(ids)), bool)
+        for i, mine in enumerate(buckets):
+            mask[np.asarray(mine), i] = True
+        shared = spark.sparkContext.broadcast((ids, codes, mask))
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, codes, mask = shared.value
+            best = BlockTopK(len(ids), k)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                refs, refs_codes = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
+                bucket = batch.column(3).to_numpy(zero_copy_only=False)
+                d = np.full((len(ids), len(refs)), np.inf)
+                for c in np.unique(bucket):
+                    looks, some = np.flatnonzero(mask[c]), np.flatnonzero(bucket == c)
+                    if len(looks):
+                        d[np.ix_(looks, some)] = squared_distances(codes[looks], refs_codes[some])
+                if skip_self:
+                    d[ids[:, None] == refs[None, :]] = np.inf
+                best.add(d, refs, batch.column(2).to_numpy(zero_copy_only=False))
+            yield best.batch(ids)
+
+        found.append(index.rows.select("orig_id", "codes", F.col("label").cast("int"), "bucket").mapInArrow(scan, FOUND))
+    if not found:
+        return spark.createDataFrame([], FOUND + ", rank int")
+    return top_k(reduce(DataFrame.union, found), "qid", k, "dist", "orig_id")
+
+
 def knn_ivf(index: IvfIndex, queries: DataFrame, k: int = K, nprobe: int = FAST_PROBES, skip_self: bool = False) -> DataFrame:
     """Each query's k nearest references of its nprobe nearest buckets: approximate."""
     return _scan(index, probes(index, queries, nprobe), k, skip_self)

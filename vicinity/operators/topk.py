@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,3 +41,8 @@ class BlockTopK:
         self.ids, self.labels = ids[order], labels[order]
         last = place[place < self.k] == self.k - 1
         self.worst[self.query[last]] = self.distances[last]
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        """What has been found, as rows (qid, orig_id, label, dist)."""
+        columns = (query_ids[self.query], self.ids, self.labels.astype(np.int32), self.distances.astype(np.int64))
+        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["qid", "orig_id", "label", "dist"])
