@@ -65,21 +65,22 @@ def epoch_seconds(iso: Column) -> Column:
     return F.unix_seconds(F.try_to_timestamp(F.substring(iso, 1, 19), F.lit("yyyy-MM-dd'T'HH:mm:ss")))
 
 
-def epoch_days(iso: Column) -> Column:
-    return F.floor(epoch_seconds(iso) / 86400).cast("int")
+def epoch_days(seconds: Column) -> Column:
+    return F.floor(seconds / 86400).cast("int")
 
 
-def hour_of(iso: Column) -> Column:
-    return F.pmod(F.floor(epoch_seconds(iso) / 3600), F.lit(24)).cast("int")
+def hour_of(seconds: Column) -> Column:
+    return F.pmod(F.floor(seconds / 3600), F.lit(24)).cast("int")
 
 
-def day_of_week(iso: Column) -> Column:
+def day_of_week(seconds: Column) -> Column:
     """Monday 0 to Sunday 6; day 0 of the epoch was a Thursday."""
-    return F.pmod(epoch_days(iso) + 3, F.lit(7)).cast("int")
+    return F.pmod(epoch_days(seconds) + 3, F.lit(7)).cast("int")
 
 
 def minutes_between(later: Column, earlier: Column) -> Column:
-    return (epoch_seconds(later) - epoch_seconds(earlier)) / F.lit(60.0)
+    """Minutes between two times in seconds."""
+    return (later - earlier) / F.lit(60.0)
 
 
 def mcc_digits(mcc: Column) -> Column:
