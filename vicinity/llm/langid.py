@@ -30,7 +30,7 @@ NO_LANGUAGE = "und"
 def _letters() -> np.ndarray:
     """Code point -> number of the letter from 1 on, or 0; a number has 18 bits at most."""
     is_letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return np.where(is_letter, np.cumsum(is_letter), 0)
+    return np.where(is_letter, np.cumsum(is_letter), 0).astype(np.int32)
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     codes = np.r_[0, codes, 0] if codes[-1] else np.r_[0, codes]
     found = []
     for i in range(0, len(codes), BLOCK):
-        c = codes[i : i + BLOCK + 2]
+        c = codes[i : i + BLOCK + 2].astype(np.int64)
         one = c[: min(BLOCK, len(c))]
         two = c[: BLOCK + 1]
         a, b = two[:-1], two[1:]
