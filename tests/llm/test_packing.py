@@ -66,7 +66,7 @@ def test_empty(nothing):
 TEXTS = st.text(st.sampled_from("ab zZ.,'!<|>01é́ßİΣς你  \x1c\n\t#"), max_size=40)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=600, deadline=None)
 @given(st.lists(TEXTS, max_size=4), st.integers(0, 3))
 def test_chunks_encode_like_the_whole_text(texts, room):
     tokenizer = Tokenizer.from_file(tokens.default_path()) if not hasattr(tokens, "_t") else tokens._t
@@ -74,7 +74,7 @@ def test_chunks_encode_like_the_whole_text(texts, room):
     if not hasattr(tokens, "_e"):
         tokens._e = {}
     encoder = tokens._e.setdefault(room, tokens.ChunkEncoder(tokens.default_path(), room * 5, room))
-    for text in [*texts, "it's I'll <|endoftext|>x don't"]:
+    for text in [*texts, "it's I'll <|endoftext|>x don't İ< İ"]:
         assert encoder.encode(text.encode()) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 

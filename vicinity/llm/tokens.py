@@ -27,6 +27,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(word: str) -> bool:
+    """Whether a word is of letters only, in lower case too: the dot of a dotted capital I becomes a mark of its own."""
+    return word.isalpha() and word.lower().isalpha()
+
+
 class ChunkEncoder:
     """Encodes UTF-8 text to little-endian 32-bit ids. One a worker: see ``of``."""
 
@@ -68,7 +73,7 @@ class ChunkEncoder:
             core = low.rstrip(PUNCTUATION)
             ids = cores.get(core)
             if ids is None and core not in letters:
-                if not (core.isalpha() or (not core.isascii() and core.decode().isalpha())):
+                if not (core.isalpha() or (not core.isascii() and _letters(core.decode()))):
                     others[chunk] = b""
                     continue
                 letters[core] = b""
