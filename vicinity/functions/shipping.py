@@ -1,4 +1,4 @@
-"""Makes the package importable in executors' Python workers."""
+"""Prepares a session for Python workers: sends them the package, and bounds their batches."""
 
 from __future__ import annotations
 
@@ -25,3 +25,11 @@ def ship_package(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root.parent))
     context.addPyFile(archive)
     _shipped.add(context.applicationId)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lower the session's limit of rows in an Arrow batch, never raise it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= rows:
+        spark.conf.set(key, str(rows))

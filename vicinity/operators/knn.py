@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vicinity.functions.scalars import FLAT, l2sq
-from vicinity.functions.shipping import ship_package
+from vicinity.functions.shipping import ship_package, small_batches
 from vicinity.operators.ivf import IvfIndex
 from vicinity.operators.topk import BlockTopK, top_k
 
@@ -60,7 +60,7 @@ def knn_brute(refs: DataFrame, queries: DataFrame, k: int = K, skip_self: bool =
     """
     spark = refs.sparkSession
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     found = []
     for ids, codes in query_blocks(queries):
         shared = spark.sparkContext.broadcast((ids, codes))
@@ -114,7 +114,7 @@ def _scan(index: IvfIndex, probed: DataFrame, k: int, skip_self: bool) -> DataFr
 def _scan_blocks(index: IvfIndex, probed: DataFrame, k: int, skip_self: bool) -> DataFrame:
     spark = probed.sparkSession
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    small_batches(spark)
     queries = probed.groupBy("qid").agg(F.first("codes").alias("codes"), F.collect_list("bucket").alias("buckets"))
     found = []
     for ids, codes, buckets in query_blocks(queries, BLOCK, "buckets"):
