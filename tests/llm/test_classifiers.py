@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.conftest import ROWS, frame
+from tests.llm.conftest import ROWS
 from vicinity.llm import langid, queries, rules, site_quality, toxicity
 from vicinity.llm.common import held_out
 
