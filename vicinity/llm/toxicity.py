@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vicinity.llm import near
 from vicinity.llm.common import as_strings, documents, held_out, learnable, map_arrow, written
 
 #: Symbols of the language model: 0 a word's edge, 1 to 26 the letters a to z, 27 any other letter.
@@ -242,7 +243,13 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Scorer:
     labels = labels.where(F.col("toxic").isNotNull() & learnable(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxicity")), 11) / F.lit(float(1 << 53))
     chosen = written(labels.where(u < F.lit(rows / max(1, labels.count()))), "toxic-labels")
-    totals = dict(chosen.groupBy("toxic").count().collect())
+    taught = docs.select("text", F.xxhash64("text").alias("node"), "doc_id").where(F.col("text").isNotNull()).join(chosen, "doc_id")
+    # copies would make chance words of one text look like evidence: of near copies with the same label one stays
+    taught = written(taught.groupBy("toxic", "node").agg(F.min("text").alias("text")), "taught")
+    roots = near.rooted(taught.groupBy("node").agg(F.min("text").alias("text")))
+    least = taught.select("toxic", "node").join(roots, "node").groupBy("toxic", "root").agg(F.min("node").alias("node"))
+    taught = written(taught.join(least.select("toxic", "node"), ["toxic", "node"], "left_semi").select("toxic", "text"), "taught-once")
+    totals = dict(taught.groupBy("toxic").count().collect())
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     base = (n_toxic + 0.5) / (n_toxic + n_clean + 1) if n_toxic + n_clean else 0.1
     if not n_toxic or not n_clean:
@@ -259,11 +266,6 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Scorer:
             ["feature", "toxic", "clean"],
         )
 
-    taught = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(chosen, "doc_id").select("toxic", "text")
-    # copies would make chance words of one text look like evidence: one of those that agree in their least word hash stays
-    longer = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 5))
-    least = F.coalesce(F.array_min(F.transform(longer, lambda w: F.xxhash64(w))), F.xxhash64("text"))
-    taught = taught.groupBy("toxic", least.alias("least")).agg(F.min("text").alias("text")).select("toxic", "text")
     sums = map_arrow(taught, count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # bounded by the sample: each of its toxic documents' features, of those that stand in SUPPORT of them
     counts = written(sums.where(F.col("toxic") >= SUPPORT), "toxic-features")
