@@ -1,6 +1,7 @@
 """License scans and nearest neighbours against brute force."""
 
 import collections
+import itertools
 import re
 
 import numpy as np
@@ -58,6 +59,22 @@ def test_labels(spark, text, labels):
     assert licenses.scan(frame(spark, [(1, text, "en", "a")])).first().labels == labels
 
 
+def test_templates_do_not_displace_each_other(corpus):
+    index = licenses.Index(*licenses.frequencies(corpus))
+    notices = [(label, text.encode()) for label, text, _ in licenses.TEMPLATES]
+    alone = [set(index.scan(text)[5].split(",")) for _, text in notices]
+    assert all(label in found for (label, _), found in zip(notices, alone))
+    whole = set(index.scan(b"\n\n".join(text for _, text in notices))[5].split(","))
+    assert whole == {label for label, _ in notices}
+    for a, b in itertools.combinations(range(len(notices)), 2):
+        found = set(index.scan(notices[a][1] + b"\n\n" + notices[b][1])[5].split(","))
+        assert alone[a] | alone[b] <= found, (notices[a], notices[b])
+    # rarer words of the template elsewhere don't displace the key phrase
+    template = index.templates[0]
+    text = b" ".join(reversed(template.words)) + b" x " + b" ".join(template.keys[0])
+    assert index.scan(text)[5] == "mit"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["mit", "license", "cc", "by", "apache", "gnu", "general", "public", "x", "é", "MIT-License"]), max_size=30))
 def test_base_places(words):

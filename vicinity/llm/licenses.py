@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index.
 
-The index maps each word of the license templates to its postings (template, place). A file's licence words are ordered
-by IDF, with document frequencies counted over the whole corpus; the ``RARE`` highest ones are looked up, each of their
-places in the file votes for the places where their templates would begin, and a template with enough distinct votes for
-one beginning is a candidate. A candidate counts if one of its mandatory key phrases stands within its span; its score
-is the share of the template's words found at their relative places.
+The index maps each word of a license template to its postings, the places where it stands in the template. A file's
+licence words are ordered by IDF, with document frequencies counted over the whole corpus; of each template that the file
+may hold, the ``RARE`` highest ones and the ``VOTES`` highest ones of each key phrase are looked up, so that no template's
+words displace another's. Each of their places in the file votes for the places where their templates would begin, and a
+template with enough distinct votes for one beginning is a candidate. A candidate counts if one of its mandatory key
+phrases stands within its span; its score is the share of the template's words found at their relative places.
 
 The contract's base phrases are verified at every place on their own, so that base labels are exact.
 """
@@ -52,7 +53,7 @@ TEMPLATES = [
     ("reserved", "all rights reserved", ["all rights reserved"]),
 ]
 
-#: Highest-IDF words looked up in a file, distinct places that must agree on a beginning, and slack of a key phrase.
+#: Highest-IDF words of each template looked up in a file, distinct places that must agree on a beginning, and slack of a key phrase.
 RARE, VOTES, SLACK = 12, 2, 3
 
 #: A-Z to a-z; other ASCII letters, digits and all bytes of non-ASCII characters stay; the rest ends a word.
@@ -107,10 +108,10 @@ class Index:
     def __init__(self, total: int, seen: dict[bytes, int]):
         self.templates = templates()
         self.idf = {w: math.log((total + 1) / (n + 1)) for w, n in seen.items()}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, template in enumerate(self.templates):
+        self.postings: list[dict[bytes, list[int]]] = [defaultdict(list) for _ in self.templates]
+        for postings, template in zip(self.postings, self.templates):
             for place, word in enumerate(template.words):
-                self.postings[word].append((t, place))
+                postings[word].append(place)
         self.base = [(tuple(p.encode().split()), label) for p, label in BASE.items()]
 
     def scan(self, text: bytes) -> tuple:
@@ -134,17 +135,25 @@ class Index:
         first, last = (min(starts), max(starts)) if starts else (None, None)
         return len(words), len(starts), first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
 
+    def _rarest(self, words: set[bytes], count: int) -> list[bytes]:
+        return sorted(words, key=lambda w: (-self.idf[w], w))[:count]
+
     def _aligned(self, words: list[bytes], line: bytes, present: set[bytes], able: set[int]) -> list[tuple[str, float]]:
         if not able:
             return []
-        wanted = {w for t in able for w in self.templates[t].words} & present
-        rare = set(sorted(wanted, key=lambda w: (-self.idf[w], w))[:RARE])
+        wanted: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        for t in able:
+            template = self.templates[t]
+            chosen = set(self._rarest(present.intersection(template.words), RARE))
+            # a key phrase always brings its own votes, wherever the template's rarer words stand
+            chosen.update(w for k in template.keys if present.issuperset(k) for w in self._rarest(set(k), VOTES))
+            for word in chosen:
+                wanted[word] += [(t, place) for place in self.postings[t][word]]
         votes: dict[tuple[int, int], set[int]] = defaultdict(set)
         for at, word in enumerate(words):
-            if word in rare:
-                for t, place in self.postings[word]:
-                    if t in able:
-                        votes[t, at - place].add(place)
+            if word in wanted:
+                for t, place in wanted[word]:
+                    votes[t, at - place].add(place)
         keys = {t: [(k, _places(line, k)) for k in self.templates[t].keys] for t in able}
         out = []
         for (t, begin), agreed in votes.items():
