@@ -84,6 +84,21 @@ def test_plain_words_stay(restorer):
     assert "idiot" in restorer.spaced("such an i d i o t there") and restorer.spaced("no spaced words here") == set()
 
 
+@pytest.mark.parametrize(
+    "text, meant",
+    [("you 1 d 1 o t there", "idiot"), ("i   d   i   o   t", "idiot"), ("so (i d\t1 .. 0 t) !", "idiot"), ("w o r t h l e $ $ man", "worthless"), ("1.d.1.0.t", "idiot")],
+)
+def test_spelled_apart_with_look_alikes(restorer, text, meant):
+    assert meant in restorer.spaced(text) | {w for c in text.split() for w in restorer.words(c)}
+    assert toxicity.Scorer(restorer, {meant: 5.0}, 0.1).score("some other words\n" + text) > 0.7
+
+
+@pytest.mark.parametrize("seen, meant", [("worthle$$", "worthless"), ("worthle$$!", "worthless"), ("@$$hole", "asshole"), ("$cum!", "scum"), ("(lown", "clown"), ('"@$$hole."', "asshole")])
+def test_look_alikes_at_the_ends(restorer, seen, meant):
+    assert meant in restorer.words(seen)
+    assert toxicity.Scorer(restorer, {meant: 5.0}, 0.1).score(f"what a {seen}") > 0.7
+
+
 def test_decode_is_the_best_path(restorer):
     """Against all paths of a short lattice."""
 

@@ -44,12 +44,18 @@ LOOKALIKE = {
     "0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i", "£": "l",
 }
+#: Look-alikes that are often mere punctuation around a word.
+MARKS = "!(|+¡"
 OUTER = " \t\n\x0b\x0c\r.,;:!?\"'()[]{}<>*%&#$@|+-_~^=/\\`"
 #: Log probabilities of the channel. A look-alike between letters is seldom noise or a break; other symbols often are.
 SAME, LOOKS, DROPPED, REPEATED, EDGE, NOISE, BREAK = map(math.log, (0.95, 0.4, 0.3, 0.35, 0.1, 1e-6, 0.003))
 
+OUTER_MARKS = "".join(c for c in OUTER if c not in LOOKALIKE or c in MARKS)
 _TRIPLE = re.compile(r"(.)\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .*_-]{1,2}){3,}[^\W\d_](?![^\W\d_])")
+#: One character of a spelling, letter or look-alike; such characters apart.
+_ONE = r"(?:[^\W\d_]|[" + re.escape("".join(LOOKALIKE)) + "])"
+_SPACED = re.compile(rf"(?<![^\W_]){_ONE}(?:[\s.*_-]+{_ONE}){{3,}}(?!{_ONE})")
+_PAIR, _SOME = re.compile(r"[^\W_]{2}"), re.compile(_ONE)
 
 
 @functools.cache
@@ -142,27 +148,30 @@ class Restorer:
     def words(self, chunk: str) -> list[str]:
         """The words that a lower-cased chunk without blanks may be read as: as it stands, and restored if suspect."""
         core = chunk.strip(OUTER)
-        if core.isalpha():
-            begin = chunk.find(core)
-            end = begin + len(core)
-            led = begin > 0 and chunk[begin - 1] in LOOKALIKE
-            tail = chunk[end : end + 1] in LOOKALIKE and chunk[end : end + 2] in ("$", "@", "|", "+")
-            if not (led or tail or _TRIPLE.search(core)):
-                return [core]
-            return [core, *self.decode(chunk[begin - led : end + tail]).split()]
         if not any(map(str.isalpha, core)):
             if sum(c in LOOKALIKE for c in chunk) < 3:
                 return []
-            return self.decode(chunk).split()
-        plain = re.findall(r"[^\W\d_]+", core)
-        return [*plain, *self.decode(core).split()]
+            return [w for piece in dict.fromkeys((chunk, chunk.strip(OUTER_MARKS))) for w in self.decode(piece).split()]
+        plain = [core] if core.isalpha() else re.findall(r"[^\W\d_]+", core)
+        return [*plain, *(w for piece in self._pieces(chunk, core) for w in self.decode(piece).split())]
+
+    def _pieces(self, chunk: str, core: str) -> list[str]:
+        """What to restore: the core with the look-alikes around it, without those that may be punctuation, and with none."""
+        begin = chunk.find(core)
+        end = begin + len(core)
+        first = next((i for i in range(begin) if chunk[i] in LOOKALIKE), begin)
+        last = next((i for i in range(len(chunk), end, -1) if chunk[i - 1] in LOOKALIKE), end)
+        inner_first = next((i for i in range(first, begin) if chunk[i] in LOOKALIKE and chunk[i] not in MARKS), begin)
+        inner_last = next((i for i in range(last, end, -1) if chunk[i - 1] in LOOKALIKE and chunk[i - 1] not in MARKS), end)
+        pieces = dict.fromkeys(chunk[i:j] for i in (first, inner_first, begin) for j in (last, inner_last, end))
+        return [p for p in pieces if not p.isalpha() or _TRIPLE.search(p)]
 
     def spaced(self, text: str) -> set[str]:
-        """Words spelled with single letters apart: all runs of 4 to 12 letters inside the restored spelling."""
+        """Words spelled with single letters or look-alikes apart: all runs of 4 to 12 letters inside the restored spelling."""
         out = set()
         for match in _SPACED.finditer(text):
-            joined = re.sub(r"[^\w]|_", "", match.group())
-            for word in {joined, *self.decode(joined).split()}:
+            joined = re.sub(r"[\s.*_-]+", "", match.group())
+            for word in {joined, *self.decode(joined).split(), *self.decode(match.group()).split()}:
                 out |= {word[i : i + n] for n in range(4, 13) for i in range(len(word) - n + 1)}
         return out
 
@@ -178,6 +187,8 @@ class Scorer:
         self.restorer, self.lexicon, self.base = restorer, lexicon, base
         self.seen: set[str] = set()
         self.hits: dict[str, tuple[str, float]] = {}
+        #: Chunks that may belong to a word spelled apart.
+        self.single: set[str] = set()
 
     def __getstate__(self):
         return self.restorer, self.lexicon, self.base
@@ -190,11 +201,13 @@ class Scorer:
 
     def _meet(self, chunks: set[str]) -> None:
         if len(self.seen) > MEMORY:
-            self.seen, self.hits = set(), {}
+            self.seen, self.hits, self.single = set(), {}, set()
         for chunk in chunks:
             best = max(((self._hit(w), w) for w in self.restorer.words(chunk)), default=(0.0, ""))
             if best[0] > 0:
                 self.hits[chunk] = best[1], best[0]
+            if not _PAIR.search(chunk) and _SOME.search(chunk):
+                self.single.add(chunk)
         self.seen |= chunks
 
     def score(self, text: str) -> float:
@@ -205,7 +218,7 @@ class Scorer:
             if not chunks <= self.seen:
                 self._meet(chunks)
         found = dict(self.hits[c] for c in self.hits.keys() & chunks)
-        if sum(len(c) == 1 or (len(c) == 2 and not c.isalpha()) for c in chunks) >= 3 or ("." in low and _dotted(chunks)):
+        if not self.single.isdisjoint(chunks):
             for word in self.restorer.spaced(low):
                 if (w := self.lexicon.get(word, 0.0)) > 0:
                     found[word] = w
@@ -216,10 +229,6 @@ class Scorer:
         return 1 / (1 + math.exp(-min(odds, 30)))
 
 
-def _dotted(chunks: set[str]) -> bool:
-    return any(c.count(".") >= 3 for c in chunks if len(c) < 64)
-
-
 def document_features(text: str, restorer: Restorer, known: dict[str, list[str]]) -> set[str]:
     out: set[str] = set()
     for chunk in set(text.lower().split()):
