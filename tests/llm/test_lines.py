@@ -1,5 +1,6 @@
 import collections
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -80,6 +81,32 @@ def test_short_common_lines_are_left_alone(spark):
     assert sorted(r.text for r in lines.dedup(frame(spark, rows)).collect()) == sorted(r[1] for r in rows)
 
 
+def test_blocks_of_short_lines(spark):
+    verse = "\n".join(["o wind", "o sea", "", "so blue", "sing", "to me"])
+    rows = [(i, f"text {i} begins with words like number {i}\n{verse}\nand here number {i} of the texts ends", "en", "a") for i in range(30)]
+    texts = {r.doc_id: r.text for r in lines.dedup(frame(spark, rows)).collect()}
+    assert [i for i, t in texts.items() if "sing" in t or "o wind" in t] == [0] and len(texts) == 30
+    assert lines.linked(lines.line_table(frame(spark, rows))).count() == 29
+
+
+def test_a_block_whose_longer_line_stands_elsewhere_first(spark):
+    line = "this longer line was first in the third one"
+    rows = [(1, f"some other text of its own\n{line}\nand no more", "en", "a")]
+    rows += [(i, f"document {i} has {i} own words here\nto do\n{line}\nor not\n{i} is the number of this", "en", "a") for i in (2, 3)]
+    texts = {r.doc_id: r.text for r in lines.dedup(frame(spark, rows)).collect()}
+    assert "to do" in texts[2] and "or not" in texts[2]
+    assert texts[3] == "document 3 has 3 own words here\n3 is the number of this"
+
+
+@given(st.lists(st.integers(0, 6), max_size=12))
+def test_each_line_of_a_block_lies_in_an_anchor(words):
+    """Against all runs: a block's anchors are those of any document that holds it, and there is one if it has the words."""
+    hashes, counts = np.arange(100, 100 + len(words)), np.array(words, np.int32)
+    whole = set(lines.anchors(np.r_[[7], hashes, [8]], np.r_[[3], counts, [3]].astype(np.int32)).tolist())
+    mine = set(lines.anchors(hashes, counts).tolist())
+    assert mine <= whole and bool(mine) == (sum(words) >= 5)
+
+
 def test_moved_passages(spark):
     p, q = "one passage that has many words in it", "other passage that has some more words"
     rows = [(1, f"{p}\n{q}", "en", "a"), (2, f"start here\n{q}\nmiddle\n{p}", "en", "a")]

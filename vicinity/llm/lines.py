@@ -1,13 +1,15 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Documents are ordered by (doc_id, text hash). Every line with ``ANCHOR_WORDS`` words or more that stands in several
-documents, however many, links each later document to the first one that holds it; lines in one document only link
-nothing. So a line in n documents gives n - 1 links, never all pairs, and no shared line is left without one.
+Documents are ordered by (doc_id, text hash). Lines with ``ANCHOR_WORDS`` words or more, and runs of consecutive lines
+that just reach so many words, forward or backward from any line, are anchors. Every anchor that stands in several
+documents, however many, links each later document to the first one that holds it; anchors in one document only link
+nothing. So an anchor in n documents gives n - 1 links, never all pairs, and each line of a repeated block of
+``BLOCK_WORDS`` words, whatever the length of its lines, lies in an anchor of the block.
 
 A linked pair is aligned with patience diff: lines that are unique in both documents and in the same order (a longest
 increasing run) are matched, matches are extended to equal neighbours, and the gaps are aligned in the same way. Aligned
 blocks, runs of matches that are consecutive in both, are deleted from the later document if they hold ``BLOCK_WORDS``
-words. A deleted line stays in the first document that holds it or, if it was too short to link, in an earlier partner.
+words. A deleted line stays in an earlier document.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.common import as_bytes, bounded_batches, documents, map_arrow, written
 
-#: Words that a line must have to link documents, and an aligned block to be deleted.
+#: Words that a line or a run of lines must have to link documents, and an aligned block to be deleted.
 ANCHOR_WORDS, BLOCK_WORDS = 5, 5
 
 
@@ -94,25 +96,51 @@ def repeated_blocks(earlier: list[int], later: list[int], words: list[int], leas
     return out
 
 
+def anchors(lines: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of the shortest runs of lines, from or up to each line that has a word, with ``ANCHOR_WORDS`` words.
+
+    A line that has so many is such a run. Of a block of so many words each line lies in a run inside the block.
+    """
+    some = np.flatnonzero(words)
+    upto = np.cumsum(words[some], dtype=np.int64)
+    before = upto - words[some]
+    at = np.arange(len(some))
+    last = np.searchsorted(upto, before + ANCHOR_WORDS)
+    first = np.searchsorted(before, upto - ANCHOR_WORDS, "right") - 1
+    runs = np.r_[np.c_[at, last][last < len(some)], np.c_[first, at][first >= 0]]
+    alone = runs[:, 0] == runs[:, 1]
+    longer = {(some[i], some[j]) for i, j in runs[~alone].tolist()}
+    hashes = np.array([xxhash.xxh64_intdigest(lines[i : j + 1].tobytes(), 1) for i, j in longer], np.uint64).view(np.int64)
+    return np.unique(np.r_[lines[some[runs[alone, 0]]], hashes])
+
+
 def line_table(docs: DataFrame) -> DataFrame:
-    """(id, hash, doc_id, lines, words) of each row: hashes of its lines and their words. A null text has one empty line.
+    """(id, hash, doc_id, lines, words, anchors) of each row: hashes of its lines, their words, hashes of its anchors.
+
+    A null text has one empty line.
 
     Lines are compared by their words: blanks at the ends don't matter, and runs of blanks are one.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines, words = [], []
+        lines, words, links = [], [], []
         for text in as_bytes(batch.column(3)):
             split = [line.split() for line in text.split(b"\n")]
             lines.append(np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in split], np.uint64).view(np.int64))
             words.append(np.fromiter(map(len, split), np.int32, len(split)))
+            links.append(anchors(lines[-1], words[-1]))
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), batch.column(2), pa.array(lines, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))],
-            ["id", "hash", "doc_id", "lines", "words"],
+            [
+                *batch.columns[:3],
+                pa.array(lines, pa.list_(pa.int64())),
+                pa.array(words, pa.list_(pa.int32())),
+                pa.array(links, pa.list_(pa.int64())),
+            ],
+            ["id", "hash", "doc_id", "lines", "words", "anchors"],
         )
 
     rows = docs.select(*_key(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, each, "id long, hash long, doc_id long, lines array<long>, words array<int>")
+    return map_arrow(rows, each, "id long, hash long, doc_id long, lines array<long>, words array<int>, anchors array<long>")
 
 
 def _key(docs: DataFrame) -> list:
@@ -121,11 +149,8 @@ def _key(docs: DataFrame) -> list:
 
 
 def linked(table: DataFrame) -> DataFrame:
-    """(a_id, a_hash, id, hash): each later document with the first holders of its repeated lines."""
-    long_lines = F.array_distinct(
-        F.transform(F.filter(F.arrays_zip("lines", "words"), lambda x: x["words"] >= ANCHOR_WORDS), lambda x: x["lines"])
-    )
-    held = table.select("id", "hash", F.explode(long_lines).alias("line"))
+    """(a_id, a_hash, id, hash): each later document with the first holders of its repeated anchors."""
+    held = table.select("id", "hash", F.explode("anchors").alias("line"))
     first = held.groupBy("line").agg(
         F.min(F.struct("id", "hash")).alias("first"), F.max(F.struct("id", "hash")).alias("last")
     ).where("first <> last")
@@ -143,7 +168,7 @@ def removals(table: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """(id, hash, removed array<int>, partners): line numbers, from 0, to delete from each document that loses some."""
     # rows that repeat are one document; written, so that the joins below can split a document with very many partners
     once = written(table.select("id", "hash", "lines", "words").dropDuplicates(["id", "hash"]), "once")
-    later = linked(once).join(once.withColumnsRenamed({"lines": "b_lines", "words": "b_words"}), ["id", "hash"])
+    later = linked(table).join(once.withColumnsRenamed({"lines": "b_lines", "words": "b_words"}), ["id", "hash"])
     earlier = once.select(F.col("id").alias("a_id"), F.col("hash").alias("a_hash"), F.col("lines").alias("a_lines"))
     both = later.join(earlier, ["a_id", "a_hash"])
     bounded_batches(table.sparkSession)
