@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 
+import corpus_pipeline
 from tests.llm.conftest import frame
 from vicinity.llm import near, toxicity
 
@@ -44,6 +45,25 @@ def test_many_copies_give_linear_pairs(spark):
     assert {r.root for r in near.rooted(frame_of(spark, texts)).collect()} == {0}
 
 
+def test_dedup_stage_finds_pairs_at_similarity_08(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(60):
+        base = text_of(rng, 200)
+        rows += [(2 * i, base, "en", "a"), (2 * i + 1, changed(rng, base, 3), "en", "a")]  # 15 of 196 shingles: about 0.86
+    docs = frame(spark, rows + [(None, rows[0][1], "en", "a"), (500, "", "en", "a"), (501, None, "en", "a")])
+    kept = corpus_pipeline.simhash_dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(0, 120, 2), 500]
+
+
+def test_dedup_of_awkward_rows(awkward, nothing):
+    kept = sorted((r.doc_id for r in near.dedup(awkward).collect()), key=str)
+    # 20, the null id and 40 are near copies of 0, 80 and 100 are as empty as 60, and one of the two rows of 9 stays
+    assert kept == sorted([0, 60, None, 7, 9, 11, 13, 15], key=str)
+    assert near.dedup(nothing).count() == 0
+
+
 def test_toxic_texts_that_share_one_word_all_teach(spark):
     ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 3 != 1]
     short = lambda i, n: " ".join(f"{'abcdefghij'[int(c)]}{'klmnopqrst'[int(c)]}" for c in f"{i:0{n}d}")

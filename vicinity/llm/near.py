@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.common import as_bytes, bounded_batches, map_arrow, written
 from vicinity.llm.components import components
+from vicinity.llm.simhash import NO_ID, one_of_each
 
 #: Words of a shingle and the similarity of a near copy: the rule for stages without a contract.
 SHINGLE, SIMILAR = 5, 0.8
@@ -95,6 +96,7 @@ def candidates(texts: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), keys], ["node", "fp", "keys"])
 
     sketches = written(map_arrow(texts.select("node", "text"), each, "node long, fp long, keys array<long>"), "sketches")
+    sketches = sketches.dropDuplicates(["node"])
     rows = sketches.select(F.explode("keys").alias("key"), "fp", "node")
     # a bucket above CELL is cut into chunks that meet pairwise
     large = rows.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).alias("chunks"))
@@ -137,11 +139,11 @@ def candidates(texts: DataFrame) -> DataFrame:
 
 
 def links(texts: DataFrame) -> DataFrame:
-    """(u, v) of near copies. ``texts`` has distinct nodes and their texts; a null text is empty."""
+    """(u, v) of near copies. ``texts`` has nodes, each with one text, and may repeat them; a null text is empty."""
     # written, so that the joins can split a text with very many partners
     pairs = written(candidates(texts), "near-pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    few = written(texts.select("node", "text").join(ends, "node", "left_semi"), "near-texts")
+    few = written(texts.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     both = pairs.join(few.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(few.withColumnsRenamed({"node": "v", "text": "b"}), "v")
     bounded_batches(texts.sparkSession)
 
@@ -154,6 +156,18 @@ def links(texts: DataFrame) -> DataFrame:
 
 
 def rooted(texts: DataFrame) -> DataFrame:
-    """(node, root) of every node: near copies, and what near copies link, have one root."""
+    """(node, root) of every distinct node: near copies, and what near copies link, have one root."""
     stars = components(links(texts)).withColumnRenamed("u", "node")
-    return texts.select("node").join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return texts.select("node").distinct().join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the smallest doc_id (nulls last), then the smallest text hash.
+
+    Texts without a word are one group. Keeps all columns. Where rows repeat in both, one stays.
+    """
+    node = F.xxhash64("text").alias("node")
+    least = docs.select(node, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")).groupBy("node").agg(F.min("id").alias("id"))
+    roots = written(rooted(docs.select(node, "text")), "near-roots")
+    places = least.join(roots, "node").select("root", F.struct("id", F.col("node").alias("hash")).alias("place"))
+    return one_of_each(docs, places.groupBy("root").agg(F.min("place").alias("place")))

@@ -263,7 +263,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     Keeps all columns. Where rows repeat in both, one stays.
     """
     place = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_hash").alias("hash"))
-    best = groups(docs).groupBy("root").agg(F.min(place).alias("place"))
+    return one_of_each(docs, groups(docs).groupBy("root").agg(F.min(place).alias("place")))
+
+
+def one_of_each(docs: DataFrame, best: DataFrame) -> DataFrame:
+    """The rows of ``docs`` at the places (id, hash) of ``best``; of rows that repeat in both, one."""
     best = best.select(F.col("place.id").alias("__id"), F.col("place.hash").alias("__hash"))
     keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__hash", F.xxhash64("text"))
     # both steps have the same keys, so that texts are shuffled once
