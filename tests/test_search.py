@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vicinity.functions.scalars import quantize
-from vicinity.operators import ivf, knn, vptree
+from vicinity.operators import cells, ivf, knn, topk, vptree
 from vicinity.plans import registry
 from vicinity.plans import transactions as tx
 from vicinity.sources import index_files, readers
@@ -61,12 +61,12 @@ def test_vptree(sets):
     assert found(vptree.knn_vptree(refs, queries, skip_self=True, chunk=100)) == brute(refs, queries)
 
 
-@pytest.fixture(params=["join", "blocks"])
+@pytest.fixture(params=["whole", "cut"])
 def way(request, monkeypatch):
-    """Both ways to scan buckets: that of short vectors and that of long ones."""
-    if request.param == "blocks":
-        monkeypatch.setattr(knn, "FLAT", 0)
-        monkeypatch.setattr(knn, "BLOCK", 100)
+    """Buckets in one cell with all their queries, and cut into cells and blocks of queries."""
+    if request.param == "cut":
+        monkeypatch.setattr(ivf, "CELL", 20)
+        monkeypatch.setattr(cells, "BLOCK", 100)
 
 
 @pytest.mark.parametrize("k", [1, 2, 5, 16, 64])
@@ -82,6 +82,58 @@ def test_all_buckets_probed_is_exact_and_rows_come_once(sets, way):
     assert found(knn.knn_ivf(index, queries, nprobe=80, skip_self=True)) == brute(refs, queries)
 
 
+def test_warm_index_gives_the_same_and_deals_out_only_the_queries(sets, way):
+    raw, refs, queries = sets
+    warm = ivf.warm_up(ivf.build_ivf(raw, 7, rounds=1))
+    rows = knn.knn_ivf(warm, queries, nprobe=7, skip_self=True)
+    assert found(rows) == brute(refs, queries)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    cogroup = plan[plan.index("FlatMapCoGroups") :]
+    assert "InMemoryTableScan" in cogroup
+    if cells.BLOCK > 300:
+        dealt = [line for line in set(cogroup.splitlines()) if "hashpartitioning(at" in line and "ENSURE_REQUIREMENTS" in line]
+        assert dealt and not [line for line in cogroup.splitlines() if "hashpartitioning(cell" in line and "ENSURE_REQUIREMENTS" in line]
+    ivf.cool_down(warm)
+
+
+def test_long_vectors(spark):
+    raw = sample(spark, 200, 40)
+    refs = raw.select("orig_id", quantize(F.col("vector")).alias("codes"), "label")
+    queries = refs.select(F.col("orig_id").alias("qid"), "codes")
+    assert found(knn.knn_pruned(ivf.build_ivf(raw, 9, 1), queries, nprobe=1, skip_self=True)) == brute(refs, queries)
+
+
+def test_fraud_count_of_raw_vectors(sets):
+    raw, refs, queries = sets
+    index = ivf.build_ivf(raw, 1)
+    label = {r.orig_id: r.label for r in refs.collect()}
+    want = {q: sum(label[i] for _, i in v) for q, v in brute(refs, queries, skip_self=False).items()}
+    assert {r.qid: r.frauds for r in knn.fraud_count(index, raw.select(F.col("orig_id").alias("qid"), "vector")).collect()} == want
+
+
+def test_positions_follow_the_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 100_003).alias("x")).repartition(9)
+    got = [tuple(r) for r in ivf.positions(rows, "x").orderBy("x").collect()]
+    assert got == [(x, i) for i, x in enumerate(sorted(i * 7919 % 100_003 for i in range(1000)))]
+
+
+def test_more_buckets_than_bytes_is_an_error(sets, monkeypatch):
+    monkeypatch.setattr(ivf, "CENTROID_BYTES", 100)
+    with pytest.raises(ValueError):
+        ivf.lloyd(sets[0], 16, 1)
+    assert len(ivf.lloyd(sets[0], 1, 1)) == 1
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), min_size=6, max_size=6), min_size=1, max_size=5), st.integers(1, 8))
+def test_smallest_equals_a_sort(rows, k):
+    d, ids = np.array(rows, float), np.array([5, 3, 9, 1, 7, 2])
+    d[d == 3] = np.inf
+    row, column = topk.smallest(d, ids, k)
+    got = [[(d[r, c], ids[c]) for r, c in zip(row, column) if r == i] for i in range(len(rows))]
+    assert got == [sorted((x, j) for x, j in zip(d[i], ids) if x < np.inf)[:k] for i in range(len(rows))]
+
+
 def test_recall_is_reported(sets):
     raw, refs, queries = sets
     index = ivf.build_ivf(raw, 16)
@@ -148,7 +200,7 @@ def test_tree_file_round_trip():
 
 
 @pytest.mark.parametrize("version", [1, 2])
-def test_index_file_round_trip(spark, sets, version):
+def test_index_file_round_trip(spark, sets, version, tmp_path):
     raw, _, _ = sets
     index = ivf.build_ivf(raw, 8)
     arrays = index_files.arrays_of(index)
@@ -156,7 +208,8 @@ def test_index_file_round_trip(spark, sets, version):
     for name in ("centroids", "offsets", "labels", "ids", "codes"):
         assert np.array_equal(getattr(arrays, name), getattr(back, name)), name
     assert (back.radius is None) == (version == 1)
-    rows, table = index_files.index_of(spark, back)
+    index_files.write_index_file(index, str(tmp_path), version)
+    rows, table = index_files.read_index_files(spark, str(tmp_path))
     assert sorted(map(tuple, rows.select("bucket", "orig_id").collect())) == sorted(map(tuple, index.rows.select("bucket", "orig_id").collect()))
     assert table.count() == 8
     data = gzip.decompress(index_files.encode_index(arrays))

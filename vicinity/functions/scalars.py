@@ -39,9 +39,11 @@ def quantize_value(v: Column, codec: str = "i16") -> Column:
     return F.when(F.isnan(v), F.lit(0)).when(sentinel, F.lit(missing)).otherwise(bounded.cast("int"))
 
 
-def quantize(vector: Column, codec: str = "i16") -> Column:
-    """The codes of a vector, as array<int>."""
-    return F.transform(vector, lambda v: quantize_value(v, codec))
+def quantize(vector: Column, codec: str = "i16", dims: int | None = None) -> Column:
+    """The codes of a vector, as array<int>. With up to FLAT ``dims`` it is one flat expression, as ``l2sq`` is."""
+    if dims is None or dims > FLAT:
+        return F.transform(vector, lambda v: quantize_value(v, codec))
+    return F.when(vector.isNotNull(), F.array(*[quantize_value(F.get(vector, F.lit(i)), codec) for i in range(dims)]))
 
 
 def l2sq(a: Column, b: Column, dims: int | None = None, kind: str = "bigint") -> Column:
@@ -93,7 +95,3 @@ def bit_at(bitmap: Column, position: Column) -> Column:
     """Bit ``position`` (from 0, least first in each byte) of a binary bitmap."""
     byte = F.conv(F.hex(F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return F.getbit(byte, F.pmod(position, F.lit(8)).cast("int"))
-
-
-def differs(a: Column, b: Column, tolerance: float) -> Column:
-    return F.abs(a - b) > F.lit(tolerance)

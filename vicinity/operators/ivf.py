@@ -1,39 +1,66 @@
 """Inverted-file index: Lloyd's k-means, bucket layout and radii.
 
-Centroids are at most ``MAX_CENTROIDS`` rows, so they may live on the driver; vectors never do. An assignment pass is a
-map over the vectors; an update adds partial sums of each task. Nothing carries lineage from round to round but the
-centroids themselves.
+Centroids may live on the driver, within ``CENTROID_BYTES``; vectors never do. An assignment pass is a map over the
+vectors; an update adds partial sums of each task. Nothing carries lineage from round to round but the centroids
+themselves. An index's rows are written once and read by every search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vicinity.functions.scalars import l2sq, quantize
+from vicinity.functions.scratch import drop_written, written
 from vicinity.functions.shipping import ship_package
+from vicinity.operators.cells import CELL, MATRIX, chunk_of
 
-CENTROIDS, ROUNDS, MAX_CENTROIDS, RESEED = 2048, 3, 2048, 7919
+CENTROIDS, ROUNDS, RESEED = 2048, 3, 7919
+#: Bytes of the centroid table that is sent to every task; more buckets than fit are an error.
+CENTROID_BYTES = 256 << 20
+#: A cell's number is its bucket's, shifted by so many bits, and that of a chunk of the bucket.
+CHUNK_BITS = 24
 
 
 @dataclass
 class IvfIndex:
-    """rows: (bucket, orig_id, label, codes); centroids: (bucket, centroid, codes, radius, n)."""
+    """rows: (bucket, orig_id, label, codes), and cell if warmed up; centroids: (bucket, centroid, codes, radius_sq, radius, n)."""
 
     rows: DataFrame
     centroids: DataFrame
     k: int
     dims: int
     codec: str
+    _table: tuple | None = field(default=None, repr=False)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(codes, radius, chunks) of the centroids by bucket: k rows, as bounded as the centroids themselves."""
+        if self._table is None:
+            rows = sorted(self.centroids.select("bucket", "codes", "radius", "n").collect())
+            codes = np.array([r.codes for r in rows], np.float64).reshape(len(rows), self.dims)
+            chunks = np.maximum(1, -(-np.array([r.n for r in rows], np.int64) // CELL))
+            self._table = codes, np.array([r.radius for r in rows], np.float64), chunks
+        return self._table
+
+    def cells(self) -> DataFrame:
+        """The rows with their cells: a bucket of more than CELL rows is several."""
+        if "cell" in self.rows.columns:
+            return self.rows
+        chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("long")
+        sizes = self.centroids.select("bucket", chunks.alias("chunks"))
+        cell = F.shiftleft(F.col("bucket").cast("long"), CHUNK_BITS) + chunk_of(F.col("orig_id"), F.col("chunks"))
+        return self.rows.join(F.broadcast(sizes), "bucket").select("bucket", "orig_id", "label", "codes", cell.alias("cell"))
 
 
 def _vectors_at(refs: DataFrame, ids: list[int]) -> dict[int, list[float]]:
-    return {r.orig_id: r.vector for r in refs.where(F.col("orig_id").isin(sorted(set(ids)))).select("orig_id", "vector").collect()}
+    wanted = refs.sparkSession.createDataFrame([(i,) for i in sorted(set(ids))], "orig_id long")
+    found = refs.select(F.col("orig_id").cast("long"), "vector").join(F.broadcast(wanted), "orig_id")  # as many as centroids
+    return {r.orig_id: r.vector for r in found.collect()}
 
 
 def initial_centroids(refs: DataFrame, k: int, n: int | None = None) -> np.ndarray:
@@ -41,7 +68,22 @@ def initial_centroids(refs: DataFrame, k: int, n: int | None = None) -> np.ndarr
     n = refs.count() if n is None else n
     ids = [i * n // k for i in range(k)]
     found = _vectors_at(refs, ids)
-    return np.array([found[i] for i in ids], np.float32)
+    centroids = np.array([found[i] for i in ids], np.float32)
+    if centroids.nbytes * 2 > CENTROID_BYTES:
+        raise ValueError(f"{k} centroids exceed {CENTROID_BYTES} bytes")
+    return centroids
+
+
+def positions(rows: DataFrame, order: str, name: str = "orig_id") -> DataFrame:
+    """``rows`` with their position in the order of a column, from 0, without gathering them in one task.
+
+    Ranges of the column are dealt out and written; a range's position is the number of rows in the ranges before it.
+    """
+    ranged = written(rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before, sizes = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row a task
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1 + F.col("__start")
+    return ranged.join(F.broadcast(starts), "__range").withColumn(name, place.cast("long")).drop("__range", "__start")
 
 
 def _assigner(spark, centroids: np.ndarray):
@@ -49,7 +91,9 @@ def _assigner(spark, centroids: np.ndarray):
 
     def nearest(x: np.ndarray) -> np.ndarray:
         c = shared.value
-        return np.argmin((c * c).sum(1)[None, :] - 2 * (x @ c.T), axis=1)  # the first, so the smallest bucket, of equals
+        norms, step = (c * c).sum(1)[None, :], max(1, MATRIX // len(c))
+        # the first, so the smallest bucket, of equals
+        return np.concatenate([np.argmin(norms - 2 * (x[i : i + step] @ c.T), axis=1) for i in range(0, len(x), step)])
 
     return nearest
 
@@ -81,7 +125,8 @@ def bucket_sums(refs: DataFrame, centroids: np.ndarray) -> DataFrame:
                 x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
                 near = nearest(x)
                 count += np.bincount(near, minlength=k)
-                np.add.at(sums, near, x)
+                for d in range(dims):
+                    sums[:, d] += np.bincount(near, x[:, d], k)
         some = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some]), pa.array(list(sums[some]), pa.list_(pa.float64()))], ["bucket", "n", "sums"])
 
@@ -91,9 +136,12 @@ def bucket_sums(refs: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def lloyd(refs: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
-    """Centroids after so many full-batch rounds. An empty bucket is reseeded from row (i * 7919) mod n."""
+    """Centroids after so many full-batch rounds. An empty bucket is reseeded from row (i * 7919) mod n.
+
+    No more buckets than rows; more than ``CENTROID_BYTES`` hold are an error.
+    """
     n = refs.count()
-    k = min(k, n, MAX_CENTROIDS)
+    k = min(k, n)
     centroids = initial_centroids(refs, k, n)
     for _ in range(rounds):
         fresh = centroids.copy()
@@ -111,12 +159,16 @@ def lloyd(refs: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarr
 
 
 def index_from(refs: DataFrame, centroids: np.ndarray, codec: str = "i16") -> IvfIndex:
-    """Assigns and quantizes all rows and measures each bucket's size and radius, in the space of the codes."""
+    """Assigns and quantizes all rows and measures each bucket's size and radius, in the space of the codes.
+
+    The rows are written in bucket order, once, for all that follows.
+    """
     spark = refs.sparkSession
     k, dims = centroids.shape
     table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "bucket int, centroid array<float>")
-    table = table.withColumn("codes", quantize(F.col("centroid"), codec))
-    rows = assign(refs, centroids).select("bucket", "orig_id", "label", quantize(F.col("vector"), codec).alias("codes"))
+    table = table.withColumn("codes", quantize(F.col("centroid"), codec, dims))
+    rows = assign(refs, centroids).select("bucket", "orig_id", "label", quantize(F.col("vector"), codec, dims).alias("codes"))
+    rows = written(in_order(rows), "index")
     gap = l2sq(F.col("codes"), F.col("c"), dims)
     reach = rows.join(F.broadcast(table.select("bucket", F.col("codes").alias("c"))), "bucket").groupBy("bucket").agg(
         F.max(gap).alias("radius_sq"), F.count("*").alias("n")
@@ -125,31 +177,48 @@ def index_from(refs: DataFrame, centroids: np.ndarray, codec: str = "i16") -> Iv
         "bucket", "centroid", "codes", F.coalesce("radius_sq", F.lit(0)).alias("radius_sq"),
         F.sqrt(F.coalesce("radius_sq", F.lit(0)).cast("double")).alias("radius"), F.coalesce("n", F.lit(0)).alias("n"),
     )
-    return IvfIndex(rows, table, k, dims, codec)
+    return IvfIndex(rows, written(table.coalesce(1), "centroids"), k, dims, codec)
 
 
 def build_ivf(refs: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, codec: str = "i16") -> IvfIndex:
     return index_from(refs, lloyd(refs, k, rounds), codec)
 
 
+def drop(index: IvfIndex) -> None:
+    """Removes the scratch tables of a built index (not of a loaded one)."""
+    drop_written(index.rows, index.centroids)
+
+
 def layout(index: IvfIndex) -> DataFrame:
-    """(bucket, n, start): sizes and running starts of the buckets; a window over at most MAX_CENTROIDS rows."""
+    """(bucket, n, start): sizes and running starts of the buckets; a window over the centroid table."""
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     return index.centroids.select("bucket", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
 
+def in_order(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    args: tuple[int | str | Column, ...] = ("bucket", "orig_id") if tasks is None else (tasks, "bucket", "orig_id")
+    return rows.repartitionByRange(*args).sortWithinPartitions("bucket", "orig_id")
+
+
 def placed(index: IvfIndex, tasks: int | None = None) -> DataFrame:
     """Rows in bucket order, and by orig_id within: what is written as the index.
 
     Ranges of (bucket, orig_id) are dealt out, so that a large bucket is spread over several tasks.
     """
-    args = ("bucket", "orig_id") if tasks is None else (tasks, "bucket", "orig_id")
-    return index.rows.repartitionByRange(*args).sortWithinPartitions("bucket", "orig_id")
+    return in_order(index.rows, tasks)
 
 
 def warm_up(index: IvfIndex) -> IvfIndex:
-    """Loads the index into the executors' memory, for a stream of searches."""
-    rows, centroids = index.rows.cache(), index.centroids.cache()
+    """Loads the index into the executors' memory, dealt out by cell as searches need it, for a stream of searches."""
+    tasks = int(index.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, centroids = index.cells().repartition(tasks, "cell").sortWithinPartitions("cell").cache(), index.centroids.cache()
     rows.count()
-    centroids.count()
-    return IvfIndex(rows, centroids, index.k, index.dims, index.codec)
+    warm = IvfIndex(rows, centroids, index.k, index.dims, index.codec)
+    warm.table()
+    return warm
+
+
+def cool_down(index: IvfIndex) -> None:
+    """Frees what ``warm_up`` holds."""
+    index.rows.unpersist()
+    index.centroids.unpersist()

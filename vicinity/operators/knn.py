@@ -3,153 +3,86 @@
 Reference rows are (orig_id long, codes array<int>, label int); queries are (qid long, codes array<int>). Codes come from
 ``functions.scalars.quantize``. Distances are exact 64-bit integers in every mode: no 16-bit differences that wrap at the
 missing value's code, no rounding that makes ties.
+
+Queries stay distributed in every mode: they are matched with the centroid table in place, and shuffled to the cells that
+they look at (``cells``). The centroid table is all that is broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.functions.scalars import FLAT, l2sq
+from vicinity.functions.scalars import quantize
+from vicinity.functions.scratch import written
 from vicinity.functions.shipping import ship_package, small_batches
-from vicinity.operators.ivf import IvfIndex
-from vicinity.operators.topk import BlockTopK, top_k
+from vicinity.operators import cells
+from vicinity.operators.cells import FOUND, MATRIX, matrix, squared_distances
+from vicinity.operators.ivf import CHUNK_BITS, IvfIndex
+from vicinity.operators.topk import smallest, top_k
 
 K, FAST_PROBES, FULL_PROBES = 5, 12, 80
-#: Queries of a block that is broadcast; with its distances to a batch of references it bounds a worker's memory.
-BLOCK = 4096
-FOUND = "qid long, orig_id long, label int, dist long"
-
-
-def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
-    return flat.reshape(len(column), -1)
 
 
-def squared_distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """|q|^2 + |r|^2 - 2 q r; exact for integer codes, as every term is below 2^53."""
-    return (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * (q @ r.T)
-
+def knn_brute(refs: DataFrame, queries: DataFrame, k: int = K, skip_self: bool = False) -> DataFrame:
+    """(qid, rank, orig_id, label, dist): each query's k nearest of all references.
 
-def query_blocks(queries: DataFrame, block: int = BLOCK, *more: str) -> Iterator[tuple]:
-    """Ids and codes of the queries, and columns named beside them, at most about ``block`` at a time."""
-    queries = queries.select("qid", "codes", *more).persist()
-    try:
-        blocks = -(-queries.count() // block)
-        for b in range(blocks):
-            part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-            rows = part.toPandas()
-            if len(rows):
-                codes = np.array(rows["codes"].tolist(), np.float64)
-                yield rows["qid"].to_numpy(np.int64), codes, *(rows[c].tolist() for c in more)
-    finally:
-        queries.unpersist()
+    ``skip_self`` leaves out the reference with the query's id. Fewer references than k give all of them; ties go to the
+    smaller id. What is shuffled after the search are cells x queries x k rows, not pairs.
+    """
+    return cells.all_pairs(refs, queries, k, skip_self)
 
 
-def knn_brute(refs: DataFrame, queries: DataFrame, k: int = K, skip_self: bool = False) -> DataFrame:
-    """(qid, rank, orig_id, label, dist): each query's k nearest of all references.
+def _looked_at(index: IvfIndex, queries: DataFrame, choose, *more: str) -> DataFrame:
+    """(qid, codes, bucket, chunks, cdist, rank): the buckets that ``choose`` picks of each batch of queries.
 
-    Queries go to the references in blocks; references stay where they are. Each task keeps its k best of each query,
-    and a window merges them: what is shuffled are tasks x queries x k rows, not pairs. ``skip_self`` leaves out the
-    reference with the query's id. Fewer references than k give all of them; ties go to the smaller id.
+    ``choose`` gets the distances of some queries to all centroids, the radii, and the columns named in ``more``.
     """
-    spark = refs.sparkSession
+    spark = queries.sparkSession
     ship_package(spark)
     small_batches(spark)
-    found = []
-    for ids, codes in query_blocks(queries):
-        shared = spark.sparkContext.broadcast((ids, codes))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, codes = shared.value
-            best = BlockTopK(len(ids), k)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                refs = batch.column(0).to_numpy(zero_copy_only=False)
-                d = squared_distances(codes, _matrix(batch.column(1)))
-                if skip_self:
-                    d[ids[:, None] == refs[None, :]] = np.inf
-                best.add(d, refs, batch.column(2).to_numpy(zero_copy_only=False))
-            yield best.batch(ids)
-
-        found.append(refs.select("orig_id", "codes", F.col("label").cast("int")).mapInArrow(scan, FOUND))
-    if not found:
-        return spark.createDataFrame([], FOUND + ", rank int")
-    return top_k(reduce(DataFrame.union, found), "qid", k, "dist", "orig_id")
+    shared = spark.sparkContext.broadcast(index.table())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, radius, chunks = shared.value
+        step = max(1, MATRIX // max(1, len(centres)))
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                d = squared_distances(matrix(part.column(1)), centres)
+                row, bucket = choose(d, radius, *part.columns[2:])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(at), part.column(1).take(at), pa.array(bucket.astype(np.int32)), pa.array(chunks[bucket]),
+                        pa.array(d[row, bucket].astype(np.int64)), pa.array((np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32)),
+                    ],
+                    ["qid", "codes", "bucket", "chunks", "cdist", "rank"],
+                )
+
+    rows = queries.select(F.col("qid").cast("long"), "codes", *more)
+    return rows.mapInArrow(run, "qid long, codes array<int>, bucket int, chunks long, cdist long, rank int")
 
 
 def probes(index: IvfIndex, queries: DataFrame, n: int) -> DataFrame:
-    """(qid, codes, bucket, cdist, rank): the n centroids nearest to each query; never more than there are.
-
-    Centroids are at most ``ivf.MAX_CENTROIDS`` rows, which bounds what is broadcast.
-    """
-    far = l2sq(F.col("codes"), F.col("centroid"), index.dims)
-    pairs = queries.crossJoin(F.broadcast(index.centroids.select("bucket", F.col("codes").alias("centroid"))))
-    pairs = pairs.select("qid", "codes", "bucket", far.alias("cdist"))
-    return top_k(pairs, "qid", min(n, index.k), "cdist", "bucket")
+    """(qid, codes, bucket, chunks, cdist, rank): the n centroids nearest to each query; never more than there are."""
+    return _looked_at(index, queries, lambda d, _: smallest(d, np.arange(d.shape[1]), n))
 
 
-def _scan(index: IvfIndex, probed: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    """The k best references in the probed buckets; each row comes up once a query.
-
-    Short vectors: an equi-join on the bucket, whose distance is compiled. Long ones: blocks of queries against the index
-    in place, a matrix product for each bucket that a task meets.
-    """
-    if index.dims > FLAT:
-        return _scan_blocks(index, probed, k, skip_self)
-    rows = index.rows.select("bucket", "orig_id", "label", F.col("codes").alias("ref"))
-    pairs = probed.select("qid", "bucket", "codes").join(rows, "bucket")
-    if skip_self:
-        pairs = pairs.where("qid <> orig_id")
-    near = pairs.select("qid", "orig_id", "label", l2sq(F.col("codes"), F.col("ref"), index.dims).alias("dist"))
-    return top_k(near, "qid", k, "dist", "orig_id")
-
-
-def _scan_blocks(index: IvfIndex, probed: DataFrame, k: int, skip_self: bool) -> DataFrame:
-    spark = probed.sparkSession
-    ship_package(spark)
-    small_batches(spark)
-    queries = probed.groupBy("qid").agg(F.first("codes").alias("codes"), F.collect_list("bucket").alias("buckets"))
-    found = []
-    for ids, codes, buckets in query_blocks(queries, BLOCK, "buckets"):
-        mask = np.zeros((index.k, len(ids)), bool)
-        for i, mine in enumerate(buckets):
-            mask[np.asarray(mine), i] = True
-        shared = spark.sparkContext.broadcast((ids, codes, mask))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, codes, mask = shared.value
-            best = BlockTopK(len(ids), k)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                refs, refs_codes = batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1))
-                bucket = batch.column(3).to_numpy(zero_copy_only=False)
-                d = np.full((len(ids), len(refs)), np.inf)
-                for c in np.unique(bucket):
-                    looks, some = np.flatnonzero(mask[c]), np.flatnonzero(bucket == c)
-                    if len(looks):
-                        d[np.ix_(looks, some)] = squared_distances(codes[looks], refs_codes[some])
-                if skip_self:
-                    d[ids[:, None] == refs[None, :]] = np.inf
-                best.add(d, refs, batch.column(2).to_numpy(zero_copy_only=False))
-            yield best.batch(ids)
-
-        found.append(index.rows.select("orig_id", "codes", F.col("label").cast("int"), "bucket").mapInArrow(scan, FOUND))
-    if not found:
-        return spark.createDataFrame([], FOUND + ", rank int")
-    return top_k(reduce(DataFrame.union, found), "qid", k, "dist", "orig_id")
+def _scan(index: IvfIndex, probed: DataFrame, total: int, k: int, skip_self: bool) -> DataFrame:
+    """The k best references in each cell of the probed buckets: an equi-join of probes and inverted lists."""
+    first = F.shiftleft(F.col("bucket").cast("long"), CHUNK_BITS)
+    asked = probed.select("qid", "codes", F.explode(F.sequence(first, first + F.col("chunks") - 1)).alias("cell"))
+    return cells.nearest(index.cells(), asked, total, k, skip_self)
 
 
 def knn_ivf(index: IvfIndex, queries: DataFrame, k: int = K, nprobe: int = FAST_PROBES, skip_self: bool = False) -> DataFrame:
     """Each query's k nearest references of its nprobe nearest buckets: approximate."""
-    return _scan(index, probes(index, queries, nprobe), k, skip_self)
+    return top_k(_scan(index, probes(index, queries, nprobe), queries.count(), k, skip_self), "qid", k, "dist", "orig_id")
 
 
 def frauds(neighbors: DataFrame) -> DataFrame:
@@ -159,37 +92,46 @@ def frauds(neighbors: DataFrame) -> DataFrame:
 def two_pass(index: IvfIndex, queries: DataFrame, k: int = K, fast: int = FAST_PROBES, full: int = FULL_PROBES, skip_self: bool = False) -> DataFrame:
     """(qid, frauds): a first pass with few probes; queries whose count lies at the decision's edge get a second with more.
 
-    The edge are the counts on either side of the majority (2 and 3 of 5).
+    The edge are the counts on either side of the majority (2 and 3 of 5). The first pass runs at once, and is written.
     """
-    first = queries.select("qid").join(frauds(knn_ivf(index, queries, k, fast, skip_self)), "qid", "left").select(
-        "qid", F.coalesce("frauds", F.lit(0)).alias("frauds")
-    )
+    first = queries.select("qid").join(frauds(knn_ivf(index, queries, k, fast, skip_self)), "qid", "left")
+    first = written(first.select("qid", F.coalesce("frauds", F.lit(0)).alias("frauds")), "first-pass")
     edge = F.col("frauds").isin(k // 2, k // 2 + 1)
     again = queries.join(first.where(edge).select("qid"), "qid", "left_semi")
-    second = again.select("qid").join(frauds(knn_ivf(index, again, k, full, skip_self)), "qid", "left").select(
-        "qid", F.coalesce("frauds", F.lit(0)).alias("frauds")
-    )
-    return first.where(~edge).union(second)
+    second = frauds(knn_ivf(index, again, k, full, skip_self)).withColumnRenamed("frauds", "more")
+    counted = F.when(edge, F.coalesce("more", F.lit(0))).otherwise(F.col("frauds"))
+    return first.join(second, "qid", "left").select("qid", counted.alias("frauds"))
+
 
+def fraud_count(index: IvfIndex, vectors: DataFrame, k: int = K, fast: int = FAST_PROBES, full: int = FULL_PROBES) -> DataFrame:
+    """(qid, frauds) of raw vectors (qid, vector): the index's one-call interface."""
+    return two_pass(index, vectors.select("qid", quantize(F.col("vector"), index.codec, index.dims).alias("codes")), k, fast, full)
 
-def within_reach(cdist: Column, radius: Column, worst: Column) -> Column:
+
+def within_reach(cdist: np.ndarray, radius: np.ndarray, worst: np.ndarray) -> np.ndarray:
     """Whether a bucket can hold a row as near as ``worst``; ties count, and rounding of the roots is allowed for."""
-    gap = F.greatest(F.lit(0.0), F.sqrt(cdist.cast("double")) - radius)
-    return worst.isNull() | (gap * gap <= worst * F.lit(1 + 1e-9) + F.lit(1e-6))
+    gap = np.maximum(0.0, np.sqrt(cdist) - radius[None, :])
+    return gap * gap <= worst[:, None] * (1 + 1e-9) + 1e-6
 
 
 def knn_pruned(index: IvfIndex, queries: DataFrame, k: int = K, nprobe: int = FAST_PROBES, skip_self: bool = False, most: int | None = None) -> DataFrame:
-    """Exact: a first pass over nprobe buckets bounds the k-th distance; buckets that the triangle inequality can't rule
-    out are scanned in full. The result is that of brute force for any number of buckets.
+    """Exact: a first pass over nprobe buckets bounds the k-th distance; of the others, those that the triangle inequality
+    can't rule out are scanned too. The result is that of brute force for any number of buckets.
 
     ``most`` stops at so many buckets of a query, the nearest ones: an option for bounded work, and approximate.
     """
-    first = knn_ivf(index, queries, k, nprobe, skip_self)
+    nprobe = nprobe if most is None else min(nprobe, most)
+    first = written(knn_ivf(index, queries, k, nprobe, skip_self), "first-pass")
     bound = first.where(F.col("rank") == k).select("qid", F.col("dist").alias("worst"))
-    far = l2sq(F.col("codes"), F.col("centroid"), index.dims)
-    centroids = index.centroids.select("bucket", "radius", F.col("codes").alias("centroid"))
-    pairs = queries.join(bound, "qid", "left").crossJoin(F.broadcast(centroids))
-    kept = pairs.where(within_reach(far, F.col("radius"), F.col("worst"))).select("qid", "codes", "bucket", far.alias("cdist"))
-    if most is not None:
-        kept = top_k(kept, "qid", most, "cdist", "bucket")
-    return _scan(index, kept, k, skip_self)
+
+    def choose(d: np.ndarray, radius: np.ndarray, worst: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        numbers = np.arange(d.shape[1])
+        limit = worst.cast(pa.float64()).fill_null(np.inf).to_numpy(zero_copy_only=False)
+        reached = np.where(within_reach(d, radius, limit), d, np.inf)
+        reached[smallest(d, numbers, nprobe)] = np.inf  # scanned before
+        return smallest(reached, numbers, len(numbers) if most is None else most - nprobe) if most != nprobe else (numbers[:0],) * 2
+
+    total = queries.count()
+    more = _looked_at(index, queries.join(bound, "qid", "left"), choose, "worst")
+    found = first.select(*[c.split()[0] for c in FOUND.split(", ")]).union(_scan(index, more, total, k, skip_self))
+    return top_k(found, "qid", k, "dist", "orig_id")

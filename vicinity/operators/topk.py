@@ -1,9 +1,8 @@
-"""Bounded top-k: as a window over rows, and as a kernel over blocks of a distance matrix."""
+"""Bounded top-k: as a window over rows, and as a kernel over a distance matrix."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,35 +13,14 @@ def top_k(rows: DataFrame, by: str, k: int, *order, name: str = "rank") -> DataF
     return rows.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 
 
-class BlockTopK:
-    """The k smallest (distance, id) of each query over blocks of references that come one after another."""
-
-    def __init__(self, queries: int, k: int):
-        self.k = k
-        self.query = np.zeros(0, np.int64)
-        self.ids, self.labels = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.distances = np.zeros(0)
-        self.worst = np.full(queries, np.inf)
-
-    def add(self, distances: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> None:
-        """``distances``: queries x references, inf where a pair doesn't count. Ties at the k-th place are all looked at."""
-        limit = self.worst
-        if distances.shape[1] > self.k:
-            limit = np.minimum(limit, np.partition(distances, self.k - 1, axis=1)[:, self.k - 1])
-        q, r = np.nonzero((distances <= limit[:, None]) & np.isfinite(distances))
-        query = np.concatenate([self.query, q])
-        found = np.concatenate([self.distances, distances[q, r]])
-        ids, labels = np.concatenate([self.ids, ids[r]]), np.concatenate([self.labels, labels[r]])
-        order = np.lexsort((ids, found, query))
-        query = query[order]
-        place = np.arange(len(query)) - np.searchsorted(query, query)
-        order = order[place < self.k]
-        self.query, self.distances = query[place < self.k], found[order]
-        self.ids, self.labels = ids[order], labels[order]
-        last = place[place < self.k] == self.k - 1
-        self.worst[self.query[last]] = self.distances[last]
-
-    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        """What has been found, as rows (qid, orig_id, label, dist)."""
-        columns = (query_ids[self.query], self.ids, self.labels.astype(np.int32), self.distances.astype(np.int64))
-        return pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["qid", "orig_id", "label", "dist"])
+def smallest(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k smallest (distance, id) of each row of a matrix, in that order; ``inf`` doesn't count."""
+    if distances.shape[1] > k:
+        limit = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
+        row, column = np.nonzero((distances <= limit) & (distances < np.inf))
+    else:
+        row, column = np.nonzero(distances < np.inf)
+    order = np.lexsort((ids[column], distances[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], column[keep]

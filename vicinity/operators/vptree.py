@@ -1,24 +1,19 @@
 """Vantage-point trees: exact metric search, as a forest over the tasks' references.
 
-A task builds a tree over each chunk of the references that it reads and searches it for a block of queries; the chunks'
-k best are merged like those of any other scan. The result is that of brute force, ties included: a subtree is passed
+References are cut into chunks by a hash; a task builds a tree over each chunk and searches it for the queries that it
+meets there; the chunks' k best are merged like those of any other scan. The result is that of brute force, ties included: a subtree is passed
 over only if it is strictly farther than the k-th distance, with an allowance for rounded roots.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from vicinity.functions.shipping import ship_package
-from vicinity.operators.knn import FOUND, K, _matrix, query_blocks
-from vicinity.operators.topk import top_k
+from vicinity.operators.cells import all_pairs
+from vicinity.operators.knn import K
 
 #: Rows of a chunk that gets a tree of its own, and rows of a leaf that is scanned whole.
 CHUNK, LEAF = 16384, 32
@@ -34,6 +29,8 @@ class VpTree:
     left: np.ndarray
     right: np.ndarray
     leaf: dict[int, tuple[int, int]]
+    #: By how much, relatively, a threshold may be rounded: it is allowed for when subtrees are passed over.
+    slack: float = 1e-12
 
     @property
     def size(self) -> int:
@@ -100,46 +97,29 @@ def search(tree: VpTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int,
         d = float(np.sqrt(offer(tree.point[node : node + 1])[0]))
         left, right, t = int(tree.left[node]), int(tree.right[node]), float(tree.threshold[node])
         # inside: within t of the vantage point; outside: at t or beyond
-        inside, outside = (left, max(0.0, d - t)), (right, max(0.0, t - d))
+        inside, outside = (left, max(0.0, d - t * (1 + tree.slack))), (right, max(0.0, t * (1 - tree.slack) - d))
         near, far = (inside, outside) if d < t else (outside, inside)
         todo += [(n, max(least, bound)) for n, bound in (far, near) if n >= 0]
     return best
 
 
-def knn_vptree(refs: DataFrame, queries: DataFrame, k: int = K, skip_self: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """(qid, rank, orig_id, label, dist), as ``knn.knn_brute``."""
-    spark = refs.sparkSession
-    ship_package(spark)
-    found = []
-    for block_ids, block in query_blocks(queries):
-        shared = spark.sparkContext.broadcast((block_ids, block))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, codes = shared.value
-            best: list[list[tuple[float, int, int]]] = [[] for _ in ids]
-            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-            def flush() -> None:
-                refs, labels, x = (np.concatenate(c) for c in zip(*held))
-                held.clear()
-                tree = build(x)
-                for i, q in enumerate(codes):
-                    near = search(tree, x, refs, q, k, int(ids[i]) if skip_self else None)
-                    best[i] = sorted(best[i] + [(d, r, int(labels[row])) for d, r, row in near])[:k]
-
-            for batch in batches:
-                if batch.num_rows:
-                    held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False), _matrix(batch.column(1))))
-                    if sum(len(h[0]) for h in held) >= chunk:
-                        flush()
-            if held:
-                flush()
-            rows = [(int(ids[i]), r, label, int(d)) for i, near in enumerate(best) for d, r, label in near]
-            columns = list(zip(*rows)) or [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["qid", "orig_id", "label", "dist"])
-
-        found.append(refs.select("orig_id", "codes", F.col("label").cast("int")).mapInArrow(scan, FOUND))
-    if not found:
-        return spark.createDataFrame([], FOUND + ", rank int")
-    return top_k(reduce(DataFrame.union, found), "qid", k, "dist", "orig_id")
+def forest(grow=build):
+    """A maker of searches (see ``cells``) that grows a tree over a cell's references, and prunes it query by query."""
+
+    def maker(x: np.ndarray, ids: np.ndarray, k: int):
+        tree = grow(x)
+
+        def find(queries: np.ndarray, skip: np.ndarray | None):
+            found = [search(tree, x, ids, q, k, None if skip is None else int(skip[i])) for i, q in enumerate(queries)]
+            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            flat = [hit for f in found for hit in f]
+            return row, np.array([r for _, _, r in flat], np.int64), np.array([d for d, _, _ in flat], np.float64)
+
+        return find
+
+    return maker
+
+
+def knn_vptree(refs: DataFrame, queries: DataFrame, k: int = K, skip_self: bool = False, chunk: int = CHUNK, grow=build) -> DataFrame:
+    """(qid, rank, orig_id, label, dist), as ``knn.knn_brute``. ``grow`` makes the tree of a chunk's vectors."""
+    return all_pairs(refs, queries, k, skip_self, forest(grow), chunk)

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vicinity.functions import features, scalars
+from vicinity.functions.scratch import scratch_path, written
 from vicinity.operators import decide, evaluate, ivf, knn, vptree
 from vicinity.plans import transactions as tx
+from vicinity.sources import index_files, readers
 from vicinity.streaming import score as scoring
 
 #: Buckets and probes of the embedding queries: the tables hold 500 to 2,000 vectors.
 BUCKETS, FAST, FULL = 16, 2, 6
-#: Buckets of the event index.
-EVENT_BUCKETS = 128
+#: Buckets of the event index, and dims of its vectors.
+EVENT_BUCKETS, DIMS = 128, 14
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,16 +100,136 @@ def kmeans_assign_init(spark, sf_dir):
 
 
 def kmeans_update(spark, sf_dir):
-    """Exact sums of codes per bucket and dim after the first assignment."""
+    """The sums of k-means' update after the first assignment."""
     refs = references(spark, sf_dir)
-    rows = ivf.assign(refs, ivf.initial_centroids(refs, BUCKETS))
-    long = rows.select("bucket", F.posexplode(scalars.quantize(F.col("vector"))).alias("dim", "code"))
-    return long.groupBy("bucket", "dim").agg(F.count("*").alias("n"), F.sum("code").alias("code_sum"))
+    sums = ivf.bucket_sums(refs, ivf.initial_centroids(refs, BUCKETS))
+    long = sums.select("bucket", "n", F.posexplode("sums").alias("dim", "total"))
+    return long.select("bucket", "n", "dim", F.round("total", 6).alias("total"))
+
+
+def _centroid_rows(spark, centroids):
+    rows = [(i, d, float(x)) for i, c in enumerate(centroids) for d, x in enumerate(c)]
+    return spark.createDataFrame(rows, "bucket int, dim int, value double").withColumn("value", F.round("value", 5))
 
 
 def kmeans_final(spark, sf_dir):
-    index = ivf.build_ivf(references(spark, sf_dir), BUCKETS)
-    return ivf.layout(index)
+    return _centroid_rows(spark, ivf.lloyd(references(spark, sf_dir), BUCKETS))
+
+
+def kmeans_layout(spark, sf_dir):
+    return ivf.layout(ivf.build_ivf(references(spark, sf_dir), BUCKETS))
+
+
+def kmeans_reseed(spark, sf_dir):
+    """A round over few distinct vectors: buckets that start on the same one are empty, and reseeded."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vector = F.array((F.col("label") * F.lit(0.5)).cast("float"), (F.col("label") % 3).cast("float"))
+    refs = rows.select(F.col("vec_id").alias("orig_id"), vector.alias("vector"), F.lit(0).alias("label"))
+    return _centroid_rows(spark, ivf.lloyd(refs, BUCKETS, 1))
+
+
+def index_places(spark, sf_dir):
+    """Each row's place in the index: its bucket's start and its rank by id in the bucket."""
+    index = first_index(spark, sf_dir)
+    rank = F.row_number().over(ivf.Window.partitionBy("bucket").orderBy("orig_id"))
+    return ivf.placed(index).join(ivf.layout(index).select("bucket", "start"), "bucket").select("orig_id", "bucket", (F.col("start") + rank - 1).alias("place"))
+
+
+def knn_int8(spark, sf_dir):
+    refs, queries = coded(spark, sf_dir, "int8")
+    return knn.knn_brute(refs, queries, skip_self=True).select("qid", "rank", "orig_id", "dist")
+
+
+def fraud_count(spark, sf_dir):
+    """The index's one-call interface, on raw vectors; a vector finds itself too."""
+    index = first_index(spark, sf_dir)
+    vectors = references(spark, sf_dir).select(F.col("orig_id").alias("qid"), "vector")
+    return knn.fraud_count(index, vectors, fast=FAST, full=FULL)
+
+
+def index_file(spark, sf_dir):
+    """The index written as a binary file and read back by Spark: (orig_id, bucket, label, codes)."""
+    folder = scratch_path(spark, "index-file")
+    index_files.write_index_file(first_index(spark, sf_dir), folder)
+    rows, _ = index_files.read_index_files(spark, folder)
+    return rows.select("orig_id", "bucket", "label", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"))
+
+
+def index_file_centroids(spark, sf_dir):
+    """The centroid table of an index file of the first version, which has no radius."""
+    folder = scratch_path(spark, "index-file")
+    index_files.write_index_file(first_index(spark, sf_dir), folder, version=1)
+    _, table = index_files.read_index_files(spark, folder)
+    codes = scalars.quantize(F.col("centroid"))
+    return table.select("bucket", F.array_join(codes.cast("array<string>"), ",").alias("codes"), "n", F.col("radius").isNull().alias("no_radius"))
+
+
+def index_table(spark, sf_dir):
+    """Search of an index that was saved as tables, loaded and warmed up."""
+    folder = scratch_path(spark, "index-table")
+    index_files.save_index(first_index(spark, sf_dir), folder)
+    index = ivf.warm_up(index_files.load_index(spark, folder, "i16"))
+    _, queries = coded(spark, sf_dir)
+    found = written(knn.knn_ivf(index, queries, nprobe=FAST, skip_self=True).select("qid", "rank", "orig_id", "dist"), "found")
+    ivf.cool_down(index)
+    return found
+
+
+def vectors_file(spark, sf_dir):
+    """Quantized vectors and labels, saved and loaded."""
+    path = scratch_path(spark, "vectors")
+    index_files.save_vectors(coded(spark, sf_dir, "int8")[0], path)
+    rows = index_files.load_vectors(spark, path)
+    return rows.select("orig_id", F.array_join(F.col("codes").cast("array<string>"), ",").alias("codes"), "label")
+
+
+def _through_file(x):
+    return index_files.decode_tree(index_files.encode_tree(vptree.build(x, leaf=1)))
+
+
+def vptree_file(spark, sf_dir):
+    """Exact search by trees that went through their binary form."""
+    refs, queries = coded(spark, sf_dir)
+    return vptree.knn_vptree(refs, queries, skip_self=True, grow=_through_file).select("qid", "rank", "orig_id", "dist")
+
+
+def scan_references(spark, sf_dir):
+    """Reference files: JSON arrays, gzipped, a file for each hundred vectors."""
+    path = scratch_path(spark, "references")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("label") < 4, "fraud").otherwise("legit")
+    part = F.floor(F.col("vec_id") / 100)
+    entry = F.struct(F.col("embedding").alias("vector"), label.alias("label"))
+    arrays = rows.groupBy(part.alias("part")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("vec_id", entry.alias("e")))).getField("e")).alias("value"))
+    arrays.write.partitionBy("part").option("compression", "gzip").text(path)
+    found = readers.read_references(spark, f"{path}/*/*")
+    return found.select(F.array_join(scalars.quantize(F.col("vector")).cast("array<string>"), ",").alias("codes"), "label")
+
+
+def scan_labeled(spark, sf_dir):
+    """A labelled set: entries of a request and what is expected, a file for each 500."""
+    path = scratch_path(spark, "labeled")
+    rows = tx.requests(spark, sf_dir).where("qid % 97 <> 0")
+    fraud = F.col("event_type") == "error"
+    entry = F.struct(F.from_json("body", features.PAYLOAD).alias("request"), (~fraud).alias("expected_approved"), F.when(fraud, 1.0).otherwise(0.2).alias("expected_fraud_score"))
+    files = rows.groupBy(F.floor(F.col("qid") / 500).alias("part")).agg(F.to_json(F.struct(F.collect_list(entry).alias("entries"))).alias("value"))
+    files.write.partitionBy("part").text(path)
+    found = readers.read_labeled(spark, f"{path}/*/*")
+    return found.select(F.get_json_object("request", "$.id").cast("long").alias("qid"), "expected_approved", "expected_fraud_score")
+
+
+def scan_limit(spark, sf_dir):
+    return readers.limited(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id"), 100, "event_id")
+
+
+def scan_config(spark, sf_dir):
+    """The normalization constants and category risks, from their files."""
+    folder = scratch_path(spark, "config")
+    for name, value in (("normalization", tx.NORM), ("mcc_risk", tx.RISK)):
+        spark.range(1).select(F.lit(json.dumps(value)).alias("value")).write.text(f"{folder}/{name}.json")
+    norm = readers.read_normalization(spark, f"{folder}/normalization.json")
+    constants = spark.createDataFrame(list(norm.items()), "name string, value double")
+    return constants.union(readers.read_mcc_risk(spark, f"{folder}/mcc_risk.json"))
 
 
 def bucket_layout(spark, sf_dir):
@@ -138,9 +259,26 @@ def _vectors(spark, sf_dir):
     return features.vectorize(seen, tx.NORM, tx.risks(spark))
 
 
+def _codes(rows):
+    return rows.where("parsed").select("qid", F.posexplode(scalars.quantize(F.col("vector"), dims=DIMS)).alias("dim", "code"))
+
+
 def features_events(spark, sf_dir):
-    rows = _vectors(spark, sf_dir).where("parsed").select("qid", F.posexplode(scalars.quantize(F.col("vector"))).alias("dim", "code"))
-    return rows.select("qid", "dim", "code")
+    return _codes(_vectors(spark, sf_dir))
+
+
+def features_compat(spark, sf_dir):
+    """The features as the positional parsers read them."""
+    return _codes(features.vectorize(features.parse(tx.requests(spark, sf_dir)), tx.NORM, tx.risks(spark), compat=True))
+
+
+def request_source(spark, sf_dir):
+    """Request bodies that arrive as text, a line each, read as a stream."""
+    folder = scratch_path(spark, "requests")
+    tx.requests(spark, sf_dir).select("body").write.text(f"{folder}/in")
+    seen = features.parse(readers.request_stream(spark, f"{folder}/in")).select(F.get_json_object("body", "$.id").cast("long").alias("qid"), "parsed")
+    seen.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.schema("qid long, parsed boolean").parquet(f"{folder}/out").where("parsed")
 
 
 def payload_parse(spark, sf_dir):
@@ -199,47 +337,108 @@ def latency_points(spark, sf_dir):
     return rows.select(F.round(evaluate.latency_score(F.col("p99"))).cast("bigint").alias("points"))
 
 
+def final_points(spark, sf_dir):
+    """The final score: that of detection and that of latency."""
+    rows = latency_quantiles(spark, sf_dir).select(evaluate.latency_score(F.col("p99")).alias("latency"))
+    m = confusion(spark, sf_dir).select(evaluate.detection_score(F.col("fp"), F.col("fn"), F.lit(0), F.col("n")).alias("detection"))
+    return m.join(rows, F.lit(True)).select(F.round(evaluate.final_score(F.col("detection"), F.col("latency"))).cast("bigint").alias("points"))
+
+
+def mismatch_report(spark, sf_dir):
+    """The mismatches, written as JSON lines and read back."""
+    path = scratch_path(spark, "mismatches")
+    evaluate.write_mismatches(mismatches(spark, sf_dir), path)
+    return spark.read.schema("doc_id long, got boolean, expected boolean").json(path)
+
+
 def _event_references(spark, sf_dir):
-    """All events that can be read, as a reference set; fraud if they are errors."""
-    rows = _vectors(spark, sf_dir).where("parsed")
-    return rows.select(F.col("qid").alias("orig_id"), "vector", scalars.quantize(F.col("vector")).alias("codes"), (F.col("event_type") == "error").cast("int").alias("label"))
+    """All events that can be read, as a reference set whose ids are positions; fraud if they are errors."""
+    rows = _vectors(spark, sf_dir).where("parsed").select("qid", "vector", (F.col("event_type") == "error").cast("int").alias("label"))
+    return written(ivf.positions(rows, "qid"), "events")
+
+
+def _event_queries(refs):
+    return refs.select(F.col("orig_id").alias("qid"), scalars.quantize(F.col("vector"), dims=DIMS).alias("codes"))
+
+
+def _first_event_index(refs):
+    return ivf.index_from(refs, ivf.initial_centroids(refs, EVENT_BUCKETS))
+
+
+def event_ivf(spark, sf_dir):
+    """Probes and inverted lists of short vectors, at the shape of the original workload."""
+    refs = _event_references(spark, sf_dir)
+    return knn.knn_ivf(_first_event_index(refs), _event_queries(refs), nprobe=FAST, skip_self=True).select("qid", "rank", "orig_id", "dist")
+
+
+def event_two_pass(spark, sf_dir):
+    refs = _event_references(spark, sf_dir)
+    return knn.two_pass(_first_event_index(refs), _event_queries(refs), fast=FAST, full=FULL, skip_self=True)
+
+
+def event_pruned(spark, sf_dir):
+    """Exact search by pruning, with the query's own event left out."""
+    refs = _event_references(spark, sf_dir)
+    return knn.knn_pruned(_first_event_index(refs), _event_queries(refs), nprobe=FAST, skip_self=True).select("qid", "rank", "orig_id", "dist")
 
 
 def event_decisions(spark, sf_dir):
     """A decision on every event, by exact search of all others; one that can't be read is approved with score 0."""
-    refs = _event_references(spark, sf_dir).drop("vector").persist()
-    voted = decide.vote(refs.select(F.col("orig_id").alias("qid")), knn.knn_brute(refs, refs.select(F.col("orig_id").alias("qid"), "codes"), skip_self=True))
+    refs = _event_references(spark, sf_dir)
+    votes = decide.vote(_event_queries(refs), knn.knn_pruned(_first_event_index(refs), _event_queries(refs), nprobe=FULL, skip_self=True))
     frauds = F.coalesce("frauds", F.lit(0))
-    asked = tx.requests(spark, sf_dir).select("qid")
-    return asked.join(voted.select("qid", "frauds"), "qid", "left").select("qid", frauds.alias("frauds"), decide.approved(frauds).alias("approved"))
+    voted = refs.select(F.col("qid").alias("event_id"), "orig_id").join(votes.select(F.col("qid").alias("orig_id"), "frauds"), "orig_id")
+    asked = tx.requests(spark, sf_dir).select(F.col("qid").alias("event_id"))
+    return asked.join(voted, "event_id", "left").select(F.col("event_id").alias("qid"), frauds.alias("frauds"), decide.approved(frauds).alias("approved"))
+
+
+def _event_judged(spark, sf_dir):
+    """The index's approximate decisions beside the exact ones, by event."""
+    refs = _event_references(spark, sf_dir)
+    index, asked = _first_event_index(refs), _event_queries(refs)
+    got = knn.two_pass(index, asked, fast=FAST, full=FULL, skip_self=True).select("qid", decide.score(F.col("frauds")).alias("got"))
+    want = decide.vote(asked, knn.knn_pruned(index, asked, nprobe=FULL, skip_self=True)).select("qid", F.col("fraud_score").alias("expected"))
+    return evaluate.compare(got, want, "qid")
+
+
+def event_confusion(spark, sf_dir):
+    """The confusion matrix of the index's decisions against those of exact search."""
+    return evaluate.confusion(_event_judged(spark, sf_dir), F.col("got") < 0.6, F.col("expected") < 0.6)
+
+
+def event_mismatches(spark, sf_dir):
+    """Events whose approximate score differs from the exact one by more than a tolerance."""
+    return evaluate.mismatches(_event_judged(spark, sf_dir), F.col("got"), F.col("expected"), 0.01).select("qid", "got", "expected")
 
 
 def _event_index(spark, sf_dir):
-    """An index of all events that can be read; its ids are positions, as those of a reference file are."""
-    order = Window.orderBy("orig_id")
-    places = _event_references(spark, sf_dir).select("vector", "label", (F.row_number().over(order) - 1).cast("long").alias("orig_id"))
-    return ivf.build_ivf(places.select("orig_id", "vector", "label"), EVENT_BUCKETS)
+    """A trained index of all events that can be read."""
+    return ivf.build_ivf(_event_references(spark, sf_dir).select("orig_id", "vector", "label"), EVENT_BUCKETS)
 
 
 def stream_score(spark, sf_dir):
     """Scores all requests as a stream over arriving files, and returns what the sink holds. Events find themselves too."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vicinity-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = scratch_path(spark, "stream")
     tx.requests(spark, sf_dir).select("qid", "body").write.parquet(f"{folder}/in")
-    index, risks = _event_index(spark, sf_dir), tx.risks(spark)
+    index_files.save_index(_event_index(spark, sf_dir), f"{folder}/index")
+    index, risks = ivf.warm_up(index_files.load_index(spark, f"{folder}/index")), tx.risks(spark)
     stream = spark.readStream.schema("qid long, body string").parquet(f"{folder}/in")
     run = scoring.score_stream(stream, lambda batch: scoring.score(batch, index, tx.NORM, risks, fast=FAST, full=FULL), f"{folder}/out", f"{folder}/log", once=True)
     run.awaitTermination()
+    ivf.cool_down(index)
     return spark.read.parquet(f"{folder}/out").select("qid", "frauds", "approved", "response")
 
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        quantize_int8, quantize_i16, knn_brute_top5, knn_vote, knn_decision_json, vptree_knn, knn_pruned_exact,
-        centroid_distances, ivf_probe, ivf_two_pass, kmeans_assign_init, kmeans_update, kmeans_final, bucket_layout,
-        bucket_radius, label_bitmap, label_bit_test, features_events, payload_parse, mcc_lookup, unknown_merchant,
-        confusion, failure_rate, detection_score, mismatches, mismatch_samples, latency_quantiles, latency_points,
-        event_decisions, stream_score,
+        quantize_int8, quantize_i16, knn_brute_top5, knn_int8, knn_vote, knn_decision_json, vptree_knn, vptree_file,
+        knn_pruned_exact, centroid_distances, ivf_probe, ivf_two_pass, fraud_count, kmeans_assign_init, kmeans_update,
+        kmeans_final, kmeans_layout, kmeans_reseed, bucket_layout, bucket_radius, index_places, index_file,
+        index_file_centroids, index_table, vectors_file, scan_references, scan_labeled, scan_limit, scan_config,
+        label_bitmap, label_bit_test, features_events, features_compat, payload_parse, request_source, mcc_lookup,
+        unknown_merchant, confusion, failure_rate, detection_score, mismatches, mismatch_samples, mismatch_report,
+        latency_quantiles, latency_points, final_points, event_ivf, event_two_pass, event_pruned, event_decisions,
+        event_confusion, event_mismatches, stream_score,
     )}
 
 
@@ -285,6 +484,70 @@ def _ivf_sql(n: int, name: str) -> str:
 """
 
 
+def _mean_sql(number: int) -> str:
+    """A round of k-means: centres{number} to centres{number + 1}, over refs (orig_id, embedding) with reseeding."""
+    return f"""
+near{number} AS (SELECT orig_id, embedding, bucket FROM refs CROSS JOIN centres{number}
+    QUALIFY row_number() OVER (PARTITION BY orig_id ORDER BY {_far_sql("embedding", "c", "DOUBLE")}, bucket) = 1),
+long{number} AS (SELECT bucket, unnest(range(len(embedding))) AS d, unnest(embedding)::DOUBLE AS x FROM near{number}),
+means{number} AS (SELECT bucket, list(m ORDER BY d) AS c FROM
+    (SELECT bucket, d, CAST(sum(x) / count(*) AS FLOAT) AS m FROM long{number} GROUP BY bucket, d) GROUP BY bucket),
+centres{number + 1} AS (SELECT s.bucket, coalesce(m.c, r.embedding) AS c FROM centres{number} s LEFT JOIN means{number} m USING (bucket)
+    JOIN refs r ON r.orig_id = s.bucket * {ivf.RESEED} % (SELECT count(*) FROM refs))"""
+
+
+_START = f"""centres0 AS (SELECT CAST(i AS INT) AS bucket, embedding AS c FROM range({BUCKETS}) t(i)
+    JOIN refs ON orig_id = i * (SELECT count(*) FROM refs) // {BUCKETS})"""
+_LONG_CENTRES = """SELECT bucket, CAST(unnest(range(len(c))) AS INT) AS dim, round(unnest(c)::DOUBLE, 5) AS value FROM """
+
+
+def _wide(a: str, b: str, x: str, kind: str) -> str:
+    return "(" + " + ".join(f"({a}.{x}{d}::{kind} - {b}.{x}{d}::{kind}) * ({a}.{x}{d}::{kind} - {b}.{x}{d}::{kind})" for d in range(DIMS)) + ")"
+
+
+def _event_sql(rounds: int = 0) -> str:
+    """ev (orig_id, event_id, label, x0.., c0..: floats and codes), its centres after so many rounds, and each row's bucket."""
+    every = lambda text, sep=", ": sep.join(text.replace("#", str(d)) for d in range(DIMS))
+    floats = ", ".join(f"CAST({x} AS FLOAT) AS x{i}" for i, x in enumerate(tx.DIMS_SQL))
+    codes = ", ".join(f"CAST({_code_sql('i16', f'x{d}')} AS BIGINT) AS c{d}" for d in range(DIMS))
+    parts = [f"""{tx.SQL}, raw AS (SELECT event_id, CAST(event_type = 'error' AS INT) AS label, {floats} FROM tx WHERE event_id % 97 <> 0),
+ev AS MATERIALIZED (SELECT row_number() OVER (ORDER BY event_id) - 1 AS orig_id, *, {codes} FROM raw),
+m0 AS MATERIALIZED (SELECT CAST(i AS INT) AS bucket, {every("x#")} FROM range({EVENT_BUCKETS}) t(i)
+    JOIN ev ON orig_id = i * (SELECT count(*) FROM ev) // {EVENT_BUCKETS})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""b{r} AS MATERIALIZED (SELECT e.orig_id, m.bucket FROM ev e CROSS JOIN m{r} m
+    QUALIFY row_number() OVER (PARTITION BY e.orig_id ORDER BY {_wide("e", "m", "x", "DOUBLE")}, m.bucket) = 1)""")
+        if r < rounds:
+            parts.append(f"""m{r + 1} AS MATERIALIZED (SELECT m.bucket, {every("coalesce(s.x#, seed.x#) AS x#")} FROM m{r} m
+    LEFT JOIN (SELECT bucket, {every("CAST(sum(x#::DOUBLE) / count(*) AS FLOAT) AS x#")} FROM b{r} JOIN ev USING (orig_id) GROUP BY bucket) s USING (bucket)
+    JOIN ev seed ON seed.orig_id = m.bucket * {ivf.RESEED} % (SELECT count(*) FROM ev))""")
+    mcodes = ", ".join(f"CAST({_code_sql('i16', f'x{d}')} AS BIGINT) AS c{d}" for d in range(DIMS))
+    parts.append(f"centres AS (SELECT bucket, {mcodes} FROM m{rounds})")
+    parts.append(f"""probed AS MATERIALIZED (SELECT e.orig_id AS qid, m.bucket, row_number() OVER (PARTITION BY e.orig_id
+    ORDER BY {_wide("e", "m", "c", "BIGINT")}, m.bucket) AS place FROM ev e CROSS JOIN centres m QUALIFY place <= {FULL})""")
+    return "WITH " + ",\n".join(parts) + f",\nlists AS (SELECT ev.*, bucket FROM ev JOIN b{rounds} USING (orig_id))"
+
+
+def _event_near(n: int, name: str, own: bool = False) -> str:
+    """The five nearest of n probed buckets."""
+    left_out = "" if own else "AND q.orig_id <> r.orig_id"
+    return f"""{name} AS MATERIALIZED (SELECT p.qid, r.orig_id, r.label, CAST({_wide("q", "r", "c", "BIGINT")} AS BIGINT) AS dist,
+    CAST(row_number() OVER (PARTITION BY p.qid ORDER BY dist, r.orig_id) AS INT) AS rank
+    FROM probed p JOIN ev q ON q.orig_id = p.qid JOIN lists r ON r.bucket = p.bucket {left_out} WHERE p.place <= {n} QUALIFY rank <= 5)"""
+
+
+def _event_votes(own: bool = False) -> str:
+    count = lambda name: f"(SELECT e.orig_id AS qid, CAST(coalesce(sum(n.label), 0) AS INT) AS frauds FROM ev e LEFT JOIN {name} n ON n.qid = e.orig_id GROUP BY 1)"
+    return f"""{_event_near(FAST, "fast", own)}, {_event_near(FULL, "full_", own)},
+votes AS (SELECT a.qid, CASE WHEN a.frauds IN (2, 3) THEN b.frauds ELSE a.frauds END AS frauds FROM {count("fast")} a JOIN {count("full_")} b USING (qid))"""
+
+
+#: (orig_id, dist) of the five nearest of all, as one number each: squared distances are below 10^11 and ids below 10^7.
+_EVENT_EXACT = f"""hits AS (SELECT q.orig_id AS qid, unnest(list_sort(min({_wide("q", "r", "c", "BIGINT")}::HUGEINT * 10000000 + r.orig_id, 5))) AS hit
+    FROM ev q JOIN ev r ON q.orig_id <> r.orig_id GROUP BY q.orig_id),
+exact AS MATERIALIZED (SELECT qid, CAST(hit % 10000000 AS BIGINT) AS orig_id, CAST(hit // 10000000 AS BIGINT) AS dist FROM hits),
+truth AS (SELECT qid, CAST(sum(label) AS INT) AS frauds FROM exact JOIN ev USING (orig_id) GROUP BY qid)"""
+
 _JUDGED = "judged AS (SELECT doc_id, toxic = 0 AS got, quality = 1 AS expected FROM labels)"
 _MATRIX = f"""{_JUDGED}, matrix AS (SELECT CAST(count_if(NOT got AND NOT expected) AS BIGINT) AS tp, CAST(count_if(got AND expected) AS BIGINT) AS tn,
     CAST(count_if(NOT got AND expected) AS BIGINT) AS fp, CAST(count_if(got AND NOT expected) AS BIGINT) AS fn,
@@ -294,6 +557,7 @@ _MATRIX = f"""{_JUDGED}, matrix AS (SELECT CAST(count_if(NOT got AND NOT expecte
 def oracle_sql() -> dict:
     brute = f"WITH {_REFS}, {_TOP} SELECT qid, rank, orig_id, dist FROM near"
     index = f"WITH {_REFS}, {_CENTRES}"
+    rounds = f"{_START}, {', '.join(map(_mean_sql, range(ivf.ROUNDS)))}"
     dims = " UNION ALL ".join(f"SELECT event_id, {i} AS dim, CAST({x} AS FLOAT) AS v FROM tx WHERE event_id % 97 <> 0" for i, x in enumerate(tx.DIMS_SQL))
     mcc = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tx.MCC.items()) + " END"
     risk = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {tx.RISK[v]}" for k, v in tx.MCC.items() if v in tx.RISK) + " ELSE 0.5 END"
@@ -313,8 +577,49 @@ def oracle_sql() -> dict:
             b AS (SELECT q.orig_id AS qid, CAST(coalesce(sum(f.label), 0) AS INT) AS frauds FROM refs q LEFT JOIN full_ f ON f.qid = q.orig_id GROUP BY 1)
             SELECT a.qid, CASE WHEN a.frauds IN (2, 3) THEN b.frauds ELSE a.frauds END AS frauds FROM a JOIN b USING (qid)""",
         "kmeans_assign_init": f"{index} SELECT orig_id, bucket FROM assigned",
-        "kmeans_update": f"""{index}, long AS (SELECT bucket, CAST(unnest(range(len(codes))) AS INT) AS dim, unnest(codes) AS code FROM assigned)
-            SELECT bucket, dim, count(*) AS n, CAST(sum(code) AS BIGINT) AS code_sum FROM long GROUP BY bucket, dim""",
+        "kmeans_update": f"""{index}, long AS (SELECT bucket, CAST(unnest(range(len(embedding))) AS INT) AS dim, unnest(embedding)::DOUBLE AS x FROM assigned JOIN refs USING (orig_id))
+            SELECT bucket, count(*) AS n, dim, round(sum(x), 6) AS total FROM long GROUP BY bucket, dim""",
+        "kmeans_final": f"WITH {_REFS}, {rounds} {_LONG_CENTRES} centres3",
+        "kmeans_layout": f"""WITH {_REFS}, {rounds}, home AS (SELECT orig_id, bucket FROM refs CROSS JOIN centres3
+                QUALIFY row_number() OVER (PARTITION BY orig_id ORDER BY {_far_sql("embedding", "c", "DOUBLE")}, bucket) = 1),
+            sizes AS (SELECT c.bucket, count(h.orig_id) AS n FROM centres3 c LEFT JOIN home h USING (bucket) GROUP BY c.bucket)
+            SELECT bucket, n, CAST(coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes""",
+        "kmeans_reseed": f"""WITH refs AS (SELECT vec_id AS orig_id, [CAST(label * 0.5 AS FLOAT), CAST(label % 3 AS FLOAT)] AS embedding FROM embeddings),
+            {_START}, {_mean_sql(0)} {_LONG_CENTRES} centres1""",
+        "index_places": f"{index} SELECT orig_id, bucket, CAST(row_number() OVER (ORDER BY bucket, orig_id) - 1 AS BIGINT) AS place FROM assigned",
+        "index_file": f"{index} SELECT orig_id, bucket, label, array_to_string(codes, ',') AS codes FROM assigned",
+        "index_file_centroids": f"""{index} SELECT c.bucket, array_to_string(c.cc, ',') AS codes, count(a.orig_id) AS n, true AS no_radius
+            FROM centres c LEFT JOIN assigned a USING (bucket) GROUP BY ALL""",
+        "index_table": f"{index}, {_ivf_sql(FAST, 'fast')} SELECT qid, rank, orig_id, dist FROM fast",
+        "vectors_file": f"SELECT vec_id AS orig_id, array_to_string({_codes_sql('int8')}, ',') AS codes, CAST(label < 4 AS INT) AS label FROM embeddings",
+        "vptree_file": brute,
+        "knn_int8": f"WITH {_REFS.replace(_codes_sql(), _codes_sql('int8'))}, {_TOP} SELECT qid, rank, orig_id, dist FROM near",
+        "fraud_count": f"""{index}, {_ivf_sql(FAST, "fast").replace("AND p.qid <> a.orig_id", "")}, {_ivf_sql(FULL, "full_").replace("AND p.qid <> a.orig_id", "")},
+            a AS (SELECT qid, CAST(sum(label) AS INT) AS frauds FROM fast GROUP BY 1), b AS (SELECT qid, CAST(sum(label) AS INT) AS frauds FROM full_ GROUP BY 1)
+            SELECT a.qid, CASE WHEN a.frauds IN (2, 3) THEN b.frauds ELSE a.frauds END AS frauds FROM a JOIN b USING (qid)""",
+        "scan_references": f"SELECT array_to_string({_codes_sql()}, ',') AS codes, CAST(label < 4 AS INT) AS label FROM embeddings",
+        "scan_labeled": """SELECT event_id AS qid, event_type <> 'error' AS expected_approved, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.2 END::DOUBLE AS expected_fraud_score
+            FROM events WHERE event_id % 97 <> 0""",
+        "scan_limit": "SELECT event_id FROM events ORDER BY event_id LIMIT 100",
+        "scan_config": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in {**tx.NORM, **tx.RISK}.items()) + ") t(name, value)",
+        "features_compat": f"""WITH {tx.SQL}, long AS ({dims.replace("WHEN 'error' THEN 0.8", "WHEN 'error' THEN 0.5")})
+            SELECT event_id AS qid, dim, CAST({_code_sql('i16', 'v')} AS INT) AS code FROM long""",
+        "request_source": "SELECT event_id AS qid, true AS parsed FROM events WHERE event_id % 97 <> 0",
+        "mismatch_report": f"WITH {_JUDGED} SELECT doc_id, got, expected FROM judged WHERE got IS DISTINCT FROM expected",
+        "final_points": f"""WITH {_MATRIX}, e AS (SELECT n, fp + 3 * fn AS errors FROM matrix),
+            p AS (SELECT least(3000.0, 1000 * log10(1000 / quantile_cont(value, 0.99))) AS latency FROM events)
+            SELECT CAST(round(least(6000.0, latency + 1000 * log10(n / greatest(errors, 1)) - 300 * log10(1 + errors))) AS BIGINT) AS points FROM e, p""",
+        "event_ivf": f"{_event_sql()}, {_event_near(FAST, 'fast')} SELECT qid, rank, orig_id, dist FROM fast",
+        "event_two_pass": f"{_event_sql()}, {_event_votes()} SELECT qid, frauds FROM votes",
+        "event_pruned": f"""{_event_sql()}, {_EVENT_EXACT} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank, orig_id, dist FROM exact""",
+        "event_confusion": f"""{_event_sql()}, {_event_votes()}, {_EVENT_EXACT}, both_ AS (SELECT v.frauds < 3 AS got, t.frauds < 3 AS expected FROM votes v JOIN truth t USING (qid))
+            SELECT count_if(NOT got AND NOT expected)::BIGINT AS tp, count_if(got AND expected)::BIGINT AS tn, count_if(NOT got AND expected)::BIGINT AS fp,
+            count_if(got AND NOT expected)::BIGINT AS fn, count(*) AS n FROM both_""",
+        "event_mismatches": f"""{_event_sql()}, {_event_votes()}, {_EVENT_EXACT} SELECT qid, v.frauds / 5 AS got, t.frauds / 5 AS expected
+            FROM votes v JOIN truth t USING (qid) WHERE v.frauds <> t.frauds""",
+        "stream_score": f"""{_event_sql(ivf.ROUNDS)}, {_event_votes(own=True)} SELECT tx.event_id AS qid, coalesce(v.frauds, 0) AS frauds, coalesce(v.frauds, 0) < 3 AS approved,
+            '{{"approved":' || CASE WHEN coalesce(v.frauds, 0) < 3 THEN 'true' ELSE 'false' END || ',"fraud_score":' || CAST(coalesce(v.frauds, 0) * 2 // 10 AS VARCHAR)
+            || '.' || CAST(coalesce(v.frauds, 0) * 2 % 10 AS VARCHAR) || '}}' AS response FROM tx LEFT JOIN ev USING (event_id) LEFT JOIN votes v ON v.qid = ev.orig_id""",
         "bucket_layout": f"""{index}, sizes AS (SELECT c.bucket, count(a.orig_id) AS n FROM centres c LEFT JOIN assigned a USING (bucket) GROUP BY c.bucket)
             SELECT bucket, n, CAST(coalesce(sum(n) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sizes""",
         "bucket_radius": f"""{index} SELECT c.bucket, CAST(coalesce(max({_far_sql("a.codes", "a.cc")}), 0) AS BIGINT) AS radius_sq

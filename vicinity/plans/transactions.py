@@ -18,7 +18,8 @@ RISK = {"5411": 0.15, "5812": 0.3, "5999": 0.5, "0742": 0.8}
 
 
 def risks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RISK.items()), "mcc string, risk double")
+    rows = ", ".join(f"('{mcc}', {risk}D)" for mcc, risk in RISK.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(mcc, risk)")  # of known size, so that Spark broadcasts it
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,16 +10,21 @@ from __future__ import annotations
 
 import gzip
 import struct
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.functions.shipping import ship_package
 from vicinity.operators.ivf import IvfIndex, placed
 from vicinity.operators.vptree import VpTree
 
 MAGIC, TREE_MAGIC, HEADER = b"RKNN", 0x56505431, 32
+#: Bytes of an index that goes into one file, by way of one machine's memory.
+INTERCHANGE = 1 << 30
 
 
 def save_index(index: IvfIndex, folder: str) -> None:
@@ -88,23 +93,58 @@ def decode_index(data: bytes, dims: int | None = None) -> IvfArrays:
 
 
 def arrays_of(index: IvfIndex) -> IvfArrays:
-    """An index's arrays, for interchange of one that fits a single machine."""
+    """An index's arrays, for interchange of one that fits a single machine: more than INTERCHANGE bytes are an error."""
     table = index.centroids.orderBy("bucket").toPandas()
+    if table["n"].sum() * (2 * index.dims + 5) > INTERCHANGE:
+        raise ValueError("the index is too large for one file: save_index writes it as a table")
     rows = index.rows.orderBy("bucket", "orig_id").toPandas()
     offsets = np.r_[0, np.cumsum(table["n"].to_numpy())]
     codes = np.array(rows["codes"].tolist()).reshape(len(rows), index.dims)
     return IvfArrays(np.array(table["centroid"].tolist()), offsets, table["radius"].to_numpy(), rows["label"].to_numpy(), rows["orig_id"].to_numpy(), codes)
 
 
-def index_of(spark: SparkSession, arrays: IvfArrays) -> tuple[DataFrame, DataFrame]:
-    """(rows, centroids) of interchanged arrays."""
-    bucket = np.repeat(np.arange(len(arrays.centroids)), np.diff(arrays.offsets.astype(np.int64)))
-    rows = [(int(b), int(i), int(label), c.tolist()) for b, i, label, c in zip(bucket, arrays.ids, arrays.labels, arrays.codes)]
-    radius = arrays.radius if arrays.radius is not None else np.full(len(arrays.centroids), np.nan)
-    table = [(i, c.tolist(), float(r), int(n)) for i, (c, r, n) in enumerate(zip(arrays.centroids, radius, np.diff(arrays.offsets.astype(np.int64))))]
+def write_index_file(index: IvfIndex, folder: str, version: int = 2) -> None:
+    """The index as one binary file in a folder, by the session's file system."""
+    context = index.rows.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/index.bin")
+    out = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(encode_index(arrays_of(index), version)))
+    finally:
+        out.close()
+
+
+def read_index_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, centroids) of binary index files, decoded by the tasks that read them; a file is one task."""
+    ship_package(spark)
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (c for b in batches for c in b.column(0)):
+            a = decode_index(content.as_buffer().to_pybytes())
+            bucket = np.repeat(np.arange(len(a.centroids), dtype=np.int32), np.diff(a.offsets.astype(np.int64)))
+            for i in range(0, len(a.ids), 10_000):
+                part = slice(i, i + 10_000)
+                codes = pa.FixedSizeListArray.from_arrays(pa.array(a.codes[part].astype(np.int32).ravel()), a.codes.shape[1]).cast(pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[part]), pa.array(a.ids[part].astype(np.int64)), pa.array(a.labels[part].astype(np.int32)), codes],
+                    ["bucket", "orig_id", "label", "codes"],
+                )
+
+    def centroids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in (c for b in batches for c in b.column(0)):
+            a = decode_index(content.as_buffer().to_pybytes())
+            k, dims = a.centroids.shape
+            radius = pa.nulls(k, pa.float64()) if a.radius is None else pa.array(a.radius.astype(np.float64))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(a.centroids.ravel()), dims).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(k, dtype=np.int32)), flat, radius, pa.array(np.diff(a.offsets.astype(np.int64)))],
+                ["bucket", "centroid", "radius", "n"],
+            )
+
     return (
-        spark.createDataFrame(rows, "bucket int, orig_id long, label int, codes array<int>"),
-        spark.createDataFrame(table, "bucket int, centroid array<float>, radius double, n long"),
+        files.mapInArrow(rows, "bucket int, orig_id long, label int, codes array<int>"),
+        files.mapInArrow(centroids, "bucket int, centroid array<float>, radius double, n long"),
     )
 
 
@@ -121,9 +161,14 @@ def decode_tree(data: bytes) -> VpTree:
     if magic != TREE_MAGIC or len(data) != 16 + 16 * size:
         raise ValueError("not a tree file")
     point, threshold, left, right = (np.frombuffer(data, t, size, 16 + 4 * size * i) for i, t in enumerate(("<u4", "<f4", "<i4", "<i4")))
-    return VpTree(point.astype(np.int64), point.astype(np.int64), threshold.astype(np.float64), left, right, {})
+    return VpTree(point.astype(np.int64), point.astype(np.int64), threshold.astype(np.float64), left, right, {}, slack=1e-7)
 
 
 def save_vectors(codes: DataFrame, path: str) -> None:
     """Quantized vectors and labels as a Parquet table."""
     codes.select("orig_id", "codes", "label").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(orig_id, codes, label) from ``save_vectors``."""
+    return spark.read.schema("orig_id long, codes array<int>, label int").parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vicinity.functions.features import parse, vectorize
 from vicinity.functions.scalars import quantize
+from vicinity.functions.scratch import scratch_scope, written
 from vicinity.operators import decide
 from vicinity.operators.ivf import IvfIndex
 from vicinity.operators.knn import FAST_PROBES, FULL_PROBES, K, two_pass
@@ -16,8 +17,9 @@ from vicinity.operators.knn import FAST_PROBES, FULL_PROBES, K, two_pass
 
 def score(requests: DataFrame, index: IvfIndex, norm: dict[str, float], risks: DataFrame, k: int = K, fast: int = FAST_PROBES, full: int = FULL_PROBES, compat: bool = False) -> DataFrame:
     """(qid, frauds, approved, fraud_score, response) of requests (qid, body). A body that can't be read is approved."""
-    seen = vectorize(parse(requests), norm, risks, compat)
-    queries = seen.where("parsed").select("qid", quantize(F.col("vector"), index.codec).alias("codes"))
+    seen = vectorize(parse(requests), norm, risks, compat).select("qid", quantize(F.col("vector"), index.codec, index.dims).alias("codes"))
+    seen = written(seen, "requests")  # read once, however often a batch's vectors are searched
+    queries = seen.where("codes IS NOT NULL")
     counted = two_pass(index, queries, k, fast, full)
     frauds = F.coalesce("frauds", F.lit(0))
     return seen.select("qid").join(counted, "qid", "left").select(
@@ -29,11 +31,13 @@ def score(requests: DataFrame, index: IvfIndex, norm: dict[str, float], risks: D
 def score_stream(requests: DataFrame, scorer: Callable[[DataFrame], DataFrame], sink: str, checkpoint: str, once: bool = False):
     """Starts a stream that scores each micro-batch of requests and writes it to ``sink`` as Parquet, a folder a batch.
 
-    The index must be loaded before (``ivf.warm_up``). A batch that runs again overwrites its own folder.
+    The index must be loaded before (``ivf.warm_up``). A batch that runs again overwrites its own folder; its scratch
+    tables go when it is written.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        scorer(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        with scratch_scope(batch.sparkSession):
+            scorer(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     writer = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
