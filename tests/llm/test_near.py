@@ -36,13 +36,52 @@ def test_links_equal_all_pairs(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 80
 
 
-def test_many_copies_give_linear_pairs(spark):
+def test_many_copies_give_linear_pairs(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = text_of(rng, 400)
     texts = [changed(rng, base, 1) for _ in range(300)]
-    pairs = near.candidates(frame_of(spark, texts)).count()
-    assert pairs <= 300 * near.NEAREST * near.BANDS / 2
+    asked, plain = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda t, pairs: asked.append(pairs.count()) or plain(t, pairs))
     assert {r.root for r in near.rooted(frame_of(spark, texts)).collect()} == {0}
+    # the first round links all, and leaves nothing for the others
+    assert asked[0] <= 300 * near.WINDOWS[0] * near.BANDS and sum(asked[1:]) == 0
+
+
+def groups_of(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(n)]
+
+
+def test_no_partner_in_a_large_bucket_is_lost(spark, monkeypatch):
+    """Many texts that share most of their words but aren't near copies, with near copies of a few among them."""
+    rng = np.random.default_rng(8)
+    shared = text_of(rng, 300)
+    texts = [f"{shared} {text_of(rng, 90)}" for _ in range(150)]
+    texts += [changed(rng, t, 3) for t in texts[:40]]
+    want = [(i, j) for j in range(len(texts)) for i in range(j) if near.similarity(texts[i].encode(), texts[j].encode()) >= 0.8]
+    assert len(want) >= 40
+    for windows in ((4, 64, 1024), (1, 2)):
+        monkeypatch.setattr(near, "WINDOWS", windows)
+        got = {r.node: r.root for r in near.rooted(frame_of(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == groups_of(len(texts), want)
+
+
+def test_rounds_cover_every_pair_once():
+    buckets = np.repeat(np.arange(5), [1, 7, 2, 40, 3])
+    fps, roots = np.zeros(len(buckets), np.uint64), np.arange(len(buckets))
+    seen = []
+    for low, high in ((0, 4), (4, 16), (16, None)):
+        seen += zip(*(x.tolist() for x in near.apart(buckets, fps, roots, low, high)))
+    want = {(i, j) for i in range(len(buckets)) for j in range(i) if buckets[i] == buckets[j]}
+    assert len(seen) == len(set(seen)) and set(seen) == want
 
 
 def test_dedup_stage_finds_pairs_at_similarity_08(spark):

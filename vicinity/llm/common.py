@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.functions.scratch import drop_written, written
 from vicinity.functions.shipping import ship_package
 
+__all__ = [
+    "BATCH_BYTES", "BATCH_ROWS", "WORD", "as_bytes", "as_strings", "bounded_batches", "documents", "drop_written",
+    "held_out", "learnable", "map_arrow", "remainder", "written",
+]
+
 #: Characters that end a word in most contracts: space, tab, LF, VT, FF, CR. bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,43 +38,6 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; only where it is unset (tests, a laptop) a temporary one."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vicinity-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def _delete_at_exit(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it back.
-
-    This cuts the lineage: what follows reads files that survive any executor. The files go when the
-    session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _delete_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Remove the files of a table from ``written`` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = jvm.org.apache.hadoop.fs.Path(parent)
-        target.getFileSystem(conf).delete(target, True)
-
-
 def map_arrow(df: DataFrame, batch_fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch."""
     bounded_batches(df.sparkSession)

@@ -4,14 +4,17 @@ Candidates: a text has ``BANDS`` keys, each of ``ROWS`` MinHash values of its sh
 meet. A pair at similarity 0.8 shares one with a probability of 0.998, a pair at 0.9 practically always; at that
 similarity 64-bit SimHash fingerprints differ by about 10 bits, for which no complete set of keys is practical.
 
-Who of a bucket is compared is decided by the SimHash fingerprints of the same shingles: in a bucket of at most ``SMALL``
-texts all pairs within ``RADIUS`` bits, in a larger one each text and its ``NEAREST`` nearest earlier ones, so that a
-group of n copies gives some n pairs, never all. Each of these pairs is verified by the Jaccard similarity of its texts.
+Within a bucket, texts stand in the order of their SimHash fingerprints of the same shingles, and pairs are looked at in
+rounds, by how far apart they stand: first up to ``WINDOWS[0]`` places, then ever farther, until all pairs have been. A
+pair is verified, by the Jaccard similarity of its texts, if its fingerprints are within ``RADIUS`` bits and the rounds
+before have not put both texts in one group. So no pair that could change a group is left out, and a group of n copies
+gives some n pairs, never all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -20,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import as_bytes, bounded_batches, map_arrow, written
+from vicinity.llm.common import as_bytes, bounded_batches, drop_written, map_arrow, written
 from vicinity.llm.components import components
 from vicinity.llm.simhash import NO_ID, one_of_each
 
@@ -28,8 +31,8 @@ from vicinity.llm.simhash import NO_ID, one_of_each
 SHINGLE, SIMILAR = 5, 0.8
 #: Keys of a text and MinHash values of a key; bits that differ at most in a candidate pair.
 BANDS, ROWS, RADIUS = 12, 4, 22
-#: Texts of a bucket of which all pairs are compared, partners of a text in a larger one, texts of a cell.
-SMALL, NEAREST, CELL = 16, 3, 16384
+#: Places that the pairs of each round stand apart at most (the last round has no bound), and texts of a cell.
+WINDOWS, CELL = (4, 64, 1024), 16384
 #: Shingles and rows handled at once.
 BLOCK, GROUP = 1 << 14, 65536
 
@@ -67,27 +70,29 @@ def sketch(text: bytes) -> tuple[int, np.ndarray]:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0]), np.array(keys, np.uint64)
 
 
-def partners(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j), j < i, of the pairs of one bucket to compare."""
-    n = len(fps)
-    if n <= SMALL:
-        i, j = np.tril_indices(n, -1)
-        near = np.bitwise_count(fps[i] ^ fps[j]) <= RADIUS
-        return i[near], j[near]
-    left, right = [], []
-    for start in range(1, n, 256):
-        rows = np.arange(start, min(start + 256, n))
-        apart = np.bitwise_count(fps[rows, None] ^ fps[None, : rows[-1]])
-        apart[np.arange(rows[-1])[None] >= rows[:, None]] = 255
-        best = np.argpartition(apart, min(NEAREST, rows[-1]) - 1, axis=1)[:, :NEAREST]
-        near = np.take_along_axis(apart, best, axis=1) <= RADIUS
-        left.append(np.broadcast_to(rows[:, None], best.shape)[near])
-        right.append(best[near])
+def apart(buckets: np.ndarray, fps: np.ndarray, roots: np.ndarray, low: int, high: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs to verify that stand more than ``low`` and at most ``high`` places apart.
+
+    ``buckets`` are numbered in order, so that equal ones stand together.
+    """
+    longest = int(np.bincount(buckets).max(initial=0))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    # rows whose bucket is long enough for the distance; they only grow fewer
+    last = np.searchsorted(buckets, buckets, "right")
+    rows = np.arange(len(buckets))
+    for gap in range(low + 1, min(longest - 1, high or longest) + 1):
+        rows = rows[rows + gap < last[rows]]
+        if not len(rows):
+            break
+        other = rows + gap
+        near = (roots[rows] != roots[other]) & (np.bitwise_count(fps[rows] ^ fps[other]) <= RADIUS)
+        left.append(other[near])
+        right.append(rows[near])
     return np.concatenate(left), np.concatenate(right)
 
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of nodes to verify."""
+def sketched(texts: DataFrame) -> DataFrame:
+    """(node, fp, keys) of each distinct node, written."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [sketch(t) for t in as_bytes(batch.column(1))]
@@ -95,32 +100,32 @@ def candidates(texts: DataFrame) -> DataFrame:
         keys = pa.array([k.view(np.int64) for _, k in found], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), keys], ["node", "fp", "keys"])
 
-    sketches = written(map_arrow(texts.select("node", "text"), each, "node long, fp long, keys array<long>"), "sketches")
-    sketches = sketches.dropDuplicates(["node"])
-    rows = sketches.select(F.explode("keys").alias("key"), "fp", "node")
-    # a bucket above CELL is cut into chunks that meet pairwise
-    large = rows.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).alias("chunks"))
+    rows = map_arrow(texts.select("node", "text"), each, "node long, fp long, keys array<long>")
+    return written(rows.dropDuplicates(["node"]), "sketches")
+
+
+def candidates(rows: DataFrame, sizes: DataFrame, low: int, high: int | None) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of nodes to verify in a round.
+
+    ``rows``: (key, fp, node, root); ``sizes``: (key, count) of the buckets above ``WINDOWS[0]`` texts. A bucket above
+    ``CELL`` is cut into chunks that meet pairwise.
+    """
+    large = sizes.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).alias("chunks"))
     mine, zero = F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0).cast("long")
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("chunks") - 1)))
-    placed = rows.join(large, "key", "left").select("key", "fp", "node", "chunks", other.alias("other"))
+    placed = rows.join(large, "key", "left").select("key", "fp", "node", "root", "chunks", other.alias("other"))
     pair = F.least(mine, F.col("other")) * F.col("chunks") + F.greatest(mine, F.col("other"))
-    placed = placed.select("key", F.coalesce(pair, F.lit(0)).alias("cell"), "fp", "node")
-    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.select("key", F.coalesce(pair, F.lit(0)).alias("cell"), "fp", "node", "root")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "fp", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def flush(table: np.ndarray) -> pa.RecordBatch:
-            starts = np.flatnonzero(np.r_[True, np.any(table[1:, :2] != table[:-1, :2], axis=1)])
-            ends = np.r_[starts[1:], len(table)]
-            some = ends - starts > 1
-            fps, u, v = table[:, 2].copy().view(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for lo, hi in zip(starts[some].tolist(), ends[some].tolist()):
-                i, j = partners(fps[lo:hi])
-                u.append(table[lo + i, 3])
-                v.append(table[lo + j, 3])
-            a, b = np.concatenate(u), np.concatenate(v)
+            bucket = np.cumsum(np.r_[0, np.any(table[1:, :2] != table[:-1, :2], axis=1)])
+            i, j = apart(bucket, table[:, 2].copy().view(np.uint64), table[:, 4], low, high)
+            a, b = table[i, 3], table[j, 3]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
         for batch in batches:
@@ -138,10 +143,10 @@ def candidates(texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def links(texts: DataFrame) -> DataFrame:
-    """(u, v) of near copies. ``texts`` has nodes, each with one text, and may repeat them; a null text is empty."""
+def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs whose texts are similar, written."""
     # written, so that the joins can split a text with very many partners
-    pairs = written(candidates(texts), "near-pairs")
+    pairs = written(pairs, "near-pairs")
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     few = written(texts.select("node", "text").join(ends, "node", "left_semi").dropDuplicates(["node"]), "near-texts")
     both = pairs.join(few.withColumnsRenamed({"node": "u", "text": "a"}), "u").join(few.withColumnsRenamed({"node": "v", "text": "b"}), "v")
@@ -152,12 +157,45 @@ def links(texts: DataFrame) -> DataFrame:
             near = [similarity(a, b) >= SIMILAR for a, b in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3)))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+    found = written(both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long"), "near-links")
+    drop_written(pairs, few)
+    return found
+
+
+def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, stars): (u, v) of near copies that span every group, and (u, root) of the groups.
+
+    ``texts`` has nodes, each with one text, and may repeat them; a null text is empty.
+    """
+    sketches = sketched(texts)
+    rows = sketches.select(F.explode("keys").alias("key"), "fp", "node")
+    sizes = written(rows.groupBy("key").count().where(F.col("count") > WINDOWS[0] + 1), "near-buckets")
+    longest = sizes.agg(F.max("count")).first()[0] or 0
+    found = [verified(texts, candidates(rows.withColumn("root", F.col("node")), sizes, 0, WINDOWS[0]))]
+    stars = written(components(found[0]), "near-stars")
+    for low, high in zip(WINDOWS, (*WINDOWS[1:], None)):
+        if longest <= low + 1:
+            break
+        # only buckets that are long enough and still hold several groups
+        left = rows.join(sizes.where(F.col("count") > low + 1).select("key"), "key")
+        left = left.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        more = verified(texts, candidates(left.join(written(mixed, "near-mixed"), "key"), sizes, low, high))
+        if not more.isEmpty():
+            found.append(more)
+            stars = written(components(stars.withColumnRenamed("root", "v").union(more)), "near-stars")
+    drop_written(sketches, sizes)
+    return reduce(DataFrame.union, found), stars
+
+
+def links(texts: DataFrame) -> DataFrame:
+    """(u, v) of near copies, as ``linked``."""
+    return linked(texts)[0]
 
 
 def rooted(texts: DataFrame) -> DataFrame:
     """(node, root) of every distinct node: near copies, and what near copies link, have one root."""
-    stars = components(links(texts)).withColumnRenamed("u", "node")
+    stars = linked(texts)[1].withColumnRenamed("u", "node")
     return texts.select("node").distinct().join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
