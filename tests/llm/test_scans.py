@@ -120,6 +120,37 @@ def test_awkward_vectors_and_ties(spark):
     assert recall >= 0.9
 
 
+def test_repeated_ids_and_other_lengths(spark):
+    """A query whose id repeats more often than k; rows that repeat; the less frequent length takes no part."""
+    v = [1.0, 2.0, -1.0, 0.5]
+    rows = [(20, v)] * 25 + [(25, v)] + [(i, [float(i % 7), 1.0, float(i % 3), -1.0]) for i in range(40, 75)] + [(41, [9.0, 9.0])] * 3
+    got, want = search(spark, rows), exact([r for r in rows if len(r[1]) == 4])
+    assert got.keys() == want.keys() and 25 in [i for _, i in got[20]]
+    assert got == want
+
+
+@pytest.mark.parametrize("bytes_", [64, 400, 8 << 20])
+def test_blocks_of_any_size_give_the_same(spark, monkeypatch, bytes_):
+    """One row a block, cells cut into several blocks, queries cut into parts, and everything in one."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).round(2).tolist()) for i in range(300)] + [(i, [1.0] * 8) for i in range(400, 480)]
+    plain = search(spark, rows)
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", bytes_)
+    monkeypatch.setattr(multi_index, "ASKED_BYTES", bytes_)
+    assert search(spark, rows) == plain
+    want = exact(rows)
+    assert np.mean([len({i for _, i in plain[q]} & {i for _, i in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_centroids_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "FIT_ROWS", 100)
+    rng = np.random.default_rng(3)
+    table = vectors(spark, [(i, rng.normal(size=6).tolist()) for i in range(500)])
+    built = [multi_index.build(t)[1] for t in (table.coalesce(1), table.repartition(7))]
+    assert np.array_equal(built[0].left, built[1].left) and np.array_equal(built[0].right, built[1].right)
+    assert np.array_equal(built[0].counts, built[1].counts) and built[0].counts.sum() == 500
+
+
 def test_fewer_rows_than_k_and_empty_tables(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]
     assert search(spark, rows) == {0: [(-1.0, 2), (0.0, 1)]} or search(spark, rows) == {0: [(-1.0, 2), (-0.0, 1)]}

@@ -8,15 +8,16 @@ centroid is the negative inner product, as nearness is the inner product.
 The share is not guessed: a bounded sample of the queries is compared with all rows by brute force, and the share is the
 smallest at which they would find ``RECALL`` of their true neighbours. On vectors without structure it is large.
 
-Every row is indexed. The centroids are fitted on a bounded sample. Queries are taken in blocks of bounded bytes, which
-are all that is broadcast; the index is read in place, sorted by cell, and each task keeps its k best of each query.
+Every row is indexed. The centroids are fitted on a bounded sample. Rows of neighbouring cells are put into blocks of
+bounded size (a cell with too many rows is several blocks), and a query is sent to the blocks that hold a cell it
+reaches: an equi-join on the block, in which each block keeps its k best of each query. Blocks that no query reaches are
+not compared. Only the centroids, the cells' counts and the few calibrating queries are broadcast.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from vicinity.llm.common import bounded_batches, written
 FIT_ROWS, ROUNDS, PER_CELL, CENTROIDS = 20_000, 12, 40, 256
 #: Queries that set the share, and the recall that they must reach.
 CALIBRATE, RECALL = 256, 0.96
-#: Bytes and rows of the query vectors in a block.
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
+#: Bytes at most of the rows that the centroids are fitted on, of a block's rows, and of the queries that it meets at once.
+FIT_BYTES, BLOCK_BYTES, ASKED_BYTES = 32 << 20, 8 << 20, 16 << 20
+#: Distances that a task holds at once.
+MATRIX = 1 << 21
 K = 20
 
 
@@ -68,6 +71,30 @@ class Index:
         self.left = _kmeans(sample[:, : self.half], k)
         self.right = _kmeans(sample[:, self.half :], k) if self.dims > 1 else np.zeros((1, 0))
         self.counts = np.zeros((len(self.left), len(self.right)), np.int64)
+        self.first, self.chunks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def lay_out(self) -> None:
+        """Gives each cell its first block and the number of its blocks; small cells share a block with the ones before."""
+        room, counts = max(1, BLOCK_BYTES // (8 * self.dims)), self.counts.ravel()
+        self.chunks = np.maximum(1, -(-counts // room))
+        self.first, block, held = np.zeros(len(counts), np.int64), 0, 0
+        for c, n in enumerate(counts.tolist()):
+            if held and held + n > room:
+                block, held = block + 1, 0
+            self.first[c] = block
+            if n > room:
+                block, held = block + int(self.chunks[c]), 0
+            else:
+                held += n
+
+    def blocks(self, cells: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        """The blocks of rows in these cells; ``spread`` deals the rows of a large cell out."""
+        return self.first[cells] + spread % self.chunks[cells]
+
+    def within(self, left: np.ndarray, right: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Whether each query's walk reaches each cell that has rows: a matrix of queries x cells."""
+        near = left[:, :, None] + right[:, None, :] <= _far(reach)[:, None, None]
+        return near.reshape(len(left), -1) & (self.counts.ravel() > 0)
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         a, b = x[:, : self.half], x[:, self.half :]
@@ -136,25 +163,31 @@ class Best:
         self.least[self.found[last, 0]] = self.scores[last]
 
 
+def _far(reach: np.ndarray) -> np.ndarray:
+    """A reach with room for the rounding of matrix products of other shapes."""
+    return reach + 1e-9 * (1 + np.abs(reach))
+
+
 def _spare_copies(vec_ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows that can matter: of equal vectors only the k + 1 smallest ids can be among anyone's k nearest."""
+    """Rows that can matter: of equal vectors, k rows of each of the k + 1 smallest ids, as a query leaves out one id."""
     _, same = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * 8))).ravel(), return_inverse=True)
     order = np.lexsort((vec_ids, same))
-    place = np.arange(len(order)) - np.searchsorted(same[order], same[order])
-    return np.sort(order[place <= k])
-
+    ids, same = vec_ids[order], same[order]
+    fresh = np.r_[True, same[1:] != same[:-1]]
+    other = fresh | np.r_[True, ids[1:] != ids[:-1]]
+    number = np.cumsum(other)  # of the (vector, id) pair
+    place = np.arange(len(order)) - np.flatnonzero(other)[number - 1]
+    rank = number - number[fresh][np.cumsum(fresh) - 1]
+    return np.sort(order[(place < k) & (rank <= k)])
 
-def _nearest(index_rows: DataFrame, index: Index, ids: np.ndarray, queries: np.ndarray, reach: np.ndarray | None, k: int) -> DataFrame:
-    """(query_id, vec_id, score, cell): each task's k best rows for a block of queries.
 
-    A query looks at the cells whose summed distance is within its ``reach``; at all rows if there is none.
-    """
-    dims, width = index.dims, len(index.right)
-    left, right = index.halves(queries)
-    block = index_rows.sparkSession.sparkContext.broadcast((ids, queries, reach, left, right))
+def _compared(rows: DataFrame, index: Index, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score, cell): each task's k best rows for a few queries, of all rows, read in place."""
+    dims = index.dims
+    few = rows.sparkSession.sparkContext.broadcast((ids, queries))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries, reach, left, right = block.value
+        ids, queries = few.value
         best, cell_of = Best(ids, queries, k), {}
         for batch in batches:
             if not batch.num_rows:
@@ -162,16 +195,7 @@ def _nearest(index_rows: DataFrame, index: Index, ids: np.ndarray, queries: np.n
             vec_ids, cells, x = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2), dims)
             keep = _spare_copies(vec_ids, x, k)
             vec_ids, cells, x = vec_ids[keep], cells[keep], x[keep]
-            if reach is None:
-                scores = queries @ x.T
-            else:
-                scores = np.full((len(ids), len(x)), -np.inf)
-                for c in np.unique(cells):
-                    some = np.flatnonzero(cells == c)
-                    look = np.flatnonzero(left[:, c // width] + right[:, c % width] <= reach)
-                    if len(look):
-                        scores[np.ix_(look, some)] = queries[look] @ x[some].T
-            best.add(vec_ids, x, scores)
+            best.add(vec_ids, x, queries @ x.T)
             cell_of |= zip(vec_ids.tolist(), cells.tolist())
             if len(cell_of) > 100_000:
                 cell_of = {v: cell_of[v] for v in np.unique(best.found[:, 1]).tolist()}
@@ -181,7 +205,46 @@ def _nearest(index_rows: DataFrame, index: Index, ids: np.ndarray, queries: np.n
             ["query_id", "vec_id", "score", "cell"],
         )
 
-    return index_rows.select("vec_id", "cell", "embedding").mapInArrow(run, "query_id long, vec_id long, score double, cell long")
+    return rows.select("vec_id", "cell", "embedding").mapInArrow(run, "query_id long, vec_id long, score double, cell long")
+
+
+def _met(rows: DataFrame, asked: DataFrame, index: Index, most: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each block for the queries that reach it.
+
+    ``rows``: (vec_id, cell, block, embedding); ``asked``: (at, query_id, reach, sought), a row for each block; ``most``:
+    how many queries reach one block. More than ASKED_BYTES hold meet copies of the block.
+    """
+    shared, dims = rows.sparkSession.sparkContext.broadcast(index), index.dims
+    room, by, at = max(1, ASKED_BYTES // (8 * dims)), ["block"], ["at"]
+    rows = rows.select("block", "vec_id", "cell", "embedding")
+    if most > room:
+        parts = F.lit(-(-most // room)).cast("long")
+        asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), parts))
+        rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+        by, at = ["block", "copy"], ["at", "part"]
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        found, width = [], len(shared.value.right)
+        if rows.num_rows and asked.num_rows:
+            vec_ids, cells, x = rows["vec_id"].to_numpy(), rows["cell"].to_numpy(), _matrix(rows["embedding"].combine_chunks(), dims)
+            keep = _spare_copies(vec_ids, x, k)
+            vec_ids, cells, x = vec_ids[keep], cells[keep], x[keep]
+            ids, reach, queries = asked["query_id"].to_numpy(), asked["reach"].to_numpy(), _matrix(asked["sought"].combine_chunks(), dims)
+            step = max(1, MATRIX // len(x))
+            for i in range(0, len(ids), step):
+                part = queries[i : i + step]
+                left, right = shared.value.halves(part)
+                scores = part @ x.T
+                scores[left[:, cells // width] + right[:, cells % width] > _far(reach[i : i + step])[:, None]] = -np.inf
+                best = Best(ids[i : i + step], part, k)
+                best.add(vec_ids, x, scores)
+                found.append((best.ids[best.found[:, 0]], best.found[:, 1], best.scores))
+        columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = asked.repartition(tasks, *at)  # dealt out by number: few bytes may be much work
+    return rows.groupBy(*by).cogroup(asked.groupBy(*at)).applyInArrow(meet, "query_id long, vec_id long, score double")
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -190,7 +253,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def build(vectors: DataFrame) -> tuple[DataFrame, Index | None]:
-    """The index: all usable rows as (vec_id, cell, embedding), written in the order of their cells, and the centroids."""
+    """The index: all usable rows as (vec_id, cell, spread, embedding), written once, and the centroids."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = usable(vectors)
@@ -199,23 +262,28 @@ def build(vectors: DataFrame) -> tuple[DataFrame, Index | None]:
         return rows.withColumn("cell", F.lit(0).cast("long")), None
     dims, total = sizes["dims"], sizes["count"]
     rows = rows.where(F.size("embedding") == dims)
-    u = F.shiftrightunsigned(F.xxhash64("vec_id", F.lit("multi-index")), 11) / F.lit(float(1 << 53))
-    sample = rows.where(u < F.lit(FIT_ROWS / total)).select("embedding") if total > FIT_ROWS else rows.select("embedding")
-    taught = np.array([r.embedding for r in sample.limit(2 * FIT_ROWS).collect()], np.float64)
+    # in a stated order, so that the centroids don't depend on how the table is split
+    most = max(2, min(FIT_ROWS, FIT_BYTES // (8 * dims)))
+    by = F.xxhash64("vec_id", "embedding", F.lit("multi-index"))
+    u = F.shiftrightunsigned(by, 11) / F.lit(float(1 << 53))
+    sample = rows.where(u < F.lit(2.0 * most / total)).select(by.alias("by"), "embedding").orderBy("by", "embedding").limit(most)
+    taught = _matrix(sample.select("embedding").toArrow()["embedding"].combine_chunks(), dims)
     index = Index(taught, total)
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
         for batch in batches:
             if batch.num_rows:
                 cells = shared.value.cells(_matrix(batch.column(1), dims)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells), batch.column(1)], ["vec_id", "cell", "embedding"])
+                spread = pa.array(np.arange(at, at + batch.num_rows))  # running numbers deal equal rows out, too
+                at += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cells), spread, batch.column(1)], ["vec_id", "cell", "spread", "embedding"])
 
-    placed = rows.mapInArrow(place, "vec_id long, cell long, embedding array<double>")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = written(placed.repartitionByRange(tasks, "cell", "vec_id").sortWithinPartitions("cell", "vec_id"), "multi-index")
+    table = written(rows.mapInArrow(place, "vec_id long, cell long, spread long, embedding array<double>"), "multi-index")
     for r in table.groupBy("cell").count().collect():  # at most CENTROIDS squared rows
         index.counts[divmod(r.cell, len(index.right))] = r["count"]
+    index.lay_out()
     return table, index
 
 
@@ -227,7 +295,7 @@ def _share(table: DataFrame, index: Index, queries: DataFrame, k: int) -> float:
     place = {q: i for i, q in enumerate(ids.tolist())}
     needed = []
     cells: dict[int, list[int]] = {}
-    for r in _ranked(_nearest(table, index, ids, vectors, None, k), k).collect():
+    for r in _ranked(_compared(table, index, ids, vectors, k), k).collect():
         cells.setdefault(place[r.query_id], []).append(r.cell)
     for q, wanted in cells.items():
         seen, left_over, at = 0, set(wanted), {}
@@ -248,8 +316,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     ``queries`` has the columns of ``vectors`` (vec_id, embedding). Vectors that are null, all 0, or hold a null or
     non-finite component take no part, nor do rows without an id or of another length than the most frequent one. A
-    query isn't its own neighbour, nor is a row with its id; a repeated query counts once. Fewer rows than k give all
-    of them; an empty table gives no row. Other columns are not read.
+    query isn't its own neighbour, nor is a row with its id; a repeated query counts once, a repeated row as often as it
+    stands there. Fewer rows than k give all of them; an empty table gives no row. Other columns are not read.
     """
     spark = vectors.sparkSession
     table, index = build(vectors)
@@ -264,23 +332,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     wanted = _share(table, index, asked, k) * index.rows
     shared = spark.sparkContext.broadcast(index)
 
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def aim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        step = max(1, MATRIX // index.counts.size)
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                left, right = index.halves(_matrix(part.column(1), index.dims))
+                reach = np.array([index.reach(a, b, wanted) for a, b in zip(left, right)])
+                row, cell = np.nonzero(index.within(left, right, reach))
+                # a query's blocks: those of its cells, each once
+                chunk = index.chunks[cell]
+                row, cell = np.repeat(row, chunk), np.repeat(cell, chunk)
+                block = index.first[cell] + np.arange(len(cell)) - np.repeat(np.cumsum(chunk) - chunk, chunk)
+                row, block = np.unique(np.stack([row, block]), axis=1)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block), part.column(0).take(at), pa.array(reach[row]), part.column(1).take(at)], ["at", "query_id", "reach", "sought"]
+                )
+
+    aimed = asked.repartition(F.xxhash64("vec_id")).mapInArrow(aim, "at long, query_id long, reach double, sought array<double>")
+    aimed = written(aimed, "aimed")
+    most = aimed.groupBy("at").count().agg(F.max("count")).first()[0]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                left, right = shared.value.halves(_matrix(batch.column(1), shared.value.dims))
-                far = [shared.value.reach(a, b, wanted) for a, b in zip(left, right)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(far, pa.float64())], ["vec_id", "embedding", "reach"])
-
-    blocks = max(-(-total * index.dims * 8 // BLOCK_BYTES), -(-total // BLOCK_ROWS))
-    dealt = asked.repartition(F.xxhash64("vec_id")).mapInArrow(reach, "vec_id long, embedding array<double>, reach double")
-    walked = written(dealt.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "walked")
-    found = []
-    for b in range(blocks):  # a block is at most about BLOCK_BYTES; its queries meet the whole index in place
-        rows = walked.where(F.col("block") == b).toPandas()
-        if len(rows):
-            near = _nearest(table, index, rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist()), rows["reach"].to_numpy(), k)
-            found.append(written(near, "found") if blocks > 1 else near)
-    ranked = _ranked(reduce(DataFrame.union, found), k)
+                block = shared.value.blocks(batch.column(1).to_numpy(), batch.column(2).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(block), batch.column(3)], ["vec_id", "cell", "block", "embedding"])
+
+    rows = table.select("vec_id", "cell", "spread", "embedding").mapInArrow(put, "vec_id long, cell long, block long, embedding array<double>")
+    ranked = _ranked(_met(rows, aimed, index, most, k), k)
     return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
