@@ -1,15 +1,18 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
-Documents are ordered by (doc_id, text hash). Lines with ``ANCHOR_WORDS`` words or more, and runs of consecutive lines
-that just reach so many words, forward or backward from any line, are anchors. Every anchor that stands in several
-documents, however many, links each later document to the first one that holds it; anchors in one document only link
-nothing. So an anchor in n documents gives n - 1 links, never all pairs, and each line of a repeated block of
-``BLOCK_WORDS`` words, whatever the length of its lines, lies in an anchor of the block.
-
-A linked pair is aligned with patience diff: lines that are unique in both documents and in the same order (a longest
-increasing run) are matched, matches are extended to equal neighbours, and the gaps are aligned in the same way. Aligned
-blocks, runs of matches that are consecutive in both, are deleted from the later document if they hold ``BLOCK_WORDS``
-words. A deleted line stays in an earlier document.
+Documents are ordered by (doc_id, text hash). Lines with ``BLOCK_WORDS`` words or more, and runs of consecutive lines that
+just reach so many words, forward or backward from any line, are anchors; lines without a word are passed over. Each line
+of a repeated block of so many words, whatever the length of its lines, lies in an anchor of the block.
+
+Overlapping documents are found through rare anchors, which stand in 2 to ``RARE`` documents: each later document is
+linked to the first holder of its rare anchors. A linked pair is aligned with patience diff over the places of these
+anchors in both: those that are unique in both and in the same order (a longest increasing run) are matched, matches are
+extended to equal neighbours, and the gaps are aligned in the same way. The lines of matched anchors are deleted from the
+later document.
+
+A more common anchor needs no partner to be chosen: it is an aligned block by itself, and is deleted from all documents but
+the first that holds it. So an anchor in n documents gives n - 1 rows in either case, and only the places of shared
+anchors are shuffled, never a document's other lines. A deleted line stays in an earlier document.
 """
 
 from __future__ import annotations
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.common import as_bytes, bounded_batches, documents, map_arrow, written
 
-#: Words that a line or a run of lines must have to link documents, and an aligned block to be deleted.
-ANCHOR_WORDS, BLOCK_WORDS = 5, 5
+#: Words that a line or a run of lines must have to be an anchor.
+BLOCK_WORDS = 5
+#: Documents at most that a rare anchor stands in.
+RARE = 64
 
 
 def _increasing(values: list[int]) -> list[int]:
@@ -78,69 +83,65 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def repeated_blocks(earlier: list[int], later: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Line numbers of ``later`` in aligned common blocks of at least so many words. Lines of one only don't take part."""
-    shared = set(earlier).intersection(later)
-    at_a = [i for i, x in enumerate(earlier) if x in shared]
-    at_b = [j for j, x in enumerate(later) if x in shared]
-    matches = patience([earlier[i] for i in at_a], [later[j] for j in at_b])
-    out, block, last = [], [], None
-    for match in [*((at_a[i], at_b[j]) for i, j in matches), None]:
-        if match and last and match == (last[0] + 1, last[1] + 1):
-            block.append(match[1])
-        else:
-            if sum(words[j] for j in block) >= least:
-                out += block
-            block = [match[1]] if match else []
-        last = match
-    return out
+def anchors(lines: np.ndarray, words: np.ndarray, least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, number of lines, hash) of the shortest runs of lines, from or up to each line, with ``least`` words.
 
+    ``lines`` are the hashes of the lines that have a word. A line that has so many words is such a run. Of a block of so
+    many words each line lies in a run inside the block. Runs come in the order of their places.
+    """
+    upto = np.cumsum(words, dtype=np.int64)
+    before, at = upto - words, np.arange(len(words))
+    last = np.searchsorted(upto, before + least)
+    first = np.searchsorted(before, upto - least, "right") - 1
+    runs = np.unique(np.r_[np.c_[at, last][last < len(at)], np.c_[first, at][first >= 0]], axis=0)
+    start, size = runs[:, 0], runs[:, 1] - runs[:, 0] + 1
+    hashes = lines[start].astype(np.int64)
+    for i in np.flatnonzero(size > 1).tolist():
+        part = lines[start[i] : start[i] + size[i]]
+        hashes[i] = np.uint64(xxhash.xxh64_intdigest(part.tobytes(), int(size[i]))).view(np.int64)
+    return start, size, hashes
 
-def anchors(lines: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hashes of the shortest runs of lines, from or up to each line that has a word, with ``ANCHOR_WORDS`` words.
 
-    A line that has so many is such a run. Of a block of so many words each line lies in a run inside the block.
-    """
-    some = np.flatnonzero(words)
-    upto = np.cumsum(words[some], dtype=np.int64)
-    before = upto - words[some]
-    at = np.arange(len(some))
-    last = np.searchsorted(upto, before + ANCHOR_WORDS)
-    first = np.searchsorted(before, upto - ANCHOR_WORDS, "right") - 1
-    runs = np.r_[np.c_[at, last][last < len(some)], np.c_[first, at][first >= 0]]
-    alone = runs[:, 0] == runs[:, 1]
-    longer = {(some[i], some[j]) for i, j in runs[~alone].tolist()}
-    hashes = np.array([xxhash.xxh64_intdigest(lines[i : j + 1].tobytes(), 1) for i, j in longer], np.uint64).view(np.int64)
-    return np.unique(np.r_[lines[some[runs[alone, 0]]], hashes])
+def aligned(earlier: list[tuple[int, int]], later: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The anchors (place, hash) of ``later`` that patience diff matches with those of ``earlier``."""
+    earlier, later = sorted(earlier), sorted(later)
+    return [later[j] for _, j in patience([h for _, h in earlier], [h for _, h in later])]
+
 
+LINES = "id long, hash long, doc_id long, words array<int>, anchors array<struct<h: long, n: int, at: array<int>>>"
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(id, hash, doc_id, lines, words, anchors) of each row: hashes of its lines, their words, hashes of its anchors.
 
-    A null text has one empty line.
+def line_table(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
+    """(id, hash, doc_id, words, anchors) of each row: the words of its lines, and the places of each of its anchors.
 
-    Lines are compared by their words: blanks at the ends don't matter, and runs of blanks are one.
+    An anchor's places are numbers of lines that have a word, from 0. A null text has one empty line. Lines are compared
+    by their words: blanks at the ends don't matter, and runs of blanks are one.
     """
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lines, words, links = [], [], []
+        counts, ends, places = [], [0], [0]
+        flat: list[list[np.ndarray]] = [[], [], []]
         for text in as_bytes(batch.column(3)):
             split = [line.split() for line in text.split(b"\n")]
-            lines.append(np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in split], np.uint64).view(np.int64))
-            words.append(np.fromiter(map(len, split), np.int32, len(split)))
-            links.append(anchors(lines[-1], words[-1]))
+            counts.append(np.fromiter(map(len, split), np.int32, len(split)))
+            lines = np.array([xxhash.xxh64_intdigest(b" ".join(x)) for x in split if x], np.uint64).view(np.int64)
+            start, size, hashes = anchors(lines, counts[-1][counts[-1] > 0], least)
+            order = np.argsort(hashes, kind="stable")
+            fresh = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order][:1] - 1)) if len(order) else order
+            flat[0].append(hashes[order][fresh])
+            flat[1].append(size[order][fresh])
+            flat[2].append(start[order])
+            places += (places[-1] + np.r_[fresh[1:], len(order)][: len(fresh)]).tolist()
+            ends.append(ends[-1] + len(fresh))
+        h, n, at = map(np.concatenate, flat)
+        at = pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(at.astype(np.int32)))
+        found = pa.StructArray.from_arrays([pa.array(h), pa.array(n.astype(np.int32)), at], ["h", "n", "at"])
         return pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:3],
-                pa.array(lines, pa.list_(pa.int64())),
-                pa.array(words, pa.list_(pa.int32())),
-                pa.array(links, pa.list_(pa.int64())),
-            ],
-            ["id", "hash", "doc_id", "lines", "words", "anchors"],
+            [*batch.columns[:3], pa.array(counts, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)],
+            ["id", "hash", "doc_id", "words", "anchors"],
         )
 
-    rows = docs.select(*_key(docs), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, each, "id long, hash long, doc_id long, lines array<long>, words array<int>, anchors array<long>")
+    return map_arrow(docs.select(*_key(docs), F.col("doc_id").cast("long").alias("doc_id"), "text"), each, LINES)
 
 
 def _key(docs: DataFrame) -> list:
@@ -148,47 +149,66 @@ def _key(docs: DataFrame) -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64("text").alias("hash")]
 
 
-def linked(table: DataFrame) -> DataFrame:
-    """(a_id, a_hash, id, hash): each later document with the first holders of its repeated anchors."""
-    held = table.select("id", "hash", F.explode("anchors").alias("line"))
-    first = held.groupBy("line").agg(
-        F.min(F.struct("id", "hash")).alias("first"), F.max(F.struct("id", "hash")).alias("last")
-    ).where("first <> last")
-    # written: joined with a table of its own, a line that stands in very many documents is split over tasks
-    first = written(first, "first-holders")
-    return (
-        held.join(first, "line")
-        .where((F.col("first.id") != F.col("id")) | (F.col("first.hash") != F.col("hash")))
-        .select(F.col("first.id").alias("a_id"), F.col("first.hash").alias("a_hash"), "id", "hash")
-        .distinct()
+def shared(table: DataFrame, rare: int = RARE) -> DataFrame:
+    """(a_id, a_hash, id, hash, h, n, at, a_at): each repeated anchor of a later document, with its first holder.
+
+    Of an anchor in more than ``rare`` rows the holder is null: nothing is aligned.
+    """
+    held = table.select("id", "hash", F.explode("anchors").alias("a")).select("id", "hash", "a.h", "a.n", "a.at")
+    first = held.groupBy("h").agg(
+        F.min(F.struct("id", "hash", "at")).alias("first"), F.max(F.struct("id", "hash")).alias("last"), F.count("*").alias("docs")
+    ).where((F.col("first.id") != F.col("last.id")) | (F.col("first.hash") != F.col("last.hash")))
+    few = F.col("docs") <= rare
+    # written: joined with a table of its own, an anchor that stands in very many documents is split over tasks
+    first = written(
+        first.select(
+            "h", F.col("first.id").alias("f_id"), F.col("first.hash").alias("f_hash"), few.alias("few"), F.when(few, F.col("first.at")).alias("a_at")
+        ),
+        "first-holders",
     )
+    later = held.join(first, "h").where((F.col("f_id") != F.col("id")) | (F.col("f_hash") != F.col("hash")))
+    return later.select(F.when(F.col("few"), F.col("f_id")).alias("a_id"), F.when(F.col("few"), F.col("f_hash")).alias("a_hash"), "id", "hash", "h", "n", "at", "a_at")
 
 
-def removals(table: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
-    """(id, hash, removed array<int>, partners): line numbers, from 0, to delete from each document that loses some."""
-    # rows that repeat are one document; written, so that the joins below can split a document with very many partners
-    once = written(table.select("id", "hash", "lines", "words").dropDuplicates(["id", "hash"]), "once")
-    later = linked(table).join(once.withColumnsRenamed({"lines": "b_lines", "words": "b_words"}), ["id", "hash"])
-    earlier = once.select(F.col("id").alias("a_id"), F.col("hash").alias("a_hash"), F.col("lines").alias("a_lines"))
-    both = later.join(earlier, ["a_id", "a_hash"])
+def removals(table: DataFrame, rare: int = RARE) -> DataFrame:
+    """(id, hash, gone array<int>, partners): the lines to delete from each document that loses some.
+
+    Lines are numbers of those that have a word, from 0; ``partners`` is how many documents it was aligned with.
+    """
+    pairs = shared(table, rare).groupBy("a_id", "a_hash", "id", "hash").agg(F.collect_list(F.struct("h", "n", "at", "a_at")).alias("found"))
     bounded_batches(table.sparkSession)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, w = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            found = [repeated_blocks(x, y, z, least) for x, y, z in zip(a, b, w)]
+            out, partner = [], []
+            for rows in batch.column(2).to_pylist():
+                size = {r["h"]: r["n"] for r in rows}
+                direct = {(p, r["h"]) for r in rows if r["a_at"] is None for p in r["at"]}
+                later = {(p, r["h"]) for r in rows if r["a_at"] is not None for p in r["at"]}
+                earlier = {(p, r["h"]) for r in rows if r["a_at"] is not None for p in r["a_at"]}
+                matched = aligned(list(earlier), list(later)) if later else []
+                out.append(sorted({i for p, h in (*direct, *matched) for i in range(p, p + size[h])}))
+                partner.append(int(bool(matched)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "hash", "removed"]
+                [batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32())), pa.array(partner, pa.int32())], ["id", "hash", "gone", "partner"]
             )
 
-    aligned = both.select("id", "hash", "a_lines", "b_lines", "b_words").mapInArrow(align, "id long, hash long, removed array<int>")
-    return (
-        aligned.where(F.size("removed") > 0)
-        .groupBy("id", "hash")
-        .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("removed")))).alias("removed"), F.count("*").cast("int").alias("partners"))
+    rows = pairs.select("id", "hash", "found").mapInArrow(align, "id long, hash long, gone array<int>, partner int")
+    return rows.where(F.size("gone") > 0).groupBy("id", "hash").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.sum("partner").cast("int").alias("partners")
     )
 
 
+def line_numbers(words: list[int], gone: list[int]) -> list[int]:
+    """Numbers, among all lines, of lines that have a word, and of the lines without one between two neighbours."""
+    some = [i for i, n in enumerate(words) if n]
+    out: list[int] = []
+    for before, g in zip([-2, *gone], gone):
+        out += range(some[before] + 1, some[g]) if g == before + 1 else ()
+        out.append(some[g])
+    return out
+
+
 def dedup(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with the repeated blocks deleted from their texts; documents of which nothing is left go.
 
@@ -196,10 +216,10 @@ def dedup(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
     empty texts, texts with a null id (they come last in the order), and repeated rows (equal in id and text, which
     are one document) each stay. An empty table stays empty.
     """
-    table = written(line_table(docs), "lines")
-    gone = written(removals(table, least), "removals")
+    table = written(line_table(docs, least), "lines")
+    gone = written(removals(table), "removals")
     marked = docs.withColumn("__id", _key(docs)[0]).withColumn("__hash", _key(docs)[1])
-    joined = marked.join(gone.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("removed").alias("__removed")), ["__id", "__hash"], "left")
+    joined = marked.join(gone.select(F.col("id").alias("__id"), F.col("hash").alias("__hash"), F.col("gone").alias("__gone")), ["__id", "__hash"], "left")
     names = docs.columns
     at = names.index("text")
     bounded_batches(docs.sparkSession)
@@ -219,29 +239,36 @@ def dedup(docs: DataFrame, least: int = BLOCK_WORDS) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names)
 
-    return joined.select(*names, "__removed").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "__gone").mapInArrow(cut, docs.schema)
 
 
-def without(text: str | None, removed: list[int] | None) -> str | None:
-    """The text without the lines of these numbers."""
-    if not removed:
+def without(text: str | None, gone: list[int] | None) -> str | None:
+    """The text without these of its lines that have a word, and without the lines between neighbours."""
+    if not gone:
         return text
-    gone = set(removed)
-    return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
+    split = text.split("\n")
+    # words are cut at the same characters as in the table
+    drop = set(line_numbers([len(x.encode().split()) for x in split], gone))
+    return "\n".join(line for i, line in enumerate(split) if i not in drop)
 
 
 def op3_line_dedup(spark, sf_dir):
-    """Per document: its lines and words, those deleted, the deleted line numbers and the partners they were found in."""
+    """Per document: its lines and words, those deleted, the deleted line numbers and the partners it was aligned with."""
     table = written(line_table(documents(spark, sf_dir)), "lines")
-    rows = table.join(removals(table), ["id", "hash"], "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, w: s + w)
-    return rows.select(
-        "doc_id",
-        F.size("lines").cast("long").alias("n_lines"),
-        total("words").alias("n_words"),
-        F.size(removed).cast("long").alias("n_removed"),
-        total(F.transform(removed, lambda i: F.get("words", i))).alias("words_removed"),
-        F.array_join(removed.cast("array<string>"), ",").alias("removed"),
-        F.coalesce("partners", F.lit(0)).alias("partners"),
-    )
+    rows = table.select("id", "hash", "doc_id", "words").join(removals(table), ["id", "hash"], "left")
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words, gone = (batch.column(i).to_pylist() for i in (1, 2))
+        removed = [line_numbers(w, g or []) for w, g in zip(words, gone)]
+        columns = [
+            list(map(len, words)), list(map(sum, words)), list(map(len, removed)),
+            [sum(w[i] for i in r) for w, r in zip(words, removed)], [",".join(map(str, r)) for r in removed],
+        ]
+        kinds = [pa.int64()] * 4 + [pa.string()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), *map(pa.array, columns, kinds), batch.column(3)],
+            ["doc_id", "n_lines", "n_words", "n_removed", "words_removed", "removed", "partners"],
+        )
+
+    rows = rows.select("doc_id", "words", "gone", F.coalesce("partners", F.lit(0)).alias("partners"))
+    return map_arrow(rows, each, "doc_id long, n_lines long, n_words long, n_removed long, words_removed long, removed string, partners int")
