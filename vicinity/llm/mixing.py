@@ -7,9 +7,13 @@ where u is a hash of the document in (0, 1) and w its quality weight, as far as
 document too long for the end of the budget leaves open goes, by the same rule, to the next ones that fit it, in
 ``ROUNDS`` rounds; documents are never cut.
 
-Keys are cut into ``BUCKETS`` ordered buckets. Sums per source and bucket (aggregated before they are shuffled) show in
-which bucket a source's budget ends, and only that bucket's documents are sorted: a source that holds most rows is
-never sorted, nor gathered, as a whole.
+Keys are cut into ordered buckets, ``OCTAVE`` for each power of two: as keys of weight w are exponential draws divided
+by w, weights only shift them, and no bucket holds more than about 1 / OCTAVE of a source's documents, whatever the
+weights. Documents without a weight come last, in buckets of their tie-breaking hash. Sums per source and bucket
+(aggregated before they are shuffled) show in which bucket a source's budget ends, and only that bucket's documents are
+sorted: a source that holds most rows is never sorted, nor gathered, as a whole.
+
+Hashes are parts of an MD5 sum, so that plain SQL can repeat the draw.
 """
 
 from __future__ import annotations
@@ -19,7 +23,9 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.common import WORD, documents, written
 
-WEIGHTS, SHARE, MOST, BUCKETS, ROUNDS = (3, 1, 2), 1.5, 2, 4096, 3
+WEIGHTS, SHARE, MOST, ROUNDS = (3, 1, 2), 1.5, 2, 3
+#: Buckets for each power of two of the keys; the number of the first bucket of rows without a weight, which is above all others.
+OCTAVE, WEIGHTLESS = 4096, 1 << 20
 
 
 def words(text: Column) -> Column:
@@ -33,37 +39,67 @@ def quality(text: Column, size: Column) -> Column:
     return F.when(size >= 50, 1.0).otherwise(0.5) * F.when(mean.between(3, 12), 1.0).otherwise(0.5)
 
 
-def _key(docs: DataFrame, size: Column, weight: Column | None) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", "source"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    weight = quality(F.col("text"), size) if weight is None else weight
+def _digest() -> Column:
+    part = lambda c: F.coalesce(c, F.lit(""))
+    return F.md5(F.concat(part(F.col("doc_id").cast("string")), F.lit("|"), part(F.col("source")), F.lit("|"), F.md5(part(F.col("text")))))
+
+
+def _digits(digest: Column, start: int, count: int) -> Column:
+    """Hexadecimal digits as a number."""
+    return F.conv(F.substring(digest, start, count), 16, 10).cast("long")
+
+
+def _key(u: Column, weight: Column) -> Column:
     return F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(float("inf")))
 
 
-def _bucket(key: Column) -> Column:
-    return F.least(F.floor((1 - F.exp(-key)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+def _bucket(key: Column, tie: Column) -> Column:
+    """The bucket's number, which never falls as (key, tie) rises."""
+    return F.when(key < float("inf"), F.floor(F.log2(key) * OCTAVE)).otherwise(WEIGHTLESS + F.shiftright(tie, 48)).cast("int")
+
+
+def _running(rows: DataFrame, order: list[str], *names: str) -> DataFrame:
+    """Adds, for each of the columns, its sum over all rows before a row (``before_x``) and over all rows (``all_x``).
+
+    Ranges of the order are dealt out and written; a range starts from the sums of the ranges before it, which are a row
+    a task. So no task sorts all rows.
+    """
+    ranged = written(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    per = ranged.groupBy("__range").agg(*[F.sum(n).alias(n) for n in names])
+    past, every = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.lit(0)).rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    none = F.lit(0).cast("double")
+    starts = per.select(
+        F.col("__range").alias("__r"),
+        *[F.coalesce(F.sum(n).over(past), none).alias(f"__start_{n}") for n in names],
+        *[F.sum(n).over(every).cast("double").alias(f"all_{n}") for n in names],
+    )
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(starts), F.col("__range") == F.col("__r"))
+    sums = {f"before_{n}": F.col(f"__start_{n}") + F.coalesce(F.sum(n).over(inside), none) for n in names}
+    return joined.withColumns(sums).drop("__range", "__r", *[f"__start_{n}" for n in names])
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target) from rows of (source, size): one row a source.
 
     Closed-form water filling: by rising capacity per weight, a source is full if the level that the sources from it on
-    would share reaches its capacity. The windows see one row a source.
+    would share reaches its capacity. Sources may be many: no task sees them all.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    per = per.withColumn("place", place)
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
-    per = per.withColumn("weight", weight.cast("double")).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    order = Window.orderBy(F.col("cap") / F.col("weight"), "place")
-    before, from_here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.orderBy(F.lit(0)).rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    left = total * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / F.sum("weight").over(from_here))
-    open_level = F.max(F.when(F.col("level") * F.col("weight") < F.col("cap"), F.col("level"))).over(
-        Window.orderBy(F.lit(0)).rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
+    # a null comes last: by its flag, then by code point
+    per = per.withColumns({"none": F.col("source").isNull().cast("int"), "name": F.coalesce("source", F.lit("")), "one": F.lit(1)})
+    per = _running(per, ["none", "name"], "one")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("before_one") % len(WEIGHTS) + 1).cast("int"))
+    per = per.select(
+        "source", "source_size", F.col("before_one").alias("place"), weight.cast("double").alias("weight"),
+        F.col("source_size").cast("double").alias("words"), (F.col("source_size") * F.lit(float(most))).alias("cap"),
+    )
+    per = _running(per.withColumn("full_at", F.col("cap") / F.col("weight")), ["full_at", "place"], "cap", "weight", "words")
+    left = F.col("all_words") * F.lit(float(share)) - F.col("before_cap")
+    per = written(per.withColumn("level", left / (F.col("all_weight") - F.col("before_weight"))), "levels")
     # the first source that isn't full sets the level; from it on, levels fall
-    target = F.when(open_level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("weight") * open_level))
+    level = per.where(F.col("level") * F.col("weight") < F.col("cap")).agg(F.max("level")).first()[0]
+    target = F.col("cap") if level is None else F.least(F.col("cap"), F.col("weight") * F.lit(float(level)))
     return per.select("source", "source_size", target.alias("target"))
 
 
@@ -80,12 +116,14 @@ def _round(rows: DataFrame, r: int) -> DataFrame:
     sums = sums.withColumn("upto", F.sum("size").over(run))
     over = F.col("upto") > F.col("rest")
     ends = sums.groupBy("source").agg(
-        F.coalesce(F.min(F.when(over, F.col("bucket"))), F.lit(BUCKETS)).alias("end"),
+        F.coalesce(F.min(F.when(over, F.col("bucket"))), F.lit(2 * WEIGHTLESS)).alias("end"),
         F.coalesce(F.max(F.when(~over, F.col("upto"))), F.lit(0)).alias("before"),
     )
     ends = ends.select(F.col("source").alias("s"), "end", "before")
     edge = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("end")))
-    order = Window.partitionBy("source").orderBy("key", "tie").rangeBetween(Window.unboundedPreceding, 0)
+    # rows that agree in key and hash are repeated ones, taken together: added up before they are shuffled
+    edge = edge.groupBy("source", "key", "tie").agg(F.sum("size").alias("size"), F.first("before").alias("before"), F.first(rest).alias(f"rest{r}"))
+    order = Window.partitionBy("source").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, 0)
     edge = edge.withColumn("upto", F.col("before") + F.sum("size").over(order)).where(F.col("upto") <= rest)
     last = edge.groupBy("source").agg(F.max(F.struct("key", "tie")).alias("last"), F.max("upto").alias("upto"))
     return ends.join(last, F.col("s").eqNullSafe(F.col("source")), "left").select(
@@ -128,9 +166,11 @@ def _named(weight: Column | None) -> list[Column]:
 
 
 def _keyed(rows: DataFrame, weight: Column | None) -> DataFrame:
-    rows = rows.withColumn("size", words(F.col("text")))
-    rows = rows.withColumn("key", _key(rows, F.col("size"), None if weight is None else F.col("__weight")))
-    return rows.withColumn("tie", F.xxhash64("text", "doc_id")).withColumn("bucket", _bucket(F.col("key")))
+    rows = rows.withColumns({"size": words(F.col("text")), "__digest": _digest()})
+    u = (_digits(F.col("__digest"), 1, 13) + F.lit(0.5)) / F.lit(float(1 << 52))
+    weight = quality(F.col("text"), F.col("size")) if weight is None else F.col("__weight")
+    rows = rows.withColumns({"key": _key(u, weight), "tie": _digits(F.col("__digest"), 14, 15)})
+    return rows.withColumn("bucket", _bucket(F.col("key"), F.col("tie")))
 
 
 def _sized(docs: DataFrame, weight: Column | None) -> DataFrame:
@@ -160,11 +200,43 @@ def assignments(docs: DataFrame, weight: Column | None = None, share: float = SH
 
 
 def mix(docs: DataFrame, weight: Column | None = None, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """``docs`` as often as the mix takes each row: rows of 0 copies go, others repeat. Keeps the columns of ``docs``."""
+    """``docs`` as often as the mix takes each row: rows of 0 copies go, others repeat. Keeps the columns of ``docs``.
+
+    A task returns its documents once, then those that are taken again, so that copies don't stand side by side.
+    """
     _, goals = _goals(docs, weight, share, most)
     rows = _keyed(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("__row"), *_named(weight)), weight)
     copied = _with_copies(rows.select("source", "size", "key", "tie", "bucket", "__row"), goals)
-    return copied.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("__row.*")
+    copied = copied.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
+    return copied.sortWithinPartitions("__copy").select("__row.*")
+
+
+def oracle_sql() -> str:
+    """The whole draw in DuckDB SQL, over all rows of ``documents``, by plain windows."""
+    text, word = "coalesce(text, '')", r"[^\x20\x09-\x0D]+"
+    parts = [f"""docs AS (SELECT doc_id, source, text, len(regexp_extract_all({text}, '{word}')) AS size,
+    md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(source, '') || '|' || md5({text})) AS h FROM documents),
+keyed AS (SELECT row_number() OVER () AS n, doc_id, source, size, CAST('0x' || substr(h, 14, 15) AS BIGINT) AS tie,
+    -ln((CAST('0x' || substr(h, 1, 13) AS BIGINT) + 0.5::DOUBLE) / {1 << 52}::DOUBLE) / ((CASE WHEN size >= 50 THEN 1.0::DOUBLE ELSE 0.5 END)
+    * (CASE WHEN length(text) / greatest(size, 1) BETWEEN 3 AND 12 THEN 1.0::DOUBLE ELSE 0.5 END)) AS key FROM docs),
+per AS (SELECT source, sum(size) AS source_size, list_extract({list(WEIGHTS)}, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::DOUBLE AS w,
+    row_number() OVER (ORDER BY source NULLS LAST) AS place FROM keyed GROUP BY source),
+full_ AS (SELECT *, source_size * {float(MOST)}::DOUBLE AS cap, sum(source_size) OVER () * {SHARE}::DOUBLE AS budget FROM per),
+levels AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM full_),
+goals AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT max(level) FROM levels WHERE level * w < cap), cap)) AS target FROM levels),
+r0 AS (SELECT k.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS epochs,
+    g.target - (CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END) * g.source_size AS rest, 0 AS taken
+    FROM keyed k JOIN goals g ON k.source IS NOT DISTINCT FROM g.source)"""]
+    for r in range(ROUNDS):
+        parts.append(f"""s{r} AS (SELECT n, size, rest, sum(size) OVER (PARTITION BY source ORDER BY key, tie RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM r{r} WHERE taken = 0 AND size <= rest AND rest > 0),
+t{r} AS (SELECT n, size FROM s{r} WHERE upto <= rest),
+u{r} AS (SELECT source, sum(t.size) AS used FROM r{r} JOIN t{r} t USING (n) GROUP BY source),
+r{r + 1} AS (SELECT r.* REPLACE (r.rest - coalesce(u.used, 0) AS rest, CASE WHEN t.n IS NULL THEN r.taken ELSE 1 END AS taken)
+    FROM r{r} r LEFT JOIN t{r} t ON t.n = r.n LEFT JOIN u{r} u ON u.source IS NOT DISTINCT FROM r.source)""")
+    return f"""WITH {", ".join(parts)} SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+    CAST((epochs + taken) * size AS BIGINT) AS taken FROM r{ROUNDS}"""
 
 
 def op2_mix_sources(spark, sf_dir):
