@@ -110,14 +110,75 @@ def test_bins_keep_all_three_limits(items, cut, segments, loss):
         assert all(len(x) == 1 for x in spans.values())
 
 
-def test_conversations(spark):
+def test_conversations_stay_whole(spark):
     turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
     rows = packing.pack_conversations(turns, loss=1024).collect()
-    per = collections.defaultdict(lambda: [0, 0, 0])
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    roles = {(r.conv_id, r.turn): (r.role, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in turns.collect()}
+    per, size, bears = collections.defaultdict(list), collections.Counter(), collections.Counter()
     for r in rows:
-        p = per[r.sequence_id]
-        p[0], p[1], p[2] = p[0] + r.length, p[1] + 1, p[2] + r.loss_tokens
-    assert all(t <= 4096 and s <= packing.SEGMENTS and b <= 1024 for t, s, b in per.values())
-    roles = {(r.conv_id, r.turn): r.role for r in turns.collect()}
-    assert all(r.loss_tokens == (r.length if roles[r.conv_id, r.turn] == "assistant" else 0) for r in rows)
-    assert {(r.conv_id, r.turn) for r in rows} == set(roles)
+        per[r.sequence_id].append((r.offset, r.length, r.loss_tokens))
+        assert r.loss_tokens == (r.length if roles[r.conv_id, r.turn][0] == "assistant" else 0)
+    for runs in per.values():
+        runs.sort()
+        assert [o for o, _, _ in runs] == [sum(n for _, n, _ in runs[:i]) for i in range(len(runs))]  # without gaps
+        assert sum(n for _, n, _ in runs) <= 4096 and sum(b for _, _, b in runs) <= 1024
+    lengths = collections.Counter()
+    for r in rows:
+        lengths[r.conv_id, r.turn] += r.length
+    assert lengths == {k: n for k, (_, n) in roles.items()}
+    for (conv, _), (role, n) in roles.items():
+        size[conv] += n
+        bears[conv] += n if role == "assistant" else 0
+    places = collections.defaultdict(set)
+    for r in rows:
+        places[r.conv_id].add(r.sequence_id)
+    # all that fit a sequence are in one; a conversation's turns follow each other there
+    assert all(len(places[c]) == 1 for c in size if size[c] <= 4096 and bears[c] <= 1024)
+    for conv in size:
+        mine = sorted((r.sequence_id, r.offset, r.turn, r.length) for r in rows if r.conv_id == conv)
+        if len(places[conv]) == 1:
+            assert [t for _, _, t, _ in mine] == sorted(t for _, _, t, _ in mine)
+            assert all(a[1] + a[3] == b[1] for a, b in zip(mine, mine[1:]))
+
+
+def test_awkward_conversations(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TURNS", 50)
+    long = " ".join(f"w{i}" for i in range(9000))
+    rows = [(1, 0, "user", None, "x"), (1, 1, None, "", "x"), (None, 0, "user", "hi", "x"), (None, None, "assistant", "there", "x")]
+    rows += [(2, 0, "user", long, "x"), (2, 1, "assistant", long, "x"), (3, 0, "user", "hi", "x"), (3, 0, "user", "hi", "x")]
+    rows += [(4, i, "user", f"turn {i}", "x") for i in range(200)] + [(5, None, "user", f"turn {i % 40}", "x") for i in range(200)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, block string")
+    got = packing.pack_conversations(turns).collect()
+    tokenizer = Tokenizer.from_file(tokens.default_path())
+    want = collections.Counter()
+    for c, t, _, text, _ in rows:
+        want[c, t] += len(tokenizer.encode(text or "", add_special_tokens=False).ids) + 1
+    lengths, per = collections.Counter(), collections.Counter()
+    for r in got:
+        lengths[r.conv_id, r.turn] += r.length
+        per[r.sequence_id] += r.length
+    assert lengths == want and max(per.values()) <= 4096
+    assert packing.pack_conversations(turns.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.booleans(), st.integers(1, 90)), max_size=30))
+def test_examples_cut_only_what_does_not_fit(turns):
+    rows = [(c, i, bears, n) for i, (c, bears, n) in enumerate(sorted(turns, key=lambda x: x[0]))]
+    found = list(packing.examples(iter(rows), 64, 40))
+    assert [(t.turn, t.start) for e in found for t in e] == sorted((t.turn, t.start) for e in found for t in e)
+    assert all(len({t.conv for t in e}) == 1 and sum(t.length for t in e) <= 64 and sum(t.loss for t in e) <= 40 for e in found)
+    for conv in {c for c, *_ in rows}:
+        mine = [r for r in rows if r[0] == conv]
+        if sum(n for *_, n in mine) <= 64 and sum(n for _, _, b, n in mine if b) <= 40:
+            assert len([e for e in found if e[0].conv == conv]) == 1
+
+
+def test_tiny_texts_fill_sequences(spark):
+    docs = spark.createDataFrame([(i, "a b") for i in range(6000)], "doc_id long, text string").coalesce(1)
+    per = collections.Counter()
+    for r in packing.pack_tokens(docs).collect():
+        per[r.sequence_id] += r.length
+    small = sum(n for n in per.values() if n < 256)
+    assert small / sum(per.values()) < 0.05

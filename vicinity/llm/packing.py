@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vicinity.llm.common import as_bytes, bounded_batches, documents
+from vicinity.llm.common import as_bytes, bounded_batches, documents, written
 from vicinity.llm.tokens import ChunkEncoder, default_path
 
-TOKENS, SEGMENTS, END_ID = 4096, 256, 2
+TOKENS, SEGMENTS, END_ID = 4096, 1024, 2
+#: Turns that a conversation may have, in one task, before it is cut into blocks of so many.
+TURNS = 4096
 #: Waiting examples of a task: rows and bytes at which bins are filled.
 WINDOW_ROWS, WINDOW_BYTES = 512, 8 << 20
 #: Sequence ids: the task's number times this plus the sequence's own.
@@ -198,14 +200,55 @@ def pack_tokens(docs: DataFrame, path: str | None = None, tokens: int = TOKENS,
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
+@dataclass
+class Turn:
+    """A run of a turn's ids."""
+
+    conv: int | None
+    turn: int | None
+    start: int
+    length: int
+    loss: int
+
+
+def examples(turns: Iterator[tuple], tokens: int, loss: int) -> Iterator[list[Turn]]:
+    """The examples of rows (conv, turn, bears loss, number of ids): a conversation's turns, which stand together.
+
+    A conversation that exceeds a capacity is cut between turns, a turn that does so by itself within.
+    """
+    held: list[Turn] = []
+    size = bearing = 0
+    for conv, turn, bears, n in turns:
+        most, at = min(tokens, loss) if bears else tokens, 0
+        while at < n:
+            run = Turn(conv, turn, at, min(most, n - at), min(most, n - at) if bears else 0)
+            if held and (held[-1].conv != conv or size + run.length > tokens or bearing + run.loss > loss):
+                yield held
+                held, size, bearing = [], 0, 0
+            held.append(run)
+            size, bearing, at = size + run.length, bearing + run.loss, at + run.length
+    if held:
+        yield held
+
+
 def pack_conversations(turns: DataFrame, path: str | None = None, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS // 2) -> DataFrame:
-    """Pack instruction examples (conv_id, turn, role, text): only assistant turns bear loss, and turns stay whole.
+    """Pack instruction examples (conv_id, turn, role, text): a conversation is one example, and stays in one sequence.
 
-    Each turn is an example for the packer, cut only if it exceeds a capacity by itself. Returns (conv_id, turn, start,
-    length, loss_tokens, sequence_id, offset). Nulls: a null text is the end id alone, a null role bears no loss.
+    Only assistant turns bear loss. A conversation is cut, between turns, only if it exceeds a capacity by itself; one of
+    more than TURNS turns is dealt out in blocks. Returns (conv_id, turn, start, length, loss_tokens, sequence_id, offset).
+    Nulls: a null text is the end id alone, a null role bears no loss, a null conv_id is a conversation, a null turn comes
+    first; equal turns stand in the order of role and text. An empty table returns no row. Other columns are not read.
     """
     path = path or default_path()
     bounded_batches(turns.sparkSession)
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    # a conversation with so many turns can't be one example; its blocks, or their copies, may be in several tasks
+    long = written(rows.groupBy("conv").count().where(F.col("count") > TURNS).select(F.col("conv").alias("c")), "long-conversations")
+    block = F.when(F.col("many"), F.floor(F.col("turn") / TURNS))
+    salt = F.when(F.col("many"), F.pmod(F.xxhash64("role", "text"), F.lit(64)))
+    dealt = rows.join(long.withColumn("many", F.lit(True)), F.col("conv").eqNullSafe(F.col("c")), "left").select("conv", "turn", "role", "text", block.alias("block"), F.when(F.col("turn").isNull(), salt).alias("salt"))
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(tasks, "conv", "block", "salt").sortWithinPartitions("conv", "block", "salt", "turn", "role", "text")
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,27 +256,36 @@ def pack_conversations(turns: DataFrame, path: str | None = None, tokens: int =
         first = TaskContext.get().partitionId() * PER_TASK
 
         def placed() -> pa.RecordBatch:
-            rows = [(*i.owner, i.start, i.length, i.loss, first + s, at) for i, s, at in packer.placed]
+            rows = []
+            for item, sequence, at in packer.placed:
+                for t in item.owner:
+                    rows.append((t.conv, t.turn, t.start, t.length, t.loss, first + sequence, at))
+                    at += t.length
             packer.placed.clear()
             columns = list(zip(*rows)) or [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
-        for batch in batches:
-            conv, turn, role = (batch.column(i).to_pylist() for i in range(3))
-            for c, t, r, text in zip(conv, turn, role, as_bytes(batch.column(3))):
-                ids, at, bears = encoder.encode(text) + end, 0, r == "assistant"
-                most = min(tokens, loss) if bears else tokens
-                while at < len(ids) // 4:
-                    n = min(most, len(ids) // 4 - at)
-                    packer.add(Item((c, t), at, n, n if bears else 0, ids[4 * at : 4 * (at + n)]))
-                    at += n
-            yield placed()
+        def read() -> Iterator[tuple]:
+            for batch in batches:
+                conv, turn, role = (batch.column(i).to_pylist() for i in range(3))
+                for c, t, r, text in zip(conv, turn, role, as_bytes(batch.column(3))):
+                    yield c, t, r == "assistant", (len(encoder.encode(text)) + len(end)) // 4
+
+        for example in examples(read(), tokens, loss):
+            packer.add(Item(tuple(example), 0, sum(t.length for t in example), sum(t.loss for t in example), b""))
+            if len(packer.placed) >= WINDOW_ROWS:
+                yield placed()
         packer.finish()
         yield placed()
 
     names = ["conv_id", "turn", "start", "length", "loss_tokens", "sequence_id", "offset"]
     schema = ", ".join(f"{n} long" for n in names)
-    return turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").mapInArrow(run, schema)
+    return dealt.select("conv", "turn", "role", "text").mapInArrow(run, schema)
+
+
+def pack_conversation_table(spark, sf_dir):
+    """All conversations as instruction examples: the case in which the three capacities differ."""
+    return pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
 def op5_pack_tokens(spark, sf_dir):

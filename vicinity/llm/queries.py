@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_line_dedup": lines.op3_line_dedup,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_pack_tokens": packing.op5_pack_tokens,
+        "pack_conversations": packing.pack_conversation_table,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_quality_rules": rules.op7_quality_rules,
         "op8_language_id": langid.op8_language_id,
@@ -21,4 +22,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    """SQL of the operators that it can express: the others hash, decode, align, learn or search as DuckDB can't."""
+    return {"op2_mix_sources": mixing.oracle_sql()}
