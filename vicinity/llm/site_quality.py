@@ -1,10 +1,11 @@
 """Quality of documents by hierarchical empirical Bayes over sites.
 
 Evidence of a document: the probability of high quality that a logistic classifier reads from its text's statistics.
-Evidence of its host and of the path on it: the mean over their documents (labels where there are any, else the
-classifier), shrunk toward the level above: a path toward its host, a host toward the global mean. How much is shrunk
-is itself estimated from the data, by the method of moments for a beta-binomial: the variance between sites beyond what
-sampling explains. Grouped sums per path, then per host, then over all carry everything; no site is gathered.
+Evidence of its host and of the path on it: the mean over their other documents (labels where there are any, else the
+classifier), shrunk toward the level above: a path toward its host, a host toward the global mean. How much is shrunk is
+itself estimated from the data, by the method of moments: the variance of documents within a site over the variance
+between sites, of paths around their host and of hosts around the mean. Grouped sums per path, then per host, then over
+all carry everything; no site is gathered. A document is left out of its own sites' sums, so that it isn't counted twice.
 
 A document's posterior log odds are its own plus what its path's shrunk odds differ from the global ones.
 """
@@ -20,7 +21,7 @@ from vicinity.llm.common import as_strings, documents, map_arrow, written
 
 #: About so many labelled documents that the classifier is fitted on at most, chosen by a hash of the id; its ridge.
 LEARN_ROWS, RIDGE = 20_000, 1.0
-#: Pseudo-counts of documents that shrinkage is held between.
+#: Pseudo-counts of documents that shrinkage is held between: a rate is never wholly its level's, nor wholly its site's.
 LEAST, MOST = 2.0, 1000.0
 #: Documents at or above this posterior are kept, and weight of the site's evidence.
 KEEP, SITE_WEIGHT = 0.5, 0.5
@@ -82,26 +83,52 @@ def _odds(p: Column) -> Column:
     return F.log(q / (1 - q))
 
 
-def _strength(sites: DataFrame, n: Column, rate: Column) -> float:
-    """Pseudo-count of a beta prior over the sites' rates, by moments: the rate's variance beyond sampling's."""
-    r = sites.agg(
-        F.sum(n).alias("n"), F.sum(n * rate).alias("s"), F.sum(n * rate * rate).alias("q"), F.sum(n * n).alias("nn"), F.count("*").alias("k")
-    ).first()
-    if not r["n"] or r["k"] < 2:
-        return MOST
-    mean = r["s"] / r["n"]
-    within = mean * (1 - mean)
-    spread = r["q"] / r["n"] - mean * mean - within * r["k"] / r["n"]
-    room = 1 - r["nn"] / r["n"] ** 2
-    between = spread / room if room > 0 else 0.0
-    return float(min(MOST, max(LEAST, within / between - 1))) if between > 0 else MOST
+def url_site(url: Column) -> tuple[Column, Column]:
+    """(host, path) of a web address: the host without "www.", and the first part of the path; null if it has none."""
+    url = F.trim(url)
+    url = F.when(url.contains("://"), url).otherwise(F.concat(F.lit("http://"), url))
+    host = F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
+    part = F.regexp_extract(F.try_parse_url(url, F.lit("PATH")), "^/*([^/]+)", 1)
+    return host, F.when(host.isNotNull() & (part != ""), part)
+
+
+def _strength(within: float, spread: float, free: float, room: float) -> float:
+    """Pseudo-count of a prior over sites' rates, by moments: the variance within sites over that between them.
+
+    ``spread``: the squared deviations of the sites' rates from the level above, weighted by size; ``free``: its degrees
+    of freedom, and ``room`` what it would be for a unit variance between sites.
+    """
+    between = (spread - within * free) / room if room > 0 else 0.0
+    return float(min(MOST, max(LEAST, within / between))) if between > 0 else MOST
+
+
+def strengths(paths: DataFrame) -> tuple[float, float, float, float]:
+    """(documents, sum, host strength, path strength) from (host, path, n, s, q): sums of the evidence and its squares."""
+    hosts = paths.groupBy("host").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.count("*").alias("k"),
+        F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"), F.sum(F.col("n") * F.col("n")).alias("nn"),
+    )
+    own = F.col("s") * F.col("s") / F.col("n")
+    r = hosts.agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("k").alias("paths"), F.count("*").alias("hosts"),
+        F.sum(own).alias("own"), F.sum("between").alias("between"), F.sum(F.col("n") * F.col("n")).alias("hh"),
+        F.sum(F.col("nn") / F.col("n")).alias("pp"),
+    ).first()
+    if not r["n"]:
+        return 0.0, 0.0, MOST, MOST
+    in_path = max(0.0, r["q"] - r["between"]) / max(1.0, r["n"] - r["paths"])
+    in_host = max(0.0, r["q"] - r["own"]) / max(1.0, r["n"] - r["hosts"])
+    a = _strength(in_host, r["own"] - r["s"] ** 2 / r["n"], r["hosts"] - 1, r["n"] - r["hh"] / r["n"])
+    b = _strength(in_path, r["between"] - r["own"], r["paths"] - r["hosts"], r["n"] - r["pp"])
+    return r["n"], r["s"], a, b
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
     """(doc_id, host, path, own, host_rate, path_rate, posterior, kept) for every row of ``docs``.
 
-    ``host`` and ``path`` are columns of ``docs``: its source and, within it, its language, unless given. ``labels`` has
-    (doc_id, quality 0/1); null ids and labels teach nothing, several labels of an id count as their mean. A null host
+    ``host`` and ``path`` are columns of ``docs`` (for web pages those of ``url_site``): its source and, within it, its
+    language, unless given. The rates of a document's host and path are those of their other documents; on a path, or a
+    host, of its own it has the rate of the level above. ``labels`` has (doc_id, quality 0/1); null ids and labels teach nothing, several labels of an id count as their mean. A null host
     or path is a site of its own. A null or empty text has the evidence of one without words. Without labels of both
     kinds, own is 0.5 everywhere. Repeated rows stay; an empty table returns no row.
     """
@@ -112,7 +139,8 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: Column | None = None, p
     known = written(known, "quality-labels")
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("site-quality")), 11) / F.lit(float(1 << 53))
     chosen = known.where(u < F.lit(LEARN_ROWS / max(1, known.count())))
-    taught = rows.join(chosen, "doc_id").select("x", "quality").toPandas()
+    # a row for each label, however often its document repeats
+    taught = rows.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).orderBy("doc_id").toPandas()
     y = (taught["quality"].to_numpy(np.float64) >= 0.5).astype(float)
     if len(y) and 0 < y.sum() < len(y):
         mean, scale, w = fit(np.array(taught["x"].tolist()), y)
@@ -124,18 +152,18 @@ def posteriors(docs: DataFrame, labels: DataFrame, host: Column | None = None, p
     scored = rows.select("doc_id", "host", "path", own.alias("own")).join(known, "doc_id", "left")
     scored = written(scored.withColumn("seen", F.coalesce("quality", "own")), "scored")
     # sums per path first; hosts and the whole add those up
-    paths = written(scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum("seen").alias("s")), "paths")
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-    overall = total["s"] / total["n"] if total["n"] else 0.5
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
-    a = _strength(hosts, F.col("host_n"), F.col("host_s") / F.col("host_n"))
-    b = _strength(paths, F.col("n"), F.col("s") / F.col("n"))
-    hosts = hosts.select(F.col("host").alias("h"), ((F.col("host_s") + a * overall) / (F.col("host_n") + a)).alias("host_rate"))
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(
-        F.col("host").alias("h"), F.col("path").alias("p"), "host_rate", ((F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate")
+    seen = F.col("seen")
+    paths = written(
+        scored.groupBy("host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(seen).alias("s"), F.sum(seen * seen).alias("q")), "paths"
     )
-    sites = written(sites, "sites")
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    total, all_seen, a, b = strengths(paths)
+    overall = all_seen / total if total else 0.5
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s")).withColumnRenamed("host", "h0")
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h0"))).select(F.col("host").alias("h"), F.col("path").alias("p"), "n", "s", "host_n", "host_s")
+    joined = scored.join(written(sites, "sites"), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    # the document itself is left out of its sites; sums that are 0 but for rounding stay in range
+    host_rate = (F.col("host_s") - seen + a * overall) / (F.col("host_n") - 1 + a)
+    joined = joined.withColumn("host_rate", host_rate).withColumn("path_rate", (F.col("s") - seen + b * F.col("host_rate")) / (F.col("n") - 1 + b))
     odds = _odds(F.col("own")) + SITE_WEIGHT * (_odds(F.col("path_rate")) - _odds(F.lit(float(overall))))
     posterior = 1 / (1 + F.exp(-odds))
     return joined.select(
