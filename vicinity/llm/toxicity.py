@@ -36,8 +36,8 @@ PURITY, BEGIN_PURITY = 0.75, 0.97
 COVER = 0.01
 #: Chance, over all candidates, that a feature of the lexicon stands in it by accident.
 ACCIDENT = 0.5
-#: Words that a worker remembers.
-MEMORY = 700_000
+#: Chunks that a worker remembers, and their characters at most: longer ones are restored each time they come.
+MEMORY, LONGEST = 700_000, 64
 
 #: Letters that a look-alike may stand for.
 LOOKALIKE = {
@@ -199,26 +199,41 @@ class Scorer:
     def _hit(self, word: str) -> float:
         return max((self.lexicon.get(f, 0.0) for f in features(word)), default=0.0)
 
+    def _best(self, chunk: str) -> tuple[float, str]:
+        return max(((self._hit(w), w) for w in self.restorer.words(chunk)), default=(0.0, ""))
+
+    @staticmethod
+    def _apart(chunk: str) -> bool:
+        """Whether the chunk may belong to a word spelled apart."""
+        return not _PAIR.search(chunk) and _SOME.search(chunk) is not None
+
     def _meet(self, chunks: set[str]) -> None:
         if len(self.seen) > MEMORY:
             self.seen, self.hits, self.single = set(), {}, set()
         for chunk in chunks:
-            best = max(((self._hit(w), w) for w in self.restorer.words(chunk)), default=(0.0, ""))
+            best = self._best(chunk)
             if best[0] > 0:
                 self.hits[chunk] = best[1], best[0]
-            if not _PAIR.search(chunk) and _SOME.search(chunk):
+            if self._apart(chunk):
                 self.single.add(chunk)
         self.seen |= chunks
 
     def score(self, text: str) -> float:
         low = text.lower()
         chunks = set(low.split())
+        found, apart = {}, False
         if new := chunks - self.seen:
-            self._meet(new)
+            for chunk in [c for c in new if len(c) > LONGEST]:
+                chunks.discard(chunk)
+                best = self._best(chunk)
+                if best[0] > 0:
+                    found[best[1]] = best[0]
+                apart = apart or self._apart(chunk)
+            self._meet(new & chunks)
             if not chunks <= self.seen:
                 self._meet(chunks)
-        found = dict(self.hits[c] for c in self.hits.keys() & chunks)
-        if not self.single.isdisjoint(chunks):
+        found.update(self.hits[c] for c in self.hits.keys() & chunks)
+        if apart or not self.single.isdisjoint(chunks):
             for word in self.restorer.spaced(low):
                 if (w := self.lexicon.get(word, 0.0)) > 0:
                     found[word] = w
@@ -232,11 +247,13 @@ class Scorer:
 def document_features(text: str, restorer: Restorer, known: dict[str, list[str]]) -> set[str]:
     out: set[str] = set()
     for chunk in set(text.lower().split()):
-        if chunk not in known:
-            if len(known) > MEMORY // 4:
-                known.clear()
-            known[chunk] = [f for w in restorer.words(chunk) for f in features(w)]
-        out.update(known[chunk])
+        if (found := known.get(chunk)) is None:
+            found = [f for w in restorer.words(chunk) for f in features(w)]
+            if len(chunk) <= LONGEST:
+                if len(known) > MEMORY // 4:
+                    known.clear()
+                known[chunk] = found
+        out.update(found)
     return out
 
 
