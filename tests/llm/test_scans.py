@@ -51,6 +51,12 @@ def test_awkward_rows(awkward, nothing):
         ("x " * 500 + "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "mit"),
         ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
         ("under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+        ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY, fitness for a particular purpose and noninfringement.", "mit"),
+        ("// SPDX-License-Identifier: Apache-2.0", "apache"),
+        ("made available under the terms of the Eclipse Public License 2.0", "epl"),
+        ("licensed under the SIL Open Font License, Version 1.1", "ofl"),
+        ("the software is provided as a service, without warranty", ""),
+        ("an artistic license was taken by the author of this file", ""),
         ("permission to enter is granted free of fees, in source form", ""),
         ("the license of the source", ""),
     ],
@@ -64,6 +70,9 @@ def test_templates_do_not_displace_each_other(corpus):
     notices = [(label, text.encode()) for label, text, _ in licenses.TEMPLATES]
     alone = [set(index.scan(text)[5].split(",")) for _, text in notices]
     assert all(label in found for (label, _), found in zip(notices, alone))
+    for some in itertools.combinations(range(18), 3):
+        found = set(index.scan(b"\n\n".join(notices[i][1] for i in some))[5].split(","))
+        assert set().union(*(alone[i] for i in some)) <= found, some
     whole = set(index.scan(b"\n\n".join(text for _, text in notices))[5].split(","))
     assert whole == {label for label, _ in notices}
     for a, b in itertools.combinations(range(len(notices)), 2):

@@ -51,6 +51,27 @@ TEMPLATES = [
     ("cc0", "creative commons cc0 1 0 universal public domain dedication", ["cc0 1 0", "cc0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     ("reserved", "all rights reserved", ["all rights reserved"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["copies or substantial portions of the software"]),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", ["fitness for a particular purpose and noninfringement"]),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability", ["provided by the copyright holders and contributors as is"]),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["software distributed under the license is distributed on an as is basis"]),
+    ("apache", "spdx license identifier apache 2 0", ["spdx license identifier apache"]),
+    ("mit", "spdx license identifier mit", ["spdx license identifier mit"]),
+    ("bsd", "spdx license identifier bsd", ["spdx license identifier bsd"]),
+    ("gpl", "spdx license identifier gpl", ["spdx license identifier gpl"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ["copy of the gnu general public license"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ["common development and distribution license"]),
+    ("artistic", "this package is free software you may redistribute it under the terms of the artistic license", ["the artistic license"]),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", ["sil open font license"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["in no event will the authors be held liable"]),
+    ("bsl", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("wtfpl", "do what the fuck you want to public license", ["what the fuck you want to public license"]),
+    ("cc-by-nd", "licensed under cc by nd 4 0", ["cc by nd"]),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ["creative commons attribution sharealike"]),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial"]),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", ["gnu free documentation license"]),
 ]
 
 #: Highest-IDF words of each template looked up in a file, distinct places that must agree on a beginning, and slack of a key phrase.
