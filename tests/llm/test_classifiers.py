@@ -35,6 +35,12 @@ def test_language_stage(awkward, nothing):
     kept = langid.identified(awkward)
     assert kept.columns == awkward.columns
     assert collections.Counter(r.doc_id for r in kept.collect()) == collections.Counter(r[0] for r in ROWS if r[0] not in (60, 80, 100))
+    # the prediction replaces the language that the table states
+    model = langid.learn(awkward)
+    predicted = collections.Counter((r.doc_id, r.lang_pred) for r in langid.predict(awkward, model).collect() if r.lang_pred != "und")
+    assert collections.Counter((r.doc_id, r.lang) for r in kept.collect()) == predicted
+    assert {r.lang for r in langid.identified(awkward, ["de"]).collect()} <= {"de"}
+    assert langid.identified(awkward, least=1.1).count() == 0
     assert langid.identified(nothing).count() == 0
 
 
@@ -194,20 +200,157 @@ def test_site_quality_on_labelled_documents(spark):
     assert np.mean(good) >= 0.98 and np.mean(bad) <= 0.1
 
 
-def test_site_rates_equal_plain_sums(spark, corpus, labels):
-    rows = site_quality.posteriors(corpus, labels).collect()
+def plain_posteriors(rows, known):
+    """(host rate, path rate, posterior) of (doc_id, host, path, own) rows, by the formulas, with each row left out."""
+    seen = [known.get(d, own) for d, _, _, own in rows]
+    by = [collections.defaultdict(list), collections.defaultdict(list)]
+    for (_, h, p, _), x in zip(rows, seen):
+        by[0][h].append(x)
+        by[1][h, p].append(x)
+    n, mean = len(seen), float(np.mean(seen))
+    within = [sum(np.var(v) * len(v) for v in g.values()) / max(1, n - len(g)) for g in by]
+    host_spread = sum(len(v) * (np.mean(v) - mean) ** 2 for v in by[0].values()) - within[0] * (len(by[0]) - 1)
+    host_room = n - sum(len(v) ** 2 for v in by[0].values()) / n
+    path_spread = sum(len(v) * (np.mean(v) - np.mean(by[0][h])) ** 2 for (h, _), v in by[1].items()) - within[1] * (len(by[1]) - len(by[0]))
+    path_room = n - sum(len(v) ** 2 / len(by[0][h]) for (h, _), v in by[1].items())
+    strength = []
+    for w, spread, room in ((within[0], host_spread, host_room), (within[1], path_spread, path_room)):
+        between = spread / room if room > 0 else 0
+        strength.append(min(site_quality.MOST, max(site_quality.LEAST, w / between)) if between > 0 else site_quality.MOST)
+    odds = lambda q: math.log(max(1e-6, min(1 - 1e-6, q)) / (1 - max(1e-6, min(1 - 1e-6, q))))
+    for (d, h, p, own), x in zip(rows, seen):
+        host = (sum(by[0][h]) - x + strength[0] * mean) / (len(by[0][h]) - 1 + strength[0])
+        path = (sum(by[1][h, p]) - x + strength[1] * host) / (len(by[1][h, p]) - 1 + strength[1])
+        yield d, host, path, 1 / (1 + math.exp(-odds(own) - site_quality.SITE_WEIGHT * (odds(path) - odds(mean))))
+
+
+@pytest.mark.parametrize("where", ["corpus", "awkward"])
+def test_posteriors_equal_plain_sums(request, labels, where):
+    docs = request.getfixturevalue(where)
     known = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None}
-    seen = collections.defaultdict(list)
+    rows = site_quality.posteriors(docs, labels).collect()
+    key = lambda x: tuple(map(str, x))
+    got = sorted(((r.doc_id, round(r.host_rate, 9), round(r.path_rate, 9), round(r.posterior, 9)) for r in rows), key=key)
+    want = plain_posteriors([(r.doc_id, r.host, r.path, r.own) for r in rows], known)
+    want = sorted(((d, round(h, 9), round(p, 9), round(x, 9)) for d, h, p, x in want), key=key)
+    assert all(a[0] == b[0] and a[1:] == pytest.approx(b[1:], abs=1e-7) for a, b in zip(got, want)) and len(got) == len(want)
+
+
+def test_a_label_does_not_speak_for_its_own_site(spark):
+    text = "plain words that say nothing about quality at all here"
+    docs = spark.createDataFrame([(i, text, "en", f"host{i}" if i < 2 else "many") for i in range(20)], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    rows = {r.doc_id: r for r in site_quality.posteriors(docs, labels).collect()}
+    assert rows[0].host_rate == pytest.approx(rows[1].host_rate) and rows[0].posterior == pytest.approx(rows[1].posterior)
+
+
+def test_sites_of_addresses(spark):
+    rows = ["https://www.Example.org/a/b?x=1", "http://example.org", "example.org//news", "ftp://h:21/", "not an address at all", "", None]
+    host, path = site_quality.url_site(F.col("url"))
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in rows], "url string").select(host, path).collect()]
+    assert got[:4] == [("example.org", "a"), ("example.org", None), ("example.org", "news"), ("h", None)]
+    assert got[4:] == [(None, None)] * 3
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select(host.alias("h"))
+    assert pages.where("h IS NULL").count() == 0
+
+
+@pytest.fixture(scope="module")
+def taught_without_a_third(spark):
+    """Labels of ids that are learned from, and the others."""
+    labels = spark.read.parquet(f"{S}/labels.parquet").where("quality IS NOT NULL")
+    return labels.where(~held_out(F.col("doc_id"))), labels.where(held_out(F.col("doc_id"))), spark.read.parquet(f"{S}/documents.parquet")
+
+
+def test_rules_on_held_out_documents(taught_without_a_third):
+    taught, aside, docs = taught_without_a_third
+    rows = rules.verdicts(docs, taught).join(aside, "doc_id").where("not base_failed").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    print("rules, held out: good kept", np.mean(good), len(good), "bad kept", np.mean(bad), len(bad))
+    assert np.mean(good) >= 0.95 and np.mean(bad) <= 0.3
+
+
+def test_site_quality_on_held_out_documents(taught_without_a_third):
+    taught, aside, docs = taught_without_a_third
+    rows = site_quality.posteriors(docs, taught).join(aside, "doc_id").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    print("sites, held out: good kept", np.mean(good), len(good), "bad kept", np.mean(bad), len(bad))
+    assert np.mean(good) >= 0.95 and np.mean(bad) <= 0.15
+
+
+def test_verdicts_equal_the_rules_in_plain_python(corpus, labels):
+    stats = rules.measured(corpus)
+    learned = rules.learn(stats, labels)
+    rows = rules.verdicts(corpus, labels).collect()
+    named = {n: c for n, c in rules.features().items()}
+    table = stats.select("doc_id", *(c.alias(n) for n, c in named.items())).toPandas().set_index("doc_id")
     for r in rows:
-        seen[r.host].append(known.get(r.doc_id, r.own))
-    overall = np.mean([x for v in seen.values() for x in v])
-    by_host = {r.host: r.host_rate for r in rows}
-    # one strength explains every host's shrinkage
-    strengths = [(sum(v) - len(v) * by_host[h]) / (by_host[h] - overall) for h, v in seen.items() if abs(by_host[h] - overall) > 1e-4]
-    assert np.allclose(strengths, np.median(strengths), rtol=1e-3)
-    for h, v in seen.items():
-        low, high = sorted((np.mean(v), overall))
-        assert low - 1e-9 <= by_host[h] <= high + 1e-9
+        x = table.loc[r.doc_id]
+        hit = any(all((x[c.feature] > c.threshold) == c.above for c in rule) for rule in learned)
+        assert r.kept == (not r.base_failed and not hit)
+
+
+def test_a_repeated_labelled_document_teaches_once(spark):
+    docs = spark.createDataFrame([(1, "some words of a text", "en", "a")] * 50 + [(2, "other words", "en", "a")], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert rules.learn(rules.measured(docs), labels) == []
+    rows = site_quality.posteriors(docs, labels).collect()
+    assert len(rows) == 51 and len({r.own for r in rows if r.doc_id == 1}) == 1
+
+
+def plain_profile(text, size):
+    grams = collections.Counter()
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        grams.update(word)
+        padded = f" {word} "
+        grams.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+    return grams
+
+
+def test_predictions_equal_plain_out_of_place_distances(corpus):
+    """Distances recomputed from texts, for profiles in which no two grams tie at the cut."""
+    model = langid.learn(corpus)
+    numbers = langid._letters()
+    code = lambda g: sum(int(numbers[ord(c)]) << 18 * (len(g) - 1 - i) for i, c in enumerate(g)) | (len(g) - 1) << 54
+    rank = {lang: {int(k): int(r) for k, r in zip(model.keys, model.ranks[i]) if r >= 0} for i, lang in enumerate(model.languages)}
+    rows = {r.doc_id: r for r in langid.predict(corpus, model).collect()}
+    checked = 0
+    for r in corpus.collect():
+        grams = plain_profile(r.text or "", model.size)
+        if not grams:
+            assert rows[r.doc_id].lang_pred == "und"
+            continue
+        top = sorted(grams.items(), key=lambda x: (-x[1], code(x[0])))[: model.size]
+        d = {lang: np.mean([min(model.size, abs(rank[lang].get(code(g), 10**9) - i)) for i, (g, _) in enumerate(top)]) for lang in rank}
+        assert rows[r.doc_id].lang_pred == min(sorted(d), key=lambda x: d[x])
+        first, second = sorted(d.values())[:2]
+        assert rows[r.doc_id].score == pytest.approx((second - first) / second)
+        checked += 1
+    assert checked > 100
+
+
+def test_scores_equal_the_formula(corpus, labels):
+    """Against a plain sum over the words that a text may be read as."""
+    scorer = toxicity.learn(corpus, labels)
+    scorer.lexicon |= {"ist": 2.0, "the": 0.7, "und": 1.1}
+    rows = {r.doc_id: r.score for r in toxicity.scores(corpus, scorer).collect()}
+    for r in corpus.collect():
+        text, found = (r.text or "").lower(), {}
+        for chunk in set(text.split()):
+            weights = {w: max((scorer.lexicon.get(f, 0.0) for f in toxicity.features(w)), default=0.0) for w in scorer.restorer.words(chunk)}
+            if weights and max(weights.values()) > 0:
+                best = max(weights, key=lambda w: (weights[w], w))
+                found[best] = weights[best]
+        found |= {w: scorer.lexicon[w] for w in scorer.restorer.spaced(text) if scorer.lexicon.get(w, 0) > 0}
+        odds = math.log(scorer.base / (1 - scorer.base)) + max(found.values(), default=0) + 0.5 * (sum(found.values()) - max(found.values(), default=0))
+        assert rows[r.doc_id] == pytest.approx(1 / (1 + math.exp(-min(odds, 30))))
+
+
+def test_long_chunks_are_read_and_not_remembered(restorer):
+    scorer = toxicity.Scorer(restorer, {"idiot": 5.0}, 0.1)
+    for text in ("x." * 60 + "i.d.i.o.t" + ".y" * 60, "word/" * 40 + "idi0t" + "/word" * 40, "idiot/" + "z" * 5000):
+        assert scorer.score(text) > 0.7 and scorer.score(text) == scorer.score("some " + text)
+    assert all(len(c) <= toxicity.LONGEST for c in scorer.seen | scorer.hits.keys())
+    assert scorer.score("harmless" * 1000) == 0.1
 
 
 def test_site_quality_of_awkward_rows(awkward, nothing, labels):

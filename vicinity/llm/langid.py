@@ -150,15 +150,21 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), each, "doc_id long, lang_pred string, score double")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that language identification rejects: those in which it finds no language."""
+def identified(docs: DataFrame, wanted: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """``docs`` with the predicted language as ``lang``; rows go in which none is found.
+
+    So do those whose language isn't one of the ``wanted`` ones, if these are given, or whose score is below ``least``.
+    Keeps the other columns; a table without ``lang`` can't be learned from.
+    """
     profiles = docs.sparkSession.sparkContext.broadcast(learn(docs))
-    at = docs.columns.index("text")
+    at, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.value.predict(t)[0] != NO_LANGUAGE for t in as_strings(batch.column(at))]
-            yield batch.filter(pa.array(found, pa.bool_()))
+            found = [profiles.value.predict(t) for t in as_strings(batch.column(at))]
+            fine = [x != NO_LANGUAGE and s >= least and (wanted is None or x in wanted) for x, s in found]
+            columns = [pa.array([x for x, _ in found], c.type) if i == lang else c for i, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(fine, pa.bool_()))
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)

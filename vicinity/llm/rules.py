@@ -212,14 +212,15 @@ def learn(stats: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> list[R
     """The decision list from (doc_id, quality) labels and their rows of statistics.
 
     About ``rows`` labelled rows at most are taken, those whose hashed id is smallest. Null ids and labels teach
-    nothing; a document with several labels teaches each.
+    nothing; a document with several labels or texts teaches each, a repeated one once.
     """
     labels = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
     share = rows / max(1, labels.count())
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("rules")), 11) / F.lit(float(1 << 53))
     chosen = labels.where(u < F.lit(float(share)))
     taught = stats.join(chosen, "doc_id").select((F.col("quality") == 0).alias("bad"), "doc_id", *(c.alias(n) for n, c in features().items()))
-    seen = taught.toPandas().sort_values(["doc_id", *features()], kind="stable")
+    # repeated rows of a document teach once, so that what is gathered is bounded by the labels
+    seen = taught.distinct().toPandas().sort_values(["doc_id", *features()], kind="stable")
     return learn_list({n: seen[n].to_numpy(np.float64) for n in features()}, seen["bad"].to_numpy(bool)) if len(seen) else []
 
 
