@@ -1,4 +1,5 @@
 import collections
+import itertools
 import zlib
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vicinity.llm import tokens
+from vicinity.llm import langid, near, tokens
 from vicinity.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
@@ -49,6 +50,49 @@ def test_packed_pieces_hold_the_mixed_texts(stages):
         assert sum(r.length for r in mine) == n * len(ids) // 4
 
 
+def test_language_stage_states_the_prediction(spark, stages):
+    """Against the operator's own prediction: those without a language go, the others carry theirs."""
+    found = langid.predict(stages[0], langid.learn(stages[0])).where("lang_pred <> 'und'").collect()
+    assert {r.doc_id: r.lang for r in stages[1].collect()} == {r.doc_id: r.lang_pred for r in found}
+
+
+def test_one_of_each_group_stays(stages):
+    """Of the documents that all pairs at similarity 0.8 connect, one is kept."""
+    texts = sorted((r.doc_id, (r.text or "").encode()) for r in stages[2].collect())
+    sets = [near.shingles(t) for _, t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        union = len(sets[i] | sets[j])
+        if not union or len(sets[i] & sets[j]) >= 0.8 * union:
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    assert {r.doc_id for r in stages[3].collect()} == {texts[i][0] for i in range(len(texts)) if find(i) == i}
+
+
+def run_on(spark, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    return corpus_pipeline.run(spark, str(folder)).collect()
+
+
+def test_awkward_rows_and_an_empty_table(spark, tmp_path, awkward, nothing):
+    rows = run_on(spark, awkward, tmp_path / "some")
+    # without a letter: 60, 80, 100; copies of the first text: 20, a null id and, as its rest is one word, 40
+    ids = {r.doc_id for r in rows}
+    assert ids <= {0, 40, None, 7, 9, 11, 13, 15} and {0, 7, 9, 11, 13} & ids
+    spans = collections.defaultdict(list)
+    for r in rows:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for runs in spans.values():
+        runs.sort()
+        assert [o for o, _ in runs] == [sum(n for _, n in runs[:i]) for i in range(len(runs))] and sum(n for _, n in runs) <= 4096
+    assert run_on(spark, nothing, tmp_path / "none") == []
+
+
 def test_run_equals_the_stages(spark, stages):
     a = collections.Counter(map(tuple, corpus_pipeline.run(spark, DATA).select("doc_id", "start", "length", "ids_crc32").collect()))
     b = collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in stages[-1].collect())

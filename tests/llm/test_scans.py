@@ -84,6 +84,36 @@ def test_templates_do_not_displace_each_other(corpus):
     assert index.scan(text)[5] == "mit"
 
 
+def plain_labels(index, text):
+    """Labels by trying every template at every place, without postings or votes by word."""
+    words = licenses.words_of(text)
+    present = set(words)
+    out = set(filter(None, index.scan(text)[4].split(",")))
+    stands = lambda phrase, lo, hi: any(tuple(words[i : i + len(phrase)]) == phrase for i in range(max(0, lo), min(len(words), hi + 1)))
+    for t in index.templates:
+        able = [k for k in t.keys if present.issuperset(k)]
+        rare = sorted(present.intersection(t.words), key=lambda w: (-index.idf[w], w))[: licenses.RARE]
+        sought = {*rare, *(w for k in able for w in sorted(set(k), key=lambda w: (-index.idf[w], w))[: licenses.VOTES])}
+        for begin in range(-len(t.words), len(words)) if able else ():
+            same = [i for i, w in enumerate(t.words) if 0 <= begin + i < len(words) and words[begin + i] == w and w in sought]
+            end = begin + len(t.words)
+            if len(same) >= min(licenses.VOTES, len(t.words)) and any(stands(k, begin - licenses.SLACK, end + licenses.SLACK - len(k)) for k in t.keys):
+                out.add(t.label)
+    return ",".join(sorted(out))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, len(licenses.TEMPLATES) - 1), st.floats(0, 1), st.floats(0, 1)), max_size=4), st.integers(1, 50))
+def test_labels_equal_an_aligner_without_an_index(parts, n):
+    index = licenses.Index(1000, {w: (i * 7919 * n) % 900 for i, w in enumerate(licenses.vocabulary())})
+    text = []
+    for t, a, b in parts:
+        words = licenses.TEMPLATES[t][1].split()
+        lo, hi = sorted((int(a * len(words)), int(b * len(words))))
+        text += ["other", *words[lo : hi + 1]]
+    assert index.scan(" ".join(text).encode())[5] == plain_labels(index, " ".join(text).encode())
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from(["mit", "license", "cc", "by", "apache", "gnu", "general", "public", "x", "é", "MIT-License"]), max_size=30))
 def test_base_places(words):
