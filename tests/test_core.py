@@ -1,11 +1,13 @@
 """Scalar functions, parsing and features."""
 
 import math
+from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from vicinity.functions import features, scalars
+from vicinity.functions import features, scalars, scratch
 from vicinity.operators import decide, evaluate
 from vicinity.plans import transactions as tx
 
@@ -133,3 +135,26 @@ def test_mismatches_with_tolerance_and_nulls(spark):
     rows = spark.createDataFrame([(1, 0.2, 0.205), (2, 0.2, 0.4), (3, None, 0.2), (4, None, None)], "id int, a double, b double")
     got = evaluate.mismatches(rows, F.col("a"), F.col("b"), 0.01)
     assert [r.id for r in got.orderBy("id").collect()] == [2, 3]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark):
+    unset = SimpleNamespace(get=lambda *_: None)
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: unset), conf=unset)
+    with pytest.raises(ValueError):
+        scratch.scratch_dir(session)
+    assert scratch.scratch_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def test_scratch_tables_go_with_their_scope(spark):
+    kept = scratch.written(spark.range(5), "kept")
+    with scratch.scratch_scope(spark):
+        inner = scratch.written(spark.range(7), "inner")
+        assert inner.count() == 7
+        path = Path(inner_path(inner))
+    assert kept.count() == 5 and not path.exists()
+    settled = scratch.settled(spark, "settled", lambda: scratch.written(spark.range(3), "inner").select("id"))
+    assert settled.count() == 3 and len(list(Path(scratch.scratch_dir(spark)).glob("inner-*"))) == 0
+
+
+def inner_path(df):
+    return df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]

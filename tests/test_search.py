@@ -227,6 +227,18 @@ def test_index_tables_round_trip(spark, sets, tmp_path):
     assert found(knn.knn_pruned(back, queries, skip_self=True)) == brute(refs, queries)
     with pytest.raises(ValueError):
         index_files.load_index(spark, str(tmp_path), "int8")
+    # the rows are read bucketed, and only the queries shuffled, whatever the session's number of partitions
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        plan = knn.knn_ivf(back, queries, nprobe=2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    cogroup = plan[plan.index("FlatMapCoGroups") :]
+    assert "Bucketed: true" in cogroup and "hashpartitioning(cell" not in cogroup
+    # saved again over itself, by another number of parts
+    index_files.save_index(ivf.build_ivf(raw, 4), str(tmp_path), 3)
+    assert found(knn.knn_pruned(index_files.load_index(spark, str(tmp_path)), queries, skip_self=True)) == brute(refs, queries)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("vicinity_")]
 
 
 def test_readers(spark, tmp_path):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +37,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _scopes.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -49,7 +49,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
@@ -72,8 +72,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """As ``written``, of a table that ``make`` returns; the scratch tables that it needed on the way go."""
+    path = scratch_path(spark, name)
+    with scratch_scope(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop_written(*tables: DataFrame) -> None:
     """Remove the files of tables from ``written`` that nothing reads any more."""
     for df in tables:
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _delete(df.sparkSession, parent)
+            delete(df.sparkSession, parent)

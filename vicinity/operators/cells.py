@@ -4,7 +4,8 @@ A cell holds at most about ``CELL`` references, so that a task's memory is bound
 is cut into several cells by a hash of the id. A query is sent to each cell that it looks at. Cells meet ``BLOCK``
 queries at a time; beyond that, the references are repeated once a block. Nothing passes through the driver.
 
-References that were dealt out by cell before (``ivf.warm_up``) are read in place: only the queries are shuffled.
+References that were dealt out by cell before (an index that was saved, or warmed up) are read in place: only the queries
+are shuffled.
 """
 
 from __future__ import annotations
@@ -60,11 +61,12 @@ def chunk_of(key: Column, chunks: Column) -> Column:
     return F.pmod(F.xxhash64(key), chunks)
 
 
-def nearest(refs: DataFrame, queries: DataFrame, total: int, k: int, skip_self: bool = False, maker: Maker = scan) -> DataFrame:
+def nearest(refs: DataFrame, queries: DataFrame, total: int, k: int, skip_self: bool = False, maker: Maker = scan, tasks: int | None = None) -> DataFrame:
     """(qid, orig_id, label, dist): the k best of each cell that a query looks at.
 
     ``refs``: (cell long, orig_id, label, codes); ``queries``: (cell long, qid, codes), a row for each cell, of ``total``
-    queries. ``skip_self`` leaves out the reference with the query's id.
+    queries. ``skip_self`` leaves out the reference with the query's id. ``tasks``: into how many parts the references are
+    dealt out by cell, if they are.
     """
     ship_package(refs.sparkSession)
     refs = refs.select("cell", "orig_id", F.col("label").cast("int"), "codes")
@@ -86,7 +88,7 @@ def nearest(refs: DataFrame, queries: DataFrame, total: int, k: int, skip_self:
         return pa.table({"qid": asked[row], "orig_id": ids[column], "label": labels[column].astype(np.int32), "dist": d.astype(np.int64)})
 
     # dealt out by number, so that few bytes of much work aren't put together in one task
-    queries = queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *at)
+    queries = queries.repartition(tasks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *at)
     return refs.groupBy(*by).cogroup(queries.groupBy(*at)).applyInArrow(meet, FOUND)
 
 

@@ -29,13 +29,17 @@ CHUNK_BITS = 24
 
 @dataclass
 class IvfIndex:
-    """rows: (bucket, orig_id, label, codes), and cell if warmed up; centroids: (bucket, centroid, codes, radius_sq, radius, n)."""
+    """rows: (bucket, orig_id, label, codes), and cell if dealt out by it; centroids: (bucket, centroid, codes, radius_sq, radius, n).
+
+    ``tasks``: into how many parts the rows are dealt out by cell, if they are.
+    """
 
     rows: DataFrame
     centroids: DataFrame
     k: int
     dims: int
     codec: str
+    tasks: int | None = None
     _table: tuple | None = field(default=None, repr=False)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,10 +214,10 @@ def placed(index: IvfIndex, tasks: int | None = None) -> DataFrame:
 
 def warm_up(index: IvfIndex) -> IvfIndex:
     """Loads the index into the executors' memory, dealt out by cell as searches need it, for a stream of searches."""
-    tasks = int(index.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = index.tasks or int(index.rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows, centroids = index.cells().repartition(tasks, "cell").sortWithinPartitions("cell").cache(), index.centroids.cache()
     rows.count()
-    warm = IvfIndex(rows, centroids, index.k, index.dims, index.codec)
+    warm = IvfIndex(rows, centroids, index.k, index.dims, index.codec, tasks)
     warm.table()
     return warm
 

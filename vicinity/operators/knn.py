@@ -77,7 +77,7 @@ def _scan(index: IvfIndex, probed: DataFrame, total: int, k: int, skip_self: boo
     """The k best references in each cell of the probed buckets: an equi-join of probes and inverted lists."""
     first = F.shiftleft(F.col("bucket").cast("long"), CHUNK_BITS)
     asked = probed.select("qid", "codes", F.explode(F.sequence(first, first + F.col("chunks") - 1)).alias("cell"))
-    return cells.nearest(index.cells(), asked, total, k, skip_self)
+    return cells.nearest(index.cells(), asked, total, k, skip_self, tasks=index.tasks)
 
 
 def knn_ivf(index: IvfIndex, queries: DataFrame, k: int = K, nprobe: int = FAST_PROBES, skip_self: bool = False) -> DataFrame:

@@ -12,12 +12,15 @@ from vicinity.functions.scratch import scratch_path, written
 from vicinity.operators import decide, evaluate, ivf, knn, vptree
 from vicinity.plans import transactions as tx
 from vicinity.sources import index_files, readers
+from vicinity.streaming import load
 from vicinity.streaming import score as scoring
 
 #: Buckets and probes of the embedding queries: the tables hold 500 to 2,000 vectors.
 BUCKETS, FAST, FULL = 16, 2, 6
 #: Buckets of the event index, and dims of its vectors.
 EVENT_BUCKETS, DIMS = 128, 14
+#: Buckets at which a capped search of the events stops.
+CAP = 4
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -382,6 +385,12 @@ def event_pruned(spark, sf_dir):
     return knn.knn_pruned(_first_event_index(refs), _event_queries(refs), nprobe=FAST, skip_self=True).select("qid", "rank", "orig_id", "dist")
 
 
+def event_capped(spark, sf_dir):
+    """Pruned search that stops at four buckets: two probed ones, and the two nearest that can hold a nearer row."""
+    refs = _event_references(spark, sf_dir)
+    return knn.knn_pruned(_first_event_index(refs), _event_queries(refs), nprobe=FAST, skip_self=True, most=CAP).select("qid", "rank", "orig_id", "dist")
+
+
 def event_decisions(spark, sf_dir):
     """A decision on every event, by exact search of all others; one that can't be read is approved with score 0."""
     refs = _event_references(spark, sf_dir)
@@ -429,6 +438,16 @@ def stream_score(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out").select("qid", "frauds", "approved", "response")
 
 
+def stream_progress(spark, sf_dir):
+    """The rows that a stream's micro-batches report to have read."""
+    folder = scratch_path(spark, "progress")
+    tx.requests(spark, sf_dir).select("qid", "body").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("qid long, body string").parquet(f"{folder}/in")
+    run = scoring.score_stream(stream, lambda batch: features.parse(batch).select("qid", "parsed"), f"{folder}/out", f"{folder}/log", once=True)
+    run.awaitTermination()
+    return spark.createDataFrame([(sum(rows for _, rows, _ in load.throughput(run)),)], "n_rows long")
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (
         quantize_int8, quantize_i16, knn_brute_top5, knn_int8, knn_vote, knn_decision_json, vptree_knn, vptree_file,
@@ -437,8 +456,8 @@ def queries() -> dict:
         index_file_centroids, index_table, vectors_file, scan_references, scan_labeled, scan_limit, scan_config,
         label_bitmap, label_bit_test, features_events, features_compat, payload_parse, request_source, mcc_lookup,
         unknown_merchant, confusion, failure_rate, detection_score, mismatches, mismatch_samples, mismatch_report,
-        latency_quantiles, latency_points, final_points, event_ivf, event_two_pass, event_pruned, event_decisions,
-        event_confusion, event_mismatches, stream_score,
+        latency_quantiles, latency_points, final_points, event_ivf, event_two_pass, event_pruned, event_capped,
+        event_decisions, event_confusion, event_mismatches, stream_score, stream_progress,
     )}
 
 
@@ -542,6 +561,18 @@ def _event_votes(own: bool = False) -> str:
 votes AS (SELECT a.qid, CASE WHEN a.frauds IN (2, 3) THEN b.frauds ELSE a.frauds END AS frauds FROM {count("fast")} a JOIN {count("full_")} b USING (qid))"""
 
 
+_EVENT_CAPPED = f"""radii AS (SELECT l.bucket, sqrt(max({_wide("l", "m", "c", "BIGINT")})::DOUBLE) AS radius FROM lists l JOIN centres m USING (bucket) GROUP BY 1),
+worst AS (SELECT qid, max(dist) FILTER (rank = 5) AS far FROM fast GROUP BY qid),
+apart AS (SELECT e.orig_id AS qid, m.bucket, {_wide("e", "m", "c", "BIGINT")} AS cdist, row_number() OVER (PARTITION BY e.orig_id ORDER BY cdist, m.bucket) AS place
+    FROM ev e CROSS JOIN centres m),
+later AS (SELECT a.qid, a.bucket FROM apart a LEFT JOIN radii r USING (bucket) LEFT JOIN worst w USING (qid) WHERE place > {FAST}
+    AND (far IS NULL OR greatest(0, sqrt(cdist::DOUBLE) - coalesce(radius, 0)) ** 2 <= far * (1 + 1e-9::DOUBLE) + 1e-6::DOUBLE)
+    QUALIFY row_number() OVER (PARTITION BY a.qid ORDER BY cdist, a.bucket) <= {CAP - FAST}),
+more AS (SELECT p.qid, r.orig_id, CAST({_wide("q", "r", "c", "BIGINT")} AS BIGINT) AS dist
+    FROM later p JOIN ev q ON q.orig_id = p.qid JOIN lists r ON r.bucket = p.bucket AND q.orig_id <> r.orig_id),
+capped AS (SELECT qid, orig_id, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank
+    FROM (SELECT qid, orig_id, dist FROM fast UNION ALL SELECT * FROM more) QUALIFY rank <= 5)"""
+
 #: (orig_id, dist) of the five nearest of all, as one number each: squared distances are below 10^11 and ids below 10^7.
 _EVENT_EXACT = f"""hits AS (SELECT q.orig_id AS qid, unnest(list_sort(min({_wide("q", "r", "c", "BIGINT")}::HUGEINT * 10000000 + r.orig_id, 5))) AS hit
     FROM ev q JOIN ev r ON q.orig_id <> r.orig_id GROUP BY q.orig_id),
@@ -612,6 +643,8 @@ def oracle_sql() -> dict:
         "event_ivf": f"{_event_sql()}, {_event_near(FAST, 'fast')} SELECT qid, rank, orig_id, dist FROM fast",
         "event_two_pass": f"{_event_sql()}, {_event_votes()} SELECT qid, frauds FROM votes",
         "event_pruned": f"""{_event_sql()}, {_EVENT_EXACT} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, orig_id) AS INT) AS rank, orig_id, dist FROM exact""",
+        "event_capped": f"{_event_sql()}, {_event_near(FAST, 'fast')}, {_EVENT_CAPPED} SELECT qid, rank, orig_id, dist FROM capped",
+        "stream_progress": "SELECT count(*) AS n_rows FROM events",
         "event_confusion": f"""{_event_sql()}, {_event_votes()}, {_EVENT_EXACT}, both_ AS (SELECT v.frauds < 3 AS got, t.frauds < 3 AS expected FROM votes v JOIN truth t USING (qid))
             SELECT count_if(NOT got AND NOT expected)::BIGINT AS tp, count_if(got AND expected)::BIGINT AS tn, count_if(NOT got AND expected)::BIGINT AS fp,
             count_if(got AND NOT expected)::BIGINT AS fn, count(*) AS n FROM both_""",

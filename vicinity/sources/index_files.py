@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gzip
 import struct
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vicinity.functions.scratch import delete
 from vicinity.functions.shipping import ship_package
-from vicinity.operators.ivf import IvfIndex, placed
+from vicinity.operators.ivf import IvfIndex
 from vicinity.operators.vptree import VpTree
 
 MAGIC, TREE_MAGIC, HEADER = b"RKNN", 0x56505431, 32
@@ -27,23 +29,37 @@ MAGIC, TREE_MAGIC, HEADER = b"RKNN", 0x56505431, 32
 INTERCHANGE = 1 << 30
 
 
-def save_index(index: IvfIndex, folder: str) -> None:
-    """Rows in bucket order and the centroid table, as Parquet."""
-    placed(index).write.mode("overwrite").parquet(f"{folder}/rows")
-    table = index.centroids.withColumns({"k": F.lit(index.k), "dims": F.lit(index.dims), "codec": F.lit(index.codec)})
-    table.write.mode("overwrite").parquet(f"{folder}/centroids")
+ROWS = "bucket INT, orig_id LONG, label INT, codes ARRAY<INT>, cell LONG"
+
+
+def save_index(index: IvfIndex, folder: str, tasks: int | None = None) -> None:
+    """Rows and the centroid table, as Parquet. Rows are bucketed by cell, so that searches needn't shuffle them."""
+    spark = index.rows.sparkSession
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, name = index.cells().select("bucket", "orig_id", "label", "codes", "cell"), f"vicinity_{uuid.uuid4().hex}"
+    delete(spark, f"{folder}/rows")
+    dealt = rows.repartition(tasks, "cell").sortWithinPartitions("cell", "orig_id")
+    dealt.write.bucketBy(tasks, "cell").sortBy("cell").option("path", f"{folder}/rows").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog's entry only: the files are in a stated place
+    meta = {"k": index.k, "dims": index.dims, "codec": index.codec, "tasks": tasks}
+    table = index.centroids.withColumns({n: F.lit(v) for n, v in meta.items()})
+    table.coalesce(1).write.mode("overwrite").parquet(f"{folder}/centroids")
 
 
 def load_index(spark: SparkSession, folder: str, codec: str | None = None) -> IvfIndex:
     """An index from ``save_index``; a codec other than the one asked for is an error."""
     table = spark.read.parquet(f"{folder}/centroids")
-    meta = table.select("k", "dims", "codec").first()
+    meta = table.select("k", "dims", "codec", "tasks").first()
     if meta is None:
         raise ValueError("the index has no centroids")
     if codec and codec != meta["codec"]:
         raise ValueError(f"the index holds {meta['codec']} codes, not {codec}")
-    rows = spark.read.parquet(f"{folder}/rows")
-    return IvfIndex(rows, table.drop("k", "dims", "codec"), meta["k"], meta["dims"], meta["codec"])
+    name, place = f"vicinity_{uuid.uuid4().hex}", f"{folder}/rows".replace("'", "\\'")
+    # Parquet files don't say that they are bucketed: the catalog is told, for as long as it takes to read from it
+    spark.sql(f"CREATE TABLE {name} ({ROWS}) USING parquet CLUSTERED BY (cell) SORTED BY (cell) INTO {meta['tasks']} BUCKETS LOCATION '{place}'")
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return IvfIndex(rows, table.drop("k", "dims", "codec", "tasks"), meta["k"], meta["dims"], meta["codec"], meta["tasks"])
 
 
 class IvfArrays(NamedTuple):
