@@ -209,3 +209,20 @@ def test_walk_is_ordered_and_complete():
     walked = list(index.walk(left[0], right[0]))
     sums = [d for d, _, _ in walked]
     assert sums == sorted(sums) and len({(i, j) for _, i, j in walked}) == len(index.left) * len(index.right)
+
+
+@pytest.mark.parametrize("steps", [0, 7, 10_000])
+def test_reach_is_that_of_the_walk(monkeypatch, steps):
+    rng = np.random.default_rng(5)
+    index = multi_index.Index(rng.normal(size=(300, 6)), 3000)
+    index.counts = rng.integers(0, 9, index.counts.shape)
+    monkeypatch.setattr(multi_index, "STEPS", steps)
+    for q in rng.normal(size=(10, 6)):
+        left, right = (x[0] for x in index.halves(q[None]))
+        for wanted in (0.5, 1, 40, index.counts.sum() / 2, index.counts.sum(), index.counts.sum() + 5):
+            seen, d = 0, np.inf
+            for d, i, j in index.walk(left, right):
+                seen += index.counts[i, j]
+                if seen >= wanted:
+                    break
+            assert index.reach(left, right, wanted) == d

@@ -32,8 +32,8 @@ FIT_ROWS, ROUNDS, PER_CELL, CENTROIDS = 20_000, 12, 40, 256
 CALIBRATE, RECALL = 256, 0.96
 #: Bytes at most of the rows that the centroids are fitted on, of a block's rows, and of the queries that it meets at once.
 FIT_BYTES, BLOCK_BYTES, ASKED_BYTES = 32 << 20, 8 << 20, 16 << 20
-#: Distances that a task holds at once.
-MATRIX = 1 << 21
+#: Distances that a task holds at once, and pairs that a walk takes from its heap one by one.
+MATRIX, STEPS = 1 << 21, 2000
 K = 20
 
 
@@ -121,13 +121,20 @@ class Index:
                 heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
 
     def reach(self, left: np.ndarray, right: np.ndarray, wanted: float) -> float:
-        """Summed distance at which the walk has passed ``wanted`` rows."""
+        """Summed distance at which the walk has passed ``wanted`` rows.
+
+        After ``STEPS`` pairs the rest is sorted at once: the same order and the same distance, in less time.
+        """
         seen, d = 0, float("inf")
-        counts = self.counts
-        for d, i, j in self.walk(left, right):
-            seen += int(counts[i, j])
+        for step, (d, i, j) in enumerate(self.walk(left, right)):
+            seen += int(self.counts[i, j])
             if seen >= wanted:
-                break
+                return d
+            if step >= STEPS:
+                sums = (left[:, None] + right[None, :]).ravel()
+                order = np.argsort(sums, kind="stable")
+                at = np.searchsorted(np.cumsum(self.counts.ravel()[order]), wanted)
+                return float(sums[order[min(int(at), len(order) - 1)]])
         return d
 
 
