@@ -3,6 +3,8 @@
 import zlib
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 import corpus_pipeline
 from tests.llm.conftest import frame
@@ -42,9 +44,9 @@ def test_many_copies_give_linear_pairs(spark, monkeypatch):
     texts = [changed(rng, base, 1) for _ in range(300)]
     asked, plain = [], near.verified
     monkeypatch.setattr(near, "verified", lambda t, pairs: asked.append(pairs.count()) or plain(t, pairs))
-    assert {r.root for r in near.rooted(frame_of(spark, texts)).collect()} == {0}
-    # the first round links all, and leaves nothing for the others
-    assert asked[0] <= 300 * near.WINDOWS[0] * near.BANDS and sum(asked[1:]) == 0
+    links, stars = near.linked(frame_of(spark, texts))
+    assert {r.root for r in stars.collect()} == {0}
+    assert asked[0] <= 300 * near.WINDOW * near.BANDS and links.count() <= asked[0]
 
 
 def groups_of(n, pairs):
@@ -68,20 +70,43 @@ def test_no_partner_in_a_large_bucket_is_lost(spark, monkeypatch):
     texts += [changed(rng, t, 3) for t in texts[:40]]
     want = [(i, j) for j in range(len(texts)) for i in range(j) if near.similarity(texts[i].encode(), texts[j].encode()) >= 0.8]
     assert len(want) >= 40
-    for windows in ((4, 64, 1024), (1, 2)):
-        monkeypatch.setattr(near, "WINDOWS", windows)
-        got = {r.node: r.root for r in near.rooted(frame_of(spark, texts)).collect()}
-        assert [got[i] for i in range(len(texts))] == groups_of(len(texts), want)
-
-
-def test_rounds_cover_every_pair_once():
-    buckets = np.repeat(np.arange(5), [1, 7, 2, 40, 3])
-    fps, roots = np.zeros(len(buckets), np.uint64), np.arange(len(buckets))
-    seen = []
-    for low, high in ((0, 4), (4, 16), (16, None)):
-        seen += zip(*(x.tolist() for x in near.apart(buckets, fps, roots, low, high)))
-    want = {(i, j) for i in range(len(buckets)) for j in range(i) if buckets[i] == buckets[j]}
-    assert len(seen) == len(set(seen)) and set(seen) == want
+    for window, cell in ((4, 2048), (1, 2048), (1, 20), (4, 1)):
+        monkeypatch.setattr(near, "WINDOW", window)
+        monkeypatch.setattr(near, "CELL", cell)
+        links, stars = near.linked(frame_of(spark, texts))
+        got = {r.u: r.root for r in stars.collect()}
+        assert [got.get(i, i) for i in range(len(texts))] == groups_of(len(texts), want)
+        assert links.count() < 6 * len(texts)  # the shared words make no pairs
+
+
+def test_large_groups_that_are_nearly_similar(spark, monkeypatch):
+    """Two large groups of near copies that share a passage, a text between them, and single texts with that passage."""
+    monkeypatch.setattr(near, "CELL", 25)
+    rng = np.random.default_rng(9)
+    shared = text_of(rng, 200)
+    texts = []
+    for _ in range(2):
+        base = f"{shared} {text_of(rng, 70)}"
+        texts += [changed(rng, base, 1) for _ in range(60)]
+    texts += [f"{shared} {text_of(rng, 60)}" for _ in range(40)] + ["", " ", "\n"]
+    want = [(i, j) for j in range(len(texts)) for i in range(j) if near.similarity(texts[i].encode(), texts[j].encode()) >= 0.8]
+    links, stars = near.linked(frame_of(spark, texts))
+    got = {r.u: r.root for r in stars.collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == groups_of(len(texts), want)
+    assert links.count() < 10 * len(texts)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 14), min_size=1, max_size=12), min_size=1, max_size=25), st.integers(1, 25))
+def test_joining_equals_all_pairs(sets, groups):
+    """The groups that links join are those of all similar pairs, and no link is superfluous."""
+    roots = np.array([i % groups for i in range(len(sets))])
+    found = near.joining(roots, [np.array(sorted(x), np.uint64) for x in sets])
+    pairs = [(i, j) for j in range(len(sets)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    given_ = [(i, i % groups) for i in range(len(sets))]
+    assert all((j, i) in pairs for i, j in found)
+    assert groups_of(len(sets), given_ + found) == groups_of(len(sets), given_ + pairs)
+    assert len(found) == min(groups, len(sets)) - len(set(groups_of(len(sets), given_ + found)))
 
 
 def test_dedup_stage_finds_pairs_at_similarity_08(spark):

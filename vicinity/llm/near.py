@@ -4,17 +4,17 @@ Candidates: a text has ``BANDS`` keys, each of ``ROWS`` MinHash values of its sh
 meet. A pair at similarity 0.8 shares one with a probability of 0.998, a pair at 0.9 practically always; at that
 similarity 64-bit SimHash fingerprints differ by about 10 bits, for which no complete set of keys is practical.
 
-Within a bucket, texts stand in the order of their SimHash fingerprints of the same shingles, and pairs are looked at in
-rounds, by how far apart they stand: first up to ``WINDOWS[0]`` places, then ever farther, until all pairs have been. A
-pair is verified, by the Jaccard similarity of its texts, if its fingerprints are within ``RADIUS`` bits and the rounds
-before have not put both texts in one group. So no pair that could change a group is left out, and a group of n copies
-gives some n pairs, never all.
+Within a bucket, texts stand in the order of their SimHash fingerprints of the same shingles, and each is verified against
+the ``WINDOW`` texts before it whose fingerprints are within ``RADIUS`` bits, by the Jaccard similarity of their shingles.
+That links most near copies, with some n pairs for a group of n. Buckets in which texts of several groups remain are then
+settled inside the tasks that hold them, by a prefix filter: two texts at similarity 0.8 share one of the rarest fifth of
+the shingles of each, so a passage that many texts share makes no candidates. Only links that join groups are returned.
+No pair that could change a group is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -31,10 +31,12 @@ from vicinity.llm.simhash import NO_ID, one_of_each
 SHINGLE, SIMILAR = 5, 0.8
 #: Keys of a text and MinHash values of a key; bits that differ at most in a candidate pair.
 BANDS, ROWS, RADIUS = 12, 4, 22
-#: Places that the pairs of each round stand apart at most (the last round has no bound), and texts of a cell.
-WINDOWS, CELL = (4, 64, 1024), 16384
-#: Shingles and rows handled at once.
-BLOCK, GROUP = 1 << 14, 65536
+#: Texts before it that a text is verified against at first, and texts of a chunk of a large bucket.
+WINDOW, CELL = 4, 2048
+#: Shingles at most that a chunk is aimed at.
+CELL_SHINGLES = 1 << 20
+#: Shingles handled at once.
+BLOCK = 1 << 14
 
 _RANDOM = np.random.default_rng(42)
 _FACTORS = _RANDOM.integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,75 +72,116 @@ def sketch(text: bytes) -> tuple[int, np.ndarray]:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0]), np.array(keys, np.uint64)
 
 
-def apart(buckets: np.ndarray, fps: np.ndarray, roots: np.ndarray, low: int, high: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of the pairs to verify that stand more than ``low`` and at most ``high`` places apart.
+def hashed(text: bytes) -> np.ndarray:
+    """The distinct shingles as ascending 64-bit hashes; one of its own for a text without a word."""
+    words = text.lower().split()
+    size = min(SHINGLE, len(words))
+    parts = map(b" ".join, zip(*(words[i:] for i in range(size))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), np.uint64)) if size else np.zeros(1, np.uint64)
+
+
+def neighbours(buckets: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of texts and those up to WINDOW places before them in a bucket, within RADIUS bits.
 
     ``buckets`` are numbered in order, so that equal ones stand together.
     """
-    longest = int(np.bincount(buckets).max(initial=0))
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    # rows whose bucket is long enough for the distance; they only grow fewer
-    last = np.searchsorted(buckets, buckets, "right")
-    rows = np.arange(len(buckets))
-    for gap in range(low + 1, min(longest - 1, high or longest) + 1):
-        rows = rows[rows + gap < last[rows]]
-        if not len(rows):
-            break
-        other = rows + gap
-        near = (roots[rows] != roots[other]) & (np.bitwise_count(fps[rows] ^ fps[other]) <= RADIUS)
-        left.append(other[near])
-        right.append(rows[near])
+    for gap in range(1, WINDOW + 1):
+        near = (buckets[gap:] == buckets[:-gap]) & (np.bitwise_count(fps[gap:] ^ fps[:-gap]) <= RADIUS)
+        right.append(np.flatnonzero(near))
+        left.append(right[-1] + gap)
     return np.concatenate(left), np.concatenate(right)
 
 
+def joining(roots: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (i, j) of similar texts of different groups that join these groups; ``sets`` are ascending hashes, not empty.
+
+    Against every text before it a text has candidates: those that share one of the rarest of its shingles, of which it
+    needs n - ceil(0.8 n) + 1, counted among these texts. Candidates of the same group by now are passed over.
+    """
+    lengths = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(lengths) - lengths
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, count[token], owner))
+    needed = lengths - np.ceil(SIMILAR * lengths - 1e-9).astype(np.int64) + 1
+    prefix = order[np.arange(len(order)) - starts[owner] < needed[owner]]
+    prefix = prefix[count[token[prefix]] > 1]
+    by = np.argsort(token[prefix], kind="stable")  # owners rise within a shingle
+    held, tokens = owner[prefix][by], token[prefix][by]
+    mine = np.searchsorted(owner[prefix], np.arange(len(sets) + 1))
+    first, last = (np.searchsorted(tokens, token[prefix], side) for side in ("left", "right"))
+    parent = {int(r): int(r) for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = parent[parent[r]]
+            r = parent[r]
+        return r
+
+    group = np.array([find(int(r)) for r in roots])
+    out, inside = [], np.zeros(len(count), bool)
+    for i in range(len(sets)):
+        found = [held[lo:hi] for lo, hi in zip(first[mine[i] : mine[i + 1]].tolist(), last[mine[i] : mine[i + 1]].tolist())]
+        some = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        some = some[some < i]
+        some = some[(group[some] != group[i]) & (np.minimum(lengths[some], lengths[i]) >= SIMILAR * np.maximum(lengths[some], lengths[i]) - 1e-9)]
+        if not len(some):
+            continue
+        inside[token[starts[i] : starts[i] + lengths[i]]] = True
+        for j in some.tolist():
+            if group[j] == group[i]:
+                continue
+            both = int(np.count_nonzero(inside[token[starts[j] : starts[j] + lengths[j]]]))
+            if both >= SIMILAR * (lengths[i] + lengths[j] - both):
+                out.append((i, j))
+                a, b = sorted((find(int(group[i])), find(int(group[j]))))
+                parent[b] = a
+                group[group == b] = a
+        inside[token[starts[i] : starts[i] + lengths[i]]] = False
+    return out
+
+
 def sketched(texts: DataFrame) -> DataFrame:
-    """(node, fp, keys) of each distinct node, written."""
+    """(node, fp, n, keys) of each distinct node, written; ``n`` is about its number of shingles."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [sketch(t) for t in as_bytes(batch.column(1))]
-        fps = np.array([f for f, _ in found], np.uint64).view(np.int64)
-        keys = pa.array([k.view(np.int64) for _, k in found], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), keys], ["node", "fp", "keys"])
+        found = [(t, *sketch(t)) for t in as_bytes(batch.column(1))]
+        fps = np.array([f for _, f, _ in found], np.uint64).view(np.int64)
+        sizes = pa.array([1 + t.count(b" ") for t, _, _ in found], pa.int64())
+        keys = pa.array([k.view(np.int64) for _, _, k in found], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), sizes, keys], ["node", "fp", "n", "keys"])
 
-    rows = map_arrow(texts.select("node", "text"), each, "node long, fp long, keys array<long>")
+    rows = map_arrow(texts.select("node", "text"), each, "node long, fp long, n long, keys array<long>")
     return written(rows.dropDuplicates(["node"]), "sketches")
 
 
-def candidates(rows: DataFrame, sizes: DataFrame, low: int, high: int | None) -> DataFrame:
-    """Distinct pairs (u, v), u < v, of nodes to verify in a round.
+def candidates(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct pairs (u, v), u < v, of nodes to verify at first.
 
-    ``rows``: (key, fp, node, root); ``sizes``: (key, count) of the buckets above ``WINDOWS[0]`` texts. A bucket above
-    ``CELL`` is cut into chunks that meet pairwise.
+    ``rows``: (key, fp, node); ``sizes``: (key, count) of buckets above WINDOW + 1 texts. One of more than CELL is dealt
+    out in chunks.
     """
     large = sizes.where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).alias("chunks"))
-    mine, zero = F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0).cast("long")
-    other = F.explode(F.when(F.col("chunks").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("chunks") - 1)))
-    placed = rows.join(large, "key", "left").select("key", "fp", "node", "root", "chunks", other.alias("other"))
-    pair = F.least(mine, F.col("other")) * F.col("chunks") + F.greatest(mine, F.col("other"))
-    placed = placed.select("key", F.coalesce(pair, F.lit(0)).alias("cell"), "fp", "node", "root")
+    chunk = F.coalesce(F.pmod(F.xxhash64("node"), F.col("chunks")), F.lit(0)).alias("cell")
+    placed = rows.join(large, "key", "left").select("key", chunk, "fp", "node")
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = placed.repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "fp", "node")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def flush(table: np.ndarray) -> pa.RecordBatch:
-            bucket = np.cumsum(np.r_[0, np.any(table[1:, :2] != table[:-1, :2], axis=1)])
-            i, j = apart(bucket, table[:, 2].copy().view(np.uint64), table[:, 4], low, high)
-            a, b = table[i, 3], table[j, 3]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
+    def flush(table: np.ndarray) -> pa.RecordBatch:
+        bucket = np.cumsum(np.r_[0, np.any(table[1:, :2] != table[:-1, :2], axis=1)])
+        i, j = neighbours(bucket, table[:, 2].copy().view(np.uint64))
+        a, b = table[i, 3], table[j, 3]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["u", "v"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, 4), np.int64)
         for batch in batches:
-            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
-            if sum(map(len, held)) >= GROUP:
-                table = np.concatenate(held)
-                last = np.flatnonzero(np.any(table[:, :2] != table[-1, :2], axis=1))
-                cut = last[-1] + 1 if len(last) else 0  # the last bucket may go on
-                if cut:
-                    yield flush(table[:cut])
-                held = [table[cut:]]
-        if held and sum(map(len, held)):
-            yield flush(np.concatenate(held))
+            if batch.num_rows:
+                table = np.concatenate([held, np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)])
+                yield flush(table)
+                held = table[-WINDOW:]  # pairs among these come twice
+        yield flush(held[:0])
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
@@ -162,30 +205,89 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return found
 
 
+def settled(texts: DataFrame, rows: DataFrame, sizes: DataFrame, stars: DataFrame) -> DataFrame:
+    """(u, v) of near copies that join the groups which are left in the same buckets, written.
+
+    Of a bucket's texts those of its largest group needn't meet each other. The others are cut into chunks; a task holds
+    one of them with a chunk of that group, or two of them.
+    """
+    left = rows.join(sizes.select("key"), "key").join(stars.withColumnRenamed("u", "node"), "node", "left")
+    left = left.select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    per = left.groupBy("key", "root").agg(F.count("*").alias("count"), F.sum("n").alias("n"))
+    top = F.max_by(F.struct("root", "count", "n"), F.struct("count", "root"))
+    # those of one group are done
+    mixed = per.groupBy("key").agg(top.alias("top"), F.sum("count").alias("count"), F.sum("n").alias("n")).where(F.col("count") > F.col("top.count"))
+    chunks = lambda count, n: F.greatest(F.ceil(count / CELL), F.ceil(n / CELL_SHINGLES), F.lit(1)).cast("long")
+    mixed = written(
+        mixed.select(
+            "key", F.col("top.root").alias("top"), chunks(F.col("top.count"), F.col("top.n")).alias("most"),
+            chunks(F.col("count") - F.col("top.count"), F.col("n") - F.col("top.n")).alias("others"),
+        ),
+        "near-mixed",
+    )
+    if mixed.isEmpty():
+        drop_written(mixed)
+        return written(stars.select("u", F.col("root").alias("v")).limit(0), "near-links")
+    left = left.join(mixed, "key")
+    zero, width = F.lit(0).cast("long"), F.col("most") + F.col("others")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("top"), F.col("most")).otherwise(F.col("others")))
+    left = left.withColumn("mine", mine)
+    upto = lambda n: F.sequence(zero, n - 1)
+    of_top = F.transform(upto(F.col("others")), lambda i: i * width + F.col("others") + F.col("mine"))
+    with_top = F.transform(upto(F.col("most")), lambda j: F.col("mine") * width + F.col("others") + j)
+    pairs = F.transform(
+        F.filter(upto(F.col("others")), lambda i: i != F.col("mine")), lambda i: F.least(i, F.col("mine")) * width + F.greatest(i, F.col("mine"))
+    )
+    cells = F.when(F.col("root") == F.col("top"), of_top).otherwise(F.concat(with_top, pairs))
+    placed = written(left.select("node", "key", "root", F.explode(cells).alias("cell")), "near-places")
+    bounded_batches(texts.sparkSession)
+
+    def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = pa.array([hashed(t).view(np.int64) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), found], ["node", "shingles"])
+
+    few = texts.select("node", "text").join(placed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = written(few.mapInArrow(lambda batches: map(each, batches), "node long, shingles array<long>"), "near-sets")
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.join(sets, "node").repartition(tasks, "key", "cell").sortWithinPartitions("key", "cell", "node")
+
+    def meet(held: list[tuple]) -> pa.RecordBatch:
+        nodes, roots = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
+        found = joining(roots, [h[4] for h in held]) if len(held) > 1 else []
+        a, b = (nodes[np.array([f[x] for f in found], np.int64)] for x in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            plain = [c.to_pylist() for c in batch.columns[:4]]
+            for row in zip(*plain, batch.column(4)):
+                if held and held[-1][:2] != row[:2]:
+                    yield meet(held)
+                    held = []
+                held.append((*row[:4], row[4].values.to_numpy().view(np.uint64)))
+        yield meet(held)
+
+    found = written(dealt.select("key", "cell", "node", "root", "shingles").mapInArrow(run, "u long, v long").distinct(), "near-links")
+    drop_written(mixed, placed, sets)
+    return found
+
+
 def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, stars): (u, v) of near copies that span every group, and (u, root) of the groups.
 
     ``texts`` has nodes, each with one text, and may repeat them; a null text is empty.
     """
     sketches = sketched(texts)
-    rows = sketches.select(F.explode("keys").alias("key"), "fp", "node")
-    sizes = written(rows.groupBy("key").count().where(F.col("count") > WINDOWS[0] + 1), "near-buckets")
-    longest = sizes.agg(F.max("count")).first()[0] or 0
-    found = [verified(texts, candidates(rows.withColumn("root", F.col("node")), sizes, 0, WINDOWS[0]))]
-    stars = written(components(found[0]), "near-stars")
-    for low, high in zip(WINDOWS, (*WINDOWS[1:], None)):
-        if longest <= low + 1:
-            break
-        # only buckets that are long enough and still hold several groups
-        left = rows.join(sizes.where(F.col("count") > low + 1).select("key"), "key")
-        left = left.join(stars.withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = left.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        more = verified(texts, candidates(left.join(written(mixed, "near-mixed"), "key"), sizes, low, high))
-        if not more.isEmpty():
-            found.append(more)
-            stars = written(components(stars.withColumnRenamed("root", "v").union(more)), "near-stars")
+    rows = sketches.select(F.explode("keys").alias("key"), "fp", "n", "node")
+    sizes = written(rows.groupBy("key").count().where(F.col("count") > WINDOW + 1), "near-buckets")
+    found = verified(texts, candidates(rows, sizes))
+    stars = written(components(found), "near-stars")
+    more = settled(texts, rows, sizes, stars)
+    if not more.isEmpty():
+        stars = written(components(stars.withColumnRenamed("root", "v").union(more)), "near-stars")
     drop_written(sketches, sizes)
-    return reduce(DataFrame.union, found), stars
+    return found.union(more), stars
 
 
 def links(texts: DataFrame) -> DataFrame:
