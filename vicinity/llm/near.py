@@ -34,7 +34,7 @@ BANDS, ROWS, RADIUS = 12, 4, 22
 #: Texts before it that a text is verified against at first, and texts of a chunk of a large bucket.
 WINDOW, CELL = 4, 2048
 #: Shingles at most that a chunk is aimed at.
-CELL_SHINGLES = 1 << 20
+CELL_SHINGLES = 1 << 18
 #: Shingles handled at once.
 BLOCK = 1 << 14
 
