@@ -20,7 +20,12 @@ def smallest(distances: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray
         row, column = np.nonzero((distances <= limit) & (distances < np.inf))
     else:
         row, column = np.nonzero(distances < np.inf)
-    order = np.lexsort((ids[column], distances[row, column], row))
-    row, column = row[order], column[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    keep = first_of(row, distances[row, column], ids[column], k)
     return row[keep], column[keep]
+
+
+def first_of(row: np.ndarray, distances: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest (distance, id) of each row, in the order of rows, distances and ids."""
+    order = np.lexsort((ids, distances, row))
+    row = row[order]
+    return order[np.arange(len(row)) - np.searchsorted(row, row) < k]

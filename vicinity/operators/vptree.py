@@ -12,11 +12,14 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from vicinity.operators.cells import all_pairs
+from vicinity.operators.cells import MATRIX, all_pairs
 from vicinity.operators.knn import K
+from vicinity.operators.topk import first_of, smallest
 
 #: Rows of a chunk that gets a tree of its own, and rows of a leaf that is scanned whole.
 CHUNK, LEAF = 16384, 32
+#: Rows of a subtree that many queries compare with at once.
+WHOLE = 512
 
 
 @dataclass
@@ -103,17 +106,76 @@ def search(tree: VpTree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int,
     return best
 
 
+def search_all(tree: VpTree, x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, skip: np.ndarray | None = None, whole: int = WHOLE):
+    """(query, row, squared distance) of the k nearest rows of each query, as ``search``; codes are whole numbers.
+
+    Queries go down the tree together, those that are inside a vantage point's distance by the one side first and those
+    outside by the other, and each leaves where ``search`` would. Subtrees of up to ``whole`` rows are compared at once.
+    """
+    n = len(queries)
+    worst = np.full(n, np.inf)
+    sizes = [0] * tree.size
+    for node in range(tree.size - 1, -1, -1):  # children come after their parents
+        start, end = tree.leaf.get(node, (0, 1))
+        sizes[node] = end - start + sum(sizes[c] for c in (tree.left[node], tree.right[node]) if c >= 0)
+    norms, own = (x * x).sum(axis=1), (queries * queries).sum(axis=1)
+    near_d, near_row = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+
+    def offer(some: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        d = own[some][:, None] + norms[rows] - 2 * (queries[some] @ x[rows].T)
+        fit = d <= worst[some][:, None]
+        if skip is not None:
+            fit &= ids[rows] != skip[some][:, None]
+        if np.isinf(worst[some]).any():
+            r, c = smallest(np.where(fit, d, np.inf), ids[rows], k)
+        else:
+            r, c = np.nonzero(fit)
+        if len(r):
+            touched = np.unique(r)
+            mine = some[touched]
+            held, place = np.nonzero(near_row[mine] >= 0)
+            row = np.r_[touched[held], r]
+            column, far = np.r_[near_row[mine[held], place], rows[c]], np.r_[near_d[mine[held], place], d[r, c]]
+            keep = first_of(row, far, ids[column], k)
+            row, column, far = row[keep], column[keep], far[keep]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            near_d[some[row], place], near_row[some[row], place] = far, column
+            worst[mine] = near_d[mine, k - 1]
+        return d
+
+    todo = [(0, 0, np.arange(n), np.zeros(n))] if tree.size else []
+    while todo:
+        node, start, some, least = todo.pop()
+        stay = least <= np.sqrt(worst[some]) * (1 + 1e-12) + 1e-9
+        some, least = some[stay], least[stay]
+        if not len(some):
+            continue
+        if sizes[node] <= whole or node in tree.leaf:
+            rows = tree.order[start : start + sizes[node]]
+            step = max(1, MATRIX // len(rows))
+            for i in range(0, len(some), step):
+                offer(some[i : i + step], rows)
+            continue
+        d = np.sqrt(offer(some, tree.point[node : node + 1])[:, 0])
+        left, right, t = int(tree.left[node]), int(tree.right[node]), float(tree.threshold[node])
+        inside, outside = np.maximum(least, d - t * (1 + tree.slack)), np.maximum(least, t * (1 - tree.slack) - d)
+        after = start + 1 + (sizes[left] if left >= 0 else 0)
+        for first in (False, True):  # what is pushed last is visited first
+            for child, begin, bound, by in ((left, start + 1, inside, (d < t) == first), (right, after, outside, (d < t) != first)):
+                if child >= 0 and by.any():
+                    todo.append((child, begin, some[by], bound[by]))
+    row, place = np.nonzero(near_row >= 0)
+    return row, near_row[row, place], near_d[row, place]
+
+
 def forest(grow=build):
-    """A maker of searches (see ``cells``) that grows a tree over a cell's references, and prunes it query by query."""
+    """A maker of searches (see ``cells``) that grows a tree over a cell's references, and prunes it."""
 
     def maker(x: np.ndarray, ids: np.ndarray, k: int):
         tree = grow(x)
 
         def find(queries: np.ndarray, skip: np.ndarray | None):
-            found = [search(tree, x, ids, q, k, None if skip is None else int(skip[i])) for i, q in enumerate(queries)]
-            row = np.repeat(np.arange(len(found)), [len(f) for f in found])
-            flat = [hit for f in found for hit in f]
-            return row, np.array([r for _, _, r in flat], np.int64), np.array([d for d, _, _ in flat], np.float64)
+            return search_all(tree, x, ids, queries, k, skip)
 
         return find
 
