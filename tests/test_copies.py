@@ -63,3 +63,27 @@ def test_positions_make_their_rows_once(spark):
     rows = spark.createDataFrame(spark.range(500).rdd.mapPartitions(each), "id long")
     assert ivf.positions(rows, "id").count() == 500
     assert made.value == 500
+
+
+def test_exact_search_reaches_few_buckets(spark, monkeypatch):
+    """Buckets whose balls overlap but whose boxes lie apart aren't scanned; the result is that of brute force."""
+    rng = np.random.default_rng(7)
+    flat = np.repeat(np.arange(16) / 16, 40)
+    raw = spark.createDataFrame([(i, [float(x), float(rng.random())], i % 2) for i, x in enumerate(flat)], "orig_id long, vector array<float>, label int")
+    refs = raw.select("orig_id", quantize(F.col("vector")).alias("codes"), "label")
+    queries = refs.select(F.col("orig_id").alias("qid"), "codes", F.col("orig_id").alias("name"))
+    index = ivf.index_from(raw, np.array([[x, 0.5] for x in np.arange(16) / 16], np.float32))
+    scanned, plain = [], cells.nearest
+    monkeypatch.setattr(cells, "nearest", lambda refs, q, *a, **k: scanned.append(q.count()) or plain(refs, q, *a, **k))
+    assert found(knn.knn_pruned(index, queries, nprobe=6, skip_self=True)) == brute(refs, queries)
+    assert sum(scanned) < 640 * 6
+    want = {qid: sum(i % 2 for _, i in near) for qid, near in brute(refs, queries).items()}
+    got = knn.exact_frauds(index, queries, nprobe=6, skip_self=True).collect()
+    assert {r.name: r.frauds for r in got} == want and all(r.name == r.qid for r in got)
+
+
+def test_equal_references_are_thinned(spark):
+    rows = [(b, i, i % 2, [i % 3, b]) for b in range(2) for i in range(b * 100, b * 100 + 100)]
+    few = ivf.few_equal(spark.createDataFrame(rows, "bucket int, orig_id long, label int, codes array<int>").coalesce(1), 6)
+    want = sorted(r for b in range(2) for c in range(3) for r in sorted((b, i, i % 2, [c, b]) for i in range(b * 100, b * 100 + 100) if i % 3 == c)[:6])
+    assert sorted(map(tuple, few.collect())) == want

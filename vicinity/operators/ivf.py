@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vicinity.functions.scalars import l2sq, quantize
+from vicinity.functions.scalars import FLAT, l2sq, quantize
 from vicinity.functions.scratch import drop_written, written
 from vicinity.functions.shipping import ship_package, small_methods
+from vicinity.operators.boxes import groups
 from vicinity.operators.cells import CELL, MATRIX, chunk_of
 
 CENTROIDS, ROUNDS, RESEED = 2048, 3, 7919
@@ -41,6 +42,8 @@ class IvfIndex:
     codec: str
     tasks: int | None = None
     _table: tuple | None = field(default=None, repr=False)
+    _boxes: tuple | None = field(default=None, repr=False)
+    _few: dict[int, DataFrame] = field(default_factory=dict, repr=False)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes, radius, chunks) of the centroids by bucket: k rows, as bounded as the centroids themselves."""
@@ -51,14 +54,38 @@ class IvfIndex:
             self._table = codes, np.array([r.radius for r in rows], np.float64), chunks
         return self._table
 
-    def cells(self) -> DataFrame:
-        """The rows with their cells: a bucket of more than CELL rows is several."""
+    def boxes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(n, low, high) by bucket: its rows and the box of their codes, of no volume and at infinity if it has none.
+
+        The rows are read once, for vectors of up to FLAT dims; a box of more is not measured, and holds everything.
+        """
+        if self._boxes is None:
+            n, flat = np.zeros(self.k, np.int64), self.dims <= FLAT
+            low, high = (np.full((self.k, self.dims if flat else 0), np.inf) for _ in range(2))
+            for r in (bucket_boxes(self.rows, self.k, self.dims) if flat else self.centroids.select("bucket", "n")).collect():
+                n[r.bucket] = r.n
+                if flat:
+                    low[r.bucket], high[r.bucket] = r.low, r.high
+            self._boxes = n, low, high
+        return self._boxes
+
+    def cells(self, k: int | None = None) -> DataFrame:
+        """The rows with their cells: a bucket of more than CELL rows is several.
+
+        ``k`` allows that rows are left out which can't be among the k nearest, as k equal ones of smaller ids are before
+        them. Short vectors that aren't dealt out yet are thinned so, once.
+        """
         if "cell" in self.rows.columns:
             return self.rows
+        rows = self.rows
+        if k is not None and self.dims <= FLAT:
+            if k not in self._few:
+                self._few[k] = written(few_equal(rows, k), "few")
+            rows = self._few[k]
         chunks = F.greatest(F.lit(1), F.ceil(F.col("n") / CELL)).cast("long")
         sizes = self.centroids.select("bucket", chunks.alias("chunks"))
         cell = F.shiftleft(F.col("bucket").cast("long"), CHUNK_BITS) + chunk_of(F.col("orig_id"), F.col("chunks"))
-        return self.rows.join(F.broadcast(sizes), "bucket").select("bucket", "orig_id", "label", "codes", cell.alias("cell"))
+        return rows.join(F.broadcast(sizes), "bucket").select("bucket", "orig_id", "label", "codes", cell.alias("cell"))
 
 
 def _vectors_at(refs: DataFrame, ids: list[int]) -> dict[int, list[float]]:
@@ -142,6 +169,56 @@ def bucket_sums(refs: DataFrame, centroids: np.ndarray) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("n").alias("n"), total.alias("sums"))
 
 
+def bucket_boxes(rows: DataFrame, k: int, dims: int) -> DataFrame:
+    """(bucket, n, low, high array<int>): the least and greatest codes of each bucket that has rows, first in each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, low, high = np.zeros(k, np.int64), np.full((k, dims), np.iinfo(np.int32).max), np.full((k, dims), np.iinfo(np.int32).min)
+        for batch in batches:
+            if batch.num_rows:
+                bucket = batch.column(0).to_numpy()
+                order = np.argsort(bucket, kind="stable")
+                some, starts = np.unique(bucket[order], return_index=True)
+                x = batch.column(1).flatten().to_numpy().reshape(-1, dims)[order]
+                count += np.bincount(bucket, minlength=k)
+                low[some] = np.minimum(low[some], np.minimum.reduceat(x, starts))
+                high[some] = np.maximum(high[some], np.maximum.reduceat(x, starts))
+        some = np.flatnonzero(count)
+        ends = [pa.array(list(side[some].astype(np.int32)), pa.list_(pa.int32())) for side in (low, high)]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(count[some]), *ends], ["bucket", "n", "low", "high"])
+
+    parts = rows.select("bucket", "codes").mapInArrow(run, "bucket int, n long, low array<int>, high array<int>")
+    ends = [F.array(*[side(F.get(name, F.lit(d))) for d in range(dims)]).alias(name) for name, side in (("low", F.min), ("high", F.max))]
+    return parts.groupBy("bucket").agg(F.sum("n").alias("n"), *ends)
+
+
+def few_equal(rows: DataFrame, k: int) -> DataFrame:
+    """(bucket, orig_id, label, codes) without what k rows of its bucket equal that are at hand and have smaller ids.
+
+    Rows stay where they are. Those of an index stand by bucket, so most of what is equal is at hand.
+    """
+
+    def thin(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        by = np.argsort(table["orig_id"].to_numpy(), kind="stable")
+        x = np.c_[table["bucket"].to_numpy(), table["codes"].combine_chunks().flatten().to_numpy().reshape(len(by), -1)][by]
+        order, group = groups(x)
+        return table.take(np.sort(by[order[np.arange(len(order)) - np.searchsorted(group, group) < k]])).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= CELL:
+                yield from thin(held)
+                held = []
+        if sum(b.num_rows for b in held):
+            yield from thin(held)
+
+    ship_package(rows.sparkSession)
+    return rows.select("bucket", "orig_id", "label", "codes").mapInArrow(run, "bucket int, orig_id long, label int, codes array<int>")
+
+
 def lloyd(refs: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
     """Centroids after so many full-batch rounds. An empty bucket is reseeded from row (i * 7919) mod n.
 
@@ -196,7 +273,8 @@ def build_ivf(refs: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, codec:
 
 def drop(index: IvfIndex) -> None:
     """Removes the scratch tables of a built index (not of a loaded one)."""
-    drop_written(index.rows, index.centroids)
+    drop_written(index.rows, index.centroids, *index._few.values())
+    index._few.clear()
 
 
 def layout(index: IvfIndex) -> DataFrame:

@@ -355,13 +355,13 @@ def mismatch_report(spark, sf_dir):
 
 
 def _event_references(spark, sf_dir):
-    """All events that can be read, as a reference set whose ids are positions; fraud if they are errors."""
+    """All events that can be read, as a reference set whose ids are positions, with codes; fraud if they are errors."""
     rows = _vectors(spark, sf_dir).where("parsed").select("qid", "vector", (F.col("event_type") == "error").cast("int").alias("label"))
-    return written(ivf.positions(rows, "qid"), "events")
+    return written(ivf.positions(rows, "qid").withColumn("codes", scalars.quantize(F.col("vector"), dims=DIMS)), "events")
 
 
 def _event_queries(refs):
-    return refs.select(F.col("orig_id").alias("qid"), scalars.quantize(F.col("vector"), dims=DIMS).alias("codes"))
+    return refs.select(F.col("orig_id").alias("qid"), "codes")
 
 
 def _first_event_index(refs):
@@ -394,9 +394,9 @@ def event_capped(spark, sf_dir):
 def event_decisions(spark, sf_dir):
     """A decision on every event, by exact search of all others; one that can't be read is approved with score 0."""
     refs = _event_references(spark, sf_dir)
-    votes = decide.vote(_event_queries(refs), knn.knn_pruned(_first_event_index(refs), _event_queries(refs), nprobe=FULL, skip_self=True))
+    queries = refs.select(F.col("orig_id").alias("qid"), "codes", F.col("qid").alias("event_id"))
+    voted = knn.exact_frauds(_first_event_index(refs), queries, nprobe=FULL, skip_self=True).select("event_id", "frauds")
     frauds = F.coalesce("frauds", F.lit(0))
-    voted = refs.select(F.col("qid").alias("event_id"), "orig_id").join(votes.select(F.col("qid").alias("orig_id"), "frauds"), "orig_id")
     asked = tx.requests(spark, sf_dir).select(F.col("qid").alias("event_id"))
     return asked.join(voted, "event_id", "left").select(F.col("event_id").alias("qid"), frauds.alias("frauds"), decide.approved(frauds).alias("approved"))
 
