@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.conftest import frame
@@ -145,3 +146,13 @@ def test_copies_of_a_toxic_text_teach_once(spark):
     labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
     scorer = toxicity.learn(frame(spark, rows), labels)
     assert scorer.lexicon == {} and scorer.base < 0.1  # one toxic text and 100 others
+
+
+def test_simhash_finds_near_copies_without_other_keys(spark, monkeypatch):
+    """With MinHash keys that no two texts share, fingerprints within 4 bits still meet, and texts apart stay."""
+    plain = near.sketched
+    monkeypatch.setattr(near, "sketched", lambda texts: near.written(plain(texts).withColumn("keys", F.array("node")), "alone"))
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["other"]), " ".join(reversed(words))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in near.dedup(docs).collect()) == [0, 2]

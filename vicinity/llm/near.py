@@ -1,6 +1,9 @@
 """Near copies of texts: links of texts whose five-word shingle sets have a Jaccard similarity of ``SIMILAR`` or more.
 
-Candidates: a text has ``BANDS`` keys, each of ``ROWS`` MinHash values of its shingles, and two texts that share a key
+SimHash: fingerprints of the shingles within 4 bits are linked by complete keys (``simhash.links``), and a group of them
+is a bucket of candidates, in which every similar pair is linked. Texts at similarity 0.8 differ by more bits:
+
+More candidates: a text has ``BANDS`` keys, each of ``ROWS`` MinHash values of its shingles, and two texts that share a key
 meet. A pair at similarity 0.8 shares one with a probability of 0.998, a pair at 0.9 practically always; at that
 similarity 64-bit SimHash fingerprints differ by about 10 bits, for which no complete set of keys is practical.
 
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from vicinity.llm.common import as_bytes, bounded_batches, drop_written, map_arrow, written
 from vicinity.llm.components import components
+from vicinity.llm import simhash
 from vicinity.llm.simhash import NO_ID, one_of_each
 
 #: Words of a shingle and the similarity of a near copy: the rule for stages without a contract.
@@ -156,6 +160,17 @@ def sketched(texts: DataFrame) -> DataFrame:
     return written(rows.dropDuplicates(["node"]), "sketches")
 
 
+def simhash_keyed(sketches: DataFrame) -> DataFrame:
+    """``sketches`` with one key more, written: that of the group of fingerprints within ``simhash.RADIUS`` bits."""
+    fps = written(sketches.select("fp").distinct(), "near-fps")
+    groups = components(simhash.links(fps)).select(F.col("u").alias("fp"), F.col("root").alias("group"))
+    key = F.xxhash64(F.coalesce("group", "fp"), F.lit("simhash"))
+    keyed = sketches.join(groups, "fp", "left").select("node", "fp", "n", F.concat(F.array(key), F.col("keys")).alias("keys"))
+    keyed = written(keyed, "sketches")
+    drop_written(fps, sketches)
+    return keyed
+
+
 def candidates(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """Distinct pairs (u, v), u < v, of nodes to verify at first.
 
@@ -278,7 +293,7 @@ def linked(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``texts`` has nodes, each with one text, and may repeat them; a null text is empty.
     """
-    sketches = sketched(texts)
+    sketches = simhash_keyed(sketched(texts))
     rows = sketches.select(F.explode("keys").alias("key"), "fp", "n", "node")
     sizes = written(rows.groupBy("key").count().where(F.col("count") > WINDOW + 1), "near-buckets")
     found = verified(texts, candidates(rows, sizes))
