@@ -87,3 +87,38 @@ def test_equal_references_are_thinned(spark):
     few = ivf.few_equal(spark.createDataFrame(rows, "bucket int, orig_id long, label int, codes array<int>").coalesce(1), 6)
     want = sorted(r for b in range(2) for c in range(3) for r in sorted((b, i, i % 2, [c, b]) for i in range(b * 100, b * 100 + 100) if i % 3 == c)[:6])
     assert sorted(map(tuple, few.collect())) == want
+
+
+@pytest.mark.parametrize("search", ["pruned", "ivf"])
+def test_large_buckets_are_searched_by_parts(spark, monkeypatch, search):
+    """A query meets few of the parts that a bucket is cut into; the result is that of brute force."""
+    from vicinity.operators import parts
+
+    monkeypatch.setattr(parts, "PART", 40)
+    monkeypatch.setattr(parts, "SEEN", 40)
+    rng = np.random.default_rng(8)
+    at = rng.integers(0, 2, (60, 3)).repeat(12, axis=0) * 0.5 + rng.integers(0, 100, (720, 3)) / 1000
+    raw = spark.createDataFrame([(i, x.tolist(), i % 2) for i, x in enumerate(at)], "orig_id long, vector array<float>, label int")
+    refs = raw.select("orig_id", quantize(F.col("vector")).alias("codes"), "label")
+    queries = refs.select(F.col("orig_id").alias("qid"), "codes")
+    index = ivf.index_from(raw, np.array([[0.1, 0.1, 0.1], [0.6, 0.6, 0.6]], np.float32))
+    met, plain = [], cells.nearest
+    monkeypatch.setattr(cells, "nearest", lambda refs, q, *a, **k: met.append(q.count()) or plain(refs, q, *a, **k))
+    got = {
+        "pruned": lambda: knn.knn_pruned(index, queries, nprobe=1, skip_self=True),
+        "ivf": lambda: knn.knn_ivf(index, queries, nprobe=2, skip_self=True),
+    }[search]()
+    assert found(got) == brute(refs, queries)
+    assert len(index.parts(6).owner) >= 12 and sum(met) < 720 * 12 / 2
+
+
+def test_cuts_send_every_row_to_a_part():
+    from vicinity.operators import parts
+
+    rng = np.random.default_rng(9)
+    x = rng.integers(0, 3, (30_000, 4)).astype(float)
+    of = rng.integers(0, 3, len(x))
+    cuts, owner = parts.cut({b: x[of == b][:500] for b in range(2)}, np.bincount(of, minlength=4))
+    part = cuts.of(of, x)
+    assert (owner[part] == of).all() and set(owner) == {0, 1, 2, 3} and (np.diff(owner) >= 0).all()
+    assert len({tuple(v) for v in x[of == 0]}) > 1 and (owner == 0).sum() > 1 and (owner == 2).sum() == 1

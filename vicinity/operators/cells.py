@@ -28,6 +28,7 @@ CELL, BLOCK, MATRIX = 65536, 65536, 1 << 21
 #: References up to which a cell is scanned whole.
 PLAIN = 512
 FOUND = "qid long, orig_id long, label int, dist long"
+LISTED = "qid long, codes array<int>, cell long, tag int, hits array<struct<dist:bigint,orig_id:bigint,label:int>>"
 
 Found = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: (reference codes, ids, k) -> a search of (query codes, ids to leave out or None[, greatest distances]) -> rows of (query, reference, distance).
@@ -73,9 +74,12 @@ def chunk_of(key: Column, chunks: Column) -> Column:
     return F.pmod(F.xxhash64(key), chunks)
 
 
-def nearest(refs: DataFrame, queries: DataFrame, total: int, k: int, skip_self: bool = False, maker: Maker = pruned, tasks: int | None = None) -> DataFrame:
+def nearest(refs: DataFrame, queries: DataFrame, total: int, k: int, skip_self: bool = False, maker: Maker = pruned, tasks: int | None = None, listed: bool = False) -> DataFrame:
     """(qid, orig_id, label, dist): the k best of each cell that a query looks at.
 
+    ``listed``: (qid, codes, cell, tag, hits) instead, a row for a query and a cell in which it finds any, with its hits in order;
+    queries have a column ``tag`` (int).
+
     ``refs``: (cell long, orig_id, label, codes); ``queries``: (cell long, qid, codes), a row for each cell, of ``total``
     queries; a column ``within`` (double) leaves out what is farther. ``skip_self`` leaves out the reference with the
     query's id. ``tasks``: into how many parts the references are dealt out by cell, if they are.
@@ -84,7 +88,7 @@ def nearest(refs: DataFrame, queries: DataFrame, total: int, k: int, skip_self:
     refs = refs.select("cell", "orig_id", F.col("label").cast("int"), "codes")
     # names of its own: a co-group loses columns that both sides have from one table
     bounded = "within" in queries.columns
-    queries = queries.select(F.col("cell").alias("at"), F.col("qid").alias("asked"), F.col("codes").alias("sought"), *([F.col("within").alias("most")] if bounded else []))
+    queries = queries.select(F.col("cell").alias("at"), F.col("qid").alias("asked"), F.col("codes").alias("sought"), *([F.col("within").alias("most")] if bounded else []), *(["tag"] if listed else []))
     by, at = ["cell"], ["at"]
     # a row for each cell that is asked too much, of which there are as many as the index has at most
     hot = [] if total <= BLOCK else queries.groupBy("at").count().where(F.col("count") > BLOCK).collect()
@@ -96,17 +100,29 @@ def nearest(refs: DataFrame, queries: DataFrame, total: int, k: int, skip_self:
         refs = refs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), several - 1))).drop("hot", "blocks")
         by, at = ["cell", "block"], ["at", "part"]
 
+    hit = pa.struct([("dist", pa.int64()), ("orig_id", pa.int64()), ("label", pa.int32())])
+    if listed:
+        nothing = pa.schema([("qid", pa.int64()), ("codes", pa.list_(pa.int32())), ("cell", pa.int64()), ("tag", pa.int32()), ("hits", pa.list_(hit))]).empty_table()
+    else:
+        nothing = pa.schema([("qid", pa.int64()), ("orig_id", pa.int64()), ("label", pa.int32()), ("dist", pa.int64())]).empty_table()
+
     def meet(refs: pa.Table, queries: pa.Table) -> pa.Table:
         if not refs.num_rows or not queries.num_rows:
-            return pa.table({"qid": pa.array([], pa.int64()), "orig_id": pa.array([], pa.int64()), "label": pa.array([], pa.int32()), "dist": pa.array([], pa.int64())})
+            return nothing
         ids, labels, asked = refs["orig_id"].to_numpy(), refs["label"].to_numpy(), queries["asked"].to_numpy()
         limits = [queries["most"].to_numpy()] if bounded else []
         row, column, d = maker(matrix(refs["codes"]), ids, k)(matrix(queries["sought"]), asked if skip_self else None, *limits)
-        return pa.table({"qid": asked[row], "orig_id": ids[column], "label": labels[column].astype(np.int32), "dist": d.astype(np.int64)})
+        hits = {"dist": pa.array(d.astype(np.int64)), "orig_id": pa.array(ids[column]), "label": pa.array(labels[column].astype(np.int32))}
+        if not listed:
+            return pa.table({"qid": asked[row], **{name: hits[name] for name in ("orig_id", "label", "dist")}})
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+        some = row[starts]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(row)].astype(np.int32)), pa.StructArray.from_arrays(list(hits.values()), list(hits)))
+        return pa.table({"qid": asked[some], "codes": queries["sought"].take(pa.array(some)), "cell": np.full(len(some), refs["cell"][0].as_py()), "tag": queries["tag"].take(pa.array(some)), "hits": lists})
 
     # dealt out by number, so that few bytes of much work aren't put together in one task
     queries = queries.repartition(tasks or int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), *at)
-    return refs.groupBy(*by).cogroup(queries.groupBy(*at)).applyInArrow(meet, FOUND)
+    return refs.groupBy(*by).cogroup(queries.groupBy(*at)).applyInArrow(meet, LISTED if listed else FOUND)
 
 
 def all_pairs(refs: DataFrame, queries: DataFrame, k: int, skip_self: bool = False, maker: Maker = pruned, cell: int = CELL) -> DataFrame:

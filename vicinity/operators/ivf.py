@@ -20,6 +20,7 @@ from vicinity.functions.scratch import drop_written, written
 from vicinity.functions.shipping import ship_package, small_methods
 from vicinity.operators.boxes import groups
 from vicinity.operators.cells import CELL, MATRIX, chunk_of
+from vicinity.operators.parts import Cuts, into_parts
 
 CENTROIDS, ROUNDS, RESEED = 2048, 3, 7919
 #: Bytes of the centroid table that is sent to every task; more buckets than fit are an error.
@@ -28,6 +29,18 @@ CENTROID_BYTES = 256 << 20
 CHUNK_BITS = 24
 
 
+@dataclass
+class Parts:
+    """rows: (orig_id, label, codes, cell), the cell being the part; by part its bucket, its rows and the box of their codes."""
+
+    rows: DataFrame
+    cuts: Cuts
+    owner: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
 @dataclass
 class IvfIndex:
     """rows: (bucket, orig_id, label, codes), and cell if dealt out by it; centroids: (bucket, centroid, codes, radius_sq, radius, n).
@@ -44,6 +57,7 @@ class IvfIndex:
     _table: tuple | None = field(default=None, repr=False)
     _boxes: tuple | None = field(default=None, repr=False)
     _few: dict[int, DataFrame] = field(default_factory=dict, repr=False)
+    _parts: dict[int, Parts] = field(default_factory=dict, repr=False)
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(codes, radius, chunks) of the centroids by bucket: k rows, as bounded as the centroids themselves."""
@@ -69,6 +83,20 @@ class IvfIndex:
             self._boxes = n, low, high
         return self._boxes
 
+    def parts(self, k: int) -> Parts | None:
+        """The rows in parts of neighbours, of which some are left out as in ``cells``; None if vectors are long or dealt out by cell."""
+        if self.dims > FLAT or "cell" in self.rows.columns:
+            return None
+        if k not in self._parts:
+            few = written(few_equal(self.rows, k), "few")
+            rows, cuts, owner = into_parts(few, self.k, self.dims)
+            drop_written(few)
+            n, (low, high) = np.zeros(len(owner), np.int64), (np.full((len(owner), self.dims), np.inf) for _ in range(2))
+            for r in bucket_boxes(rows.withColumnRenamed("cell", "bucket"), len(owner), self.dims).collect():
+                n[r.bucket], low[r.bucket], high[r.bucket] = r.n, r.low, r.high
+            self._parts[k] = Parts(rows, cuts, owner, n, low, high)
+        return self._parts[k]
+
     def cells(self, k: int | None = None) -> DataFrame:
         """The rows with their cells: a bucket of more than CELL rows is several.
 
@@ -176,7 +204,7 @@ def bucket_boxes(rows: DataFrame, k: int, dims: int) -> DataFrame:
         count, low, high = np.zeros(k, np.int64), np.full((k, dims), np.iinfo(np.int32).max), np.full((k, dims), np.iinfo(np.int32).min)
         for batch in batches:
             if batch.num_rows:
-                bucket = batch.column(0).to_numpy()
+                bucket = batch.column(0).to_numpy().astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 some, starts = np.unique(bucket[order], return_index=True)
                 x = batch.column(1).flatten().to_numpy().reshape(-1, dims)[order]
@@ -273,8 +301,9 @@ def build_ivf(refs: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, codec:
 
 def drop(index: IvfIndex) -> None:
     """Removes the scratch tables of a built index (not of a loaded one)."""
-    drop_written(index.rows, index.centroids, *index._few.values())
+    drop_written(index.rows, index.centroids, *index._few.values(), *(p.rows for p in index._parts.values()))
     index._few.clear()
+    index._parts.clear()
 
 
 def layout(index: IvfIndex) -> DataFrame:
