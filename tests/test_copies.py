@@ -123,3 +123,14 @@ def test_cuts_send_every_row_to_a_part():
     part = cuts.of(of, x)
     assert (owner[part] == of).all() and set(owner) == {0, 1, 2, 3} and (np.diff(owner) >= 0).all()
     assert len({tuple(v) for v in x[of == 0]}) > 1 and (owner == 0).sum() > 1 and (owner == 2).sum() == 1
+
+
+def test_index_takes_codes_that_are_known(spark, monkeypatch):
+    raw = spark.createDataFrame([(i, [i % 7 / 7, i % 3 / 3], i % 2) for i in range(100)], "orig_id long, vector array<float>, label int")
+    made, plain, centroids = [], ivf.quantize, np.array([[0.1, 0.1], [0.8, 0.6]], np.float32)
+    monkeypatch.setattr(ivf, "quantize", lambda *a: made.append(a) or plain(*a))
+    known = ivf.index_from(raw.withColumn("codes", quantize(F.col("vector"))), centroids)
+    assert len(made) == 1  # the centroids'
+    want = ivf.index_from(raw, centroids)
+    assert sorted(known.rows.collect()) == sorted(want.rows.collect()) and known.rows.columns == want.rows.columns
+    assert sorted(known.centroids.collect()) == sorted(want.centroids.collect())
